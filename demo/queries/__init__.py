@@ -1,2 +1,2 @@
 """One module per family of operators; importing them registers the queries."""
-from demo.queries import filters, summary
+from demo.queries import distribution, filters, keys_values, summary
