@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bookdq.plans.sizing import broadcast_if_small
 
-BLOCKS = 256
+BLOCKS = 128
 
 
 def percentile_grid(bins: int | Sequence[float]) -> list[float]:
@@ -38,23 +38,24 @@ def percentile_grid(bins: int | Sequence[float]) -> list[float]:
 
 
 def percentiles(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column], probs: Sequence[float],
-                exact: bool = True, blocks: int = BLOCKS) -> DataFrame:
+                exact: bool = True, blocks: int = BLOCKS, positives: bool = False) -> DataFrame:
     """Long frame (*by, variable, prob, value), nulls ignored; a group without values has no rows.
 
-    `exact=False` takes the sketch value (`percentile_approx`, accuracy 10000): one pass, no second look.
+    `positives` adds the percentiles of the values above zero, as variable `+name`. `exact=False` takes the sketch value (`percentile_approx`, accuracy 10000): one pass, no second look.
     """
     probs = [float(p) for p in dict.fromkeys(probs)]
     names = list(columns)
     wide = df.select(*by, *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(columns.values())])
     if not exact:
-        aggs = [F.percentile_approx(f"_x{i}", probs, 10000).alias(f"_x{i}") for i in range(len(names))]
-        rows = wide.groupBy(*by).agg(*aggs)
-        cells = [F.struct(F.lit(n).alias("variable"), F.lit(p).alias("prob"),
-                          F.get(f"_x{i}", F.lit(k)).alias("value"))
-                 for i, n in enumerate(names) for k, p in enumerate(probs)]
+        wanted = {n: F.col(f"_x{i}") for i, n in enumerate(names)}
+        if positives:
+            wanted |= {f"+{n}": F.when(F.col(f"_x{i}") > 0, F.col(f"_x{i}")) for i, n in enumerate(names)}
+        rows = wide.groupBy(*by).agg(*[F.percentile_approx(c, probs, 10000).alias(f"_p{i}") for i, c in enumerate(wanted.values())])
+        cells = [F.struct(F.lit(n).alias("variable"), F.lit(p).alias("prob"), F.get(f"_p{i}", F.lit(k)).alias("value"))
+                 for i, n in enumerate(wanted) for k, p in enumerate(probs)]
         return rows.select(*by, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
-    cut_rows = wide.agg(*[F.percentile_approx(f"_x{i}", [k / blocks for k in range(1, blocks)], 4 * blocks).alias(f"_x{i}")
+    cut_rows = wide.agg(*[F.percentile_approx(f"_x{i}", [k / blocks for k in range(1, blocks)], 2 * blocks).alias(f"_x{i}")
                           for i in range(len(names))]).first()
     inf = float("inf")
     splits = []
@@ -65,6 +66,9 @@ def percentiles(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column],
                          outputCols=[f"_b{i}" for i in range(len(names))], handleInvalid="keep").transform(wide)
     cells = [F.struct(F.lit(n).alias("variable"), F.col(f"_x{i}").alias("x"), F.col(f"_b{i}").cast("int").alias("block"))
              for i, n in enumerate(names)]
+    if positives:  # the same values in the same blocks, under another name
+        cells += [F.when(F.col(f"_x{i}") > 0, F.struct(F.lit(f"+{n}").alias("variable"), F.col(f"_x{i}").alias("x"),
+                                                       F.col(f"_b{i}").cast("int").alias("block"))) for i, n in enumerate(names)]
     long = blocked.select(*by, F.inline(F.array(*cells))).where(F.col("x").isNotNull())
 
     group = [*by, "variable"]
@@ -72,7 +76,7 @@ def percentiles(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column],
     located = (long.groupBy(*group, "block").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("before", F.coalesce(F.sum("n").over(rank_window.rowsBetween(Window.unboundedPreceding, -1)),
                                                 F.lit(0).cast("bigint")))
-               .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
+               .withColumn("total", F.sum("n").over(rank_window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
                .withColumn("want", F.transform(F.array(*[F.lit(p) for p in probs]), _rank_of))
                .withColumn("want", F.filter("want", lambda w: (w["low"] < F.col("before") + F.col("n"))
                                             & (w["high"] >= F.col("before"))))

@@ -23,12 +23,15 @@ METRICS = ("premium", "exposure", "severity", "frequency", "loss", "claims", "lo
 class Scope:
     """The segment looked at, the exposure base its exposure is summed in, and the exposure unit of frequency."""
 
-    segment: Column
+    segment: str | Column
     base: str | None = None
     per: float = 1.0
 
+    def condition(self) -> Column:
+        return F.expr(self.segment) if isinstance(self.segment, str) else self.segment
+
     def label(self) -> Column:
-        return F.when(self.segment, F.lit(SEGMENT)).otherwise(F.lit(REST))
+        return F.when(self.condition(), F.lit(SEGMENT)).otherwise(F.lit(REST))
 
     def exposure(self, book: Book) -> Column:
         x = F.col(book.spec.measures.exposure)
@@ -62,8 +65,7 @@ def policy_stats(grain: DataFrame, exact: bool = True) -> DataFrame:
     basic = (grain.select("scope", F.inline(F.array(*cells))).groupBy("metric", "scope")
              .agg(F.count(F.lit(1)).alias("n_policies"), F.count(v).alias("n_nonnull"), F.count_if(v > 0).alias("n_positive"),
                   F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.avg(v).alias("vmean"), F.sum(v).alias("vsum")))
-    wanted = {m: F.col(m) for m in METRICS} | {f"+{m}": F.when(F.col(m) > 0, F.col(m)) for m in METRICS}
-    long = percentiles(grain, ["scope"], wanted, GRID, exact)
+    long = percentiles(grain, ["scope"], {m: F.col(m) for m in METRICS}, GRID, exact, positives=True)
     positive = F.col("variable").startswith("+")
     pick = lambda p, flag: F.max(F.when((F.col("prob") == p) & (positive if flag else ~positive), F.col("value")))
     grids = (long.groupBy(F.regexp_replace("variable", r"^\+", "").alias("metric"), "scope")

@@ -17,7 +17,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
     The check reads max_rows + 1 rows at most, so the driver never holds more. Beyond it, the join shuffles.
     """
-    rows = df.limit(max_rows + 1).collect()
+    rows = df.limit(max_rows + 1).coalesce(1).collect()  # the limit as part of one job, not partition by partition
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
