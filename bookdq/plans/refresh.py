@@ -44,7 +44,7 @@ def run_checks(book: Book, configs: Mapping[str, Any], only: Sequence[str] | Non
             frames.append(materialize(entries[name].run(book, config).findings, f"findings-{name}"))
             log.info("%s done in %.1fs", name, time.monotonic() - started)
         except Exception as problem:  # noqa: BLE001 - recorded as a failed finding
-            log.warning("%s failed: %s", name, problem)
+            log.warning("%s failed: %s", name, str(problem).partition("\n")[0])
             errors[name] = str(problem)
             frames.append(error_finding(spark, name, str(problem)))
     return concat(frames, spark), errors

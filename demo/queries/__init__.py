@@ -1,2 +1,2 @@
 """One module per family of operators; importing them registers the queries."""
-from demo.queries import distribution, filters, keys_values, mix, summary, targets
+from demo.queries import distribution, filters, keys_values, mix, preparation, summary, targets, tracker  # noqa: F401

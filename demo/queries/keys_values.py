@@ -122,7 +122,9 @@ RULES = rules.RulesConfig(group_by=("src",), rules=(
     rules.BusinessRule("loss_without_claim", "coalesce(claim_cnt, 0) = 0", "loss_amt > 0", ("loss_amt", "claim_cnt")),
     rules.BusinessRule("deductible_of_first_line", "deductible_amt > 1500", "line_no = 1", ("deductible_amt",), warn=0.3, fail=0.5),
     rules.BusinessRule("placed", "location_id > 6", "src <> 'R'"),
-    rules.BusinessRule("negative_premium", "premium_amt < 0", variables=("premium_amt",), warn=0.001, fail=0.5)))
+    rules.BusinessRule("negative_premium", "premium_amt < 0", variables=("premium_amt",), warn=0.001, fail=0.5),
+    rules.BusinessRule("late_start", "eff_date >= DATE '2000-01-01'", variables=("eff_date",), fail=0.9),
+    rules.BusinessRule("early_start", "eff_date < DATE '1997-01-01'", variables=("eff_date",), warn=0.4, fail=0.9)))
 RULES_NEED = "exp_date eff_date line_no deductible_amt location_id"
 
 
@@ -132,7 +134,9 @@ SELECT 'exp_after_eff' AS rule, 'exp_date' AS variable, src, COUNT(*) AS n_appli
 UNION ALL SELECT 'loss_without_claim', 'loss_amt', src, COUNT(*) FILTER (loss_amt > 0), COUNT(*) FILTER (loss_amt > 0 AND COALESCE(claim_cnt, 0) = 0), 0.0, 0.001 FROM book GROUP BY src
 UNION ALL SELECT 'deductible_of_first_line', 'deductible_amt', src, COUNT(*) FILTER (line_no = 1), COUNT(*) FILTER (line_no = 1 AND deductible_amt > 1500), 0.3, 0.5 FROM book GROUP BY src
 UNION ALL SELECT 'placed', 'placed', src, COUNT(*) FILTER (src <> 'R'), COUNT(*) FILTER (src <> 'R' AND location_id > 6), 0.0, 0.001 FROM book GROUP BY src
-UNION ALL SELECT 'negative_premium', 'premium_amt', src, COUNT(*), COUNT(*) FILTER (premium_amt < 0), 0.001, 0.5 FROM book GROUP BY src) WHERE n_applicable > 0)"""
+UNION ALL SELECT 'negative_premium', 'premium_amt', src, COUNT(*), COUNT(*) FILTER (premium_amt < 0), 0.001, 0.5 FROM book GROUP BY src
+UNION ALL SELECT 'late_start', 'eff_date', src, COUNT(*), COUNT(*) FILTER (eff_date >= DATE '2000-01-01'), 0.0, 0.9 FROM book GROUP BY src
+UNION ALL SELECT 'early_start', 'eff_date', src, COUNT(*), COUNT(*) FILTER (eff_date < DATE '1997-01-01'), 0.4, 0.9 FROM book GROUP BY src) WHERE n_applicable > 0)"""
 
 
 @query("business_rules", "SELECT rule, variable, segment, n_applicable, n_violations, ROUND(violation_rate, 6) AS violation_rate, status FROM violations", with_=RULES_CTE)
