@@ -25,17 +25,28 @@ def _col(value, kind: str) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
 
 
-def findings(df: DataFrame, *, check: str, variable, item, metric: str, value: Column, dims: Iterable[str] = (),
-             warn=None, fail=None, status: Column | str | None = None, threshold=None, detail=None) -> DataFrame:
-    """One finding per row of `df`, whose segment is the given dimension columns."""
+def emit(df: DataFrame, check: str, dims: Iterable[str], *specs: dict) -> DataFrame:
+    """Several findings per row of `df` in one pass over it; the segment is the given dimension columns.
+
+    A spec has variable, item, metric, value, and any of warn, fail, status, threshold, detail, higher_is_worse and
+    `when`, the condition under which a row has this finding; `segment` and `dims` name another segment than the row's.
+    """
     dims = list(dims)
-    graded = _col(status, "string") if status is not None else grade(value.cast("double"), warn, fail)
-    limit = threshold if threshold is not None else fail
-    return df.select(
-        F.lit(check).alias("check"), _col(variable, "string").alias("variable"), _col(item, "string").alias("item"),
-        segment_label(df, dims).alias("segment"), F.lit(metric).alias("metric"), value.cast("double").alias("value"),
-        _col(limit, "double").alias("threshold"), graded.alias("status"), _col(detail, "string").alias("detail"),
-        segment_map(df, dims).alias("dims"))
+    cells = []
+    for spec in specs:
+        value = _col(spec["value"], "double")
+        status = spec.get("status")
+        graded = (_col(status, "string") if status is not None
+                  else grade(value, spec.get("warn"), spec.get("fail"), spec.get("higher_is_worse", True)))
+        limit = spec["threshold"] if "threshold" in spec else spec.get("fail")
+        cell = F.struct(
+            F.lit(check).alias("check"), _col(spec["variable"], "string").alias("variable"),
+            _col(spec.get("item"), "string").alias("item"), spec.get("segment", F.col("_segment")).alias("segment"),
+            F.lit(spec["metric"]).alias("metric"), value.alias("value"), _col(limit, "double").alias("threshold"),
+            graded.alias("status"), _col(spec.get("detail"), "string").alias("detail"), spec.get("dims", F.col("_dims")).alias("dims"))
+        cells.append(F.when(spec["when"], cell) if "when" in spec else cell)
+    named = df.withColumns({"_segment": segment_label(df, dims), "_dims": segment_map(df, dims)})
+    return named.select(F.inline(F.array(*cells))).where(F.col("check").isNotNull())
 
 
 def no_findings(spark: SparkSession) -> DataFrame:

@@ -12,6 +12,7 @@ from bookdq.book import Book
 from bookdq.functions.grading import grade
 from bookdq.operators import findings as fd
 from bookdq.plans.registry import CheckResult, check
+from bookdq.plans.sizing import materialize
 
 WHOLE = "_all"
 
@@ -44,14 +45,15 @@ def key_summary(book: Book, source: str, key: Sequence[str], cfg: KeyConfig = Ke
         zero(F.max(n)).alias("max_rows_per_key"),
         *[zero(F.sum(F.when(F.col(k).isNull(), n))).alias(f"null__{k}") for k in key])
     rate = F.when(F.col("n_rows") > 0, F.col("n_dup_rows") / F.col("n_rows")).otherwise(F.lit(0.0))
-    nulls = F.filter(F.array(*[F.when(F.col(f"null__{k}") > 0, F.concat(F.lit(f"{k} ("), fd.count_text(F.col(f"null__{k}")), F.lit(")")))
-                               for k in key]), lambda x: x.isNotNull())
-    return (out.withColumn("dup_rate", rate)
+    nulls = F.filter(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"null__{k}").alias("n")) for k in key]),
+                     lambda c: c["n"] > 0)
+    named = F.transform("key_nulls", lambda c: F.concat(c["column"], F.lit(" ("), fd.count_text(c["n"]), F.lit(")")))
+    return (out.withColumns({"dup_rate": rate, "key_nulls": nulls})
             .select(F.lit(source).alias("source"), grade(F.col("dup_rate"), cfg.warn_dup_rate, cfg.fail_dup_rate).alias("status"),
                     F.lit(", ".join(key)).alias("key"), "n_rows", "n_distinct_keys", "n_dup_rows", "n_dup_groups",
                     "dup_rate", "max_rows_per_key",
-                    F.when(F.size(nulls) > 0, F.array_join(nulls, ", ")).otherwise(F.lit("none")).alias("key_cols_with_nulls"),
-                    *[f"null__{k}" for k in key]))
+                    F.when(F.size("key_nulls") > 0, F.array_join(named, ", ")).otherwise(F.lit("none")).alias("key_cols_with_nulls"),
+                    "key_nulls"))
 
 
 def duplicate_sample(book: Book, source: str, key: Sequence[str], limit: int = 50) -> DataFrame:
@@ -116,29 +118,33 @@ def _key(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
 
 
+def key_findings(summary: DataFrame, source_column: str, cfg: KeyConfig) -> DataFrame:
+    """Duplicate rate per key, and the key columns that hold nulls."""
+    frames = []
+    for whole in (True, False):
+        part = summary.where((F.col("source") == WHOLE) == whole)
+        dims = [] if whole else [source_column]
+        part = part if whole else part.withColumn(source_column, F.col("source"))
+        frames.append(fd.emit(part, "key_uniqueness", dims, dict(
+            variable="_key", item=F.col("key"), metric="dup_rate", value=F.col("dup_rate"), warn=cfg.warn_dup_rate,
+            fail=cfg.fail_dup_rate,
+            detail=F.concat(fd.count_text(F.col("n_dup_rows")), F.lit(" duplicate rows in "),
+                            fd.count_text(F.col("n_dup_groups")), F.lit(" keys")))))
+        nulls = part.select(*dims, F.inline("key_nulls"))
+        frames.append(fd.emit(nulls, "key_uniqueness", dims, dict(
+            variable=F.col("column"), item="key column", metric="key_null_rows", value=F.col("n"), status="info",
+            detail=F.concat(F.lit("null in key column for "), fd.count_text(F.col("n")), F.lit(" rows")))))
+    return fd.concat(frames, summary.sparkSession)
+
+
 @check("key_uniqueness", KeyConfig, "Key uniqueness", order=10)
 def run(book: Book, cfg: KeyConfig) -> CheckResult:
-    spark, frames, tables = book.raw.sparkSession, [], {}
+    spark = book.raw.sparkSession
+    if not cfg.candidate_keys:
+        return CheckResult(fd.no_findings(spark), notes=["No candidate keys configured; use suggest_key."])
+    parts = [key_summary(book, source, key, cfg) for source, key in cfg.candidate_keys.items()]
+    summary = materialize(reduce(DataFrame.unionByName, parts), "keys")  # one row per key: findings and table read it
+    tables = {"summary": summary.drop("key_nulls")}
     for source, key in cfg.candidate_keys.items():
-        summary = key_summary(book, source, key, cfg)
-        dims = [] if source == WHOLE else [book.spec.source]
-        named = summary.withColumn(book.spec.source, F.lit(source)) if dims else summary
-        frames.append(fd.findings(
-            named, check="key_uniqueness", variable="_key", item=F.col("key"), metric="dup_rate", dims=dims,
-            value=F.col("dup_rate"), warn=cfg.warn_dup_rate, fail=cfg.fail_dup_rate,
-            detail=F.concat(fd.count_text(F.col("n_dup_rows")), F.lit(" duplicate rows in "),
-                            fd.count_text(F.col("n_dup_groups")), F.lit(" keys"))))
-        nulls = named.select(*dims, F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"null__{k}").alias("_v")) for k in key])))
-        frames.append(fd.findings(
-            nulls.where(F.col("_v") > 0), check="key_uniqueness", variable=F.col("_k"), item="key column",
-            metric="key_null_rows", dims=dims, value=F.col("_v"), status="info",
-            detail=F.concat(F.lit("null in key column for "), fd.count_text(F.col("_v")), F.lit(" rows"))))
-        tables[f"summary::{source}"] = summary
         tables[f"duplicates::{source}"] = duplicate_sample(book, source, key, cfg.sample_limit)
-    if tables:
-        shown = [t.drop(*[c for c in t.columns if c.startswith("null__")]) for n, t in tables.items() if n.startswith("summary")]
-        tables["summary"] = reduce(DataFrame.unionByName, shown)
-    notes = [] if cfg.candidate_keys else ["No candidate keys configured; use suggest_key."]
-    return CheckResult(fd.concat(frames, spark), tables, notes)
-
-
+    return CheckResult(key_findings(summary, book.spec.source, cfg), tables)

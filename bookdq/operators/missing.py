@@ -91,8 +91,8 @@ def missing_matrix(detail: DataFrame, variables: Sequence[str] | None = None) ->
 @check("missing_rate", MissingConfig, "Missing rate", order=20)
 def run(book: Book, cfg: MissingConfig) -> CheckResult:
     spark, by_level = book.raw.sparkSession, missing_rates(book, cfg)
-    frames = [fd.findings(df, check="missing_rate", variable=F.col("variable"), item=F.col("applies_when"),
-                          metric="missing_rate", dims=level, value=F.col("missing_rate"), threshold=F.col("fail"),
-                          status=F.col("status"), detail=fd.of_text(F.col("n_missing"), F.col("n_applicable")))
-              for level, df in by_level]
+    frames = [fd.emit(df, "missing_rate", level, dict(
+        variable=F.col("variable"), item=F.col("applies_when"), metric="missing_rate", value=F.col("missing_rate"),
+        threshold=F.col("fail"), status=F.col("status"), detail=fd.of_text(F.col("n_missing"), F.col("n_applicable"))))
+        for level, df in by_level]
     return CheckResult(fd.concat(frames, spark), {f"detail::{', '.join(l) or 'ALL'}": df for l, df in by_level})

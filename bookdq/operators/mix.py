@@ -72,32 +72,28 @@ def mix_measures(mix: DataFrame, dims: Sequence[str], t: Thresholds) -> DataFram
 
 def mix_findings(mix: DataFrame, dims: Sequence[str], t: Thresholds = Thresholds()) -> DataFrame:
     dims = list(dims)
-    one = mix_measures(mix, dims, t)
     # the eight largest thin segments, named in the finding
+    first = F.row_number().over(Window.orderBy(F.col("premium").desc(), "segment"))
     named = (mix.where(F.col("flag") == "thin").orderBy(F.col("premium").desc(), "segment").limit(8)
-             .withColumn("_at", F.row_number().over(Window.orderBy(F.col("premium").desc(), "segment")))
+             .withColumn("_at", first).groupBy()
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "segment"))), lambda s: s["segment"]), ", ").alias("x")))
-    common = dict(check=CHECK, variable=dims[0], item=" x ".join(dims))
-    largest = fd.findings(one, metric="top_segment_share", value=F.col("top.premium_share"), warn=t.large_share,
-                          threshold=t.large_share,
-                          detail=F.format_string("largest segment: %s premium, %s claims, Z=%.2f",
-                                                 F.format_number("top.premium", 0), fd.count_text(F.col("top.claims")),
-                                                 F.col("top.z_claims")), **common)
-    seg = one.select(F.col("top.segment").alias("_segment"), F.col("top.dims").alias("_dims"))
-    largest = largest.withColumns({"segment": seg.select("_segment").scalar(), "dims": seg.select("_dims").scalar()})
-    thin_text = F.concat(F.coalesce(named.scalar(), F.lit("")), F.when(F.col("n_thin") > 8, F.lit("…")).otherwise(F.lit("")))
-    return fd.concat([
-        fd.findings(one, metric="n_segments", value=F.col("n_segments"), status="info",
-                    detail=F.format_string("%d segment(s) make up half the premium · HHI %.3f", "n_for_half", "hhi"), **common),
-        largest,
-        fd.findings(one, metric="pct_premium_below_credibility", value=F.col("below"), warn=t.thin_premium_warn,
-                    fail=t.thin_premium_fail,
-                    detail=F.format_string(f"%.1f%% of premium sits in segments with Z < {t.z_target:.2f}", F.col("below") * 100),
-                    **common),
-        fd.findings(one, metric="n_thin_material_segments", value=F.col("n_thin"), warn=0.0, threshold=0.0,
-                    detail=F.when(F.col("n_thin") > 0, thin_text).otherwise(F.lit("every material segment reaches the credibility target")),
-                    **common),
-    ], mix.sparkSession)
+    one = mix_measures(mix, dims, t).withColumn("_thin", named.scalar())
+    thin_text = F.concat("_thin", F.when(F.col("n_thin") > 8, F.lit("…")).otherwise(F.lit("")))
+    common = dict(variable=dims[0], item=" x ".join(dims))
+    found = fd.emit(
+        one, CHECK, [],
+        dict(metric="n_segments", value=F.col("n_segments"), status="info",
+             detail=F.format_string("%d segment(s) make up half the premium · HHI %.3f", "n_for_half", "hhi"), **common),
+        dict(metric="top_segment_share", value=F.col("top.premium_share"), warn=t.large_share, threshold=t.large_share,
+             segment=F.col("top.segment"), dims=F.col("top.dims"),
+             detail=F.format_string("largest segment: %s premium, %s claims, Z=%.2f", F.format_number("top.premium", 0),
+                                    fd.count_text(F.col("top.claims")), F.col("top.z_claims")), **common),
+        dict(metric="pct_premium_below_credibility", value=F.col("below"), warn=t.thin_premium_warn, fail=t.thin_premium_fail,
+             detail=F.format_string(f"%.1f%% of premium sits in segments with Z < {t.z_target:.2f}", F.col("below") * 100), **common),
+        dict(metric="n_thin_material_segments", value=F.col("n_thin"), warn=0.0, threshold=0.0,
+             detail=F.when(F.col("n_thin") > 0, thin_text).otherwise(F.lit("every material segment reaches the credibility target")),
+             **common))
+    return found
 
 
 @check(CHECK, MixConfig, "Segment mix & credibility", order=80, category="Portfolio analysis")

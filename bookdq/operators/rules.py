@@ -63,12 +63,11 @@ def run(book: Book, cfg: RulesConfig) -> CheckResult:
     if not cfg.rules:
         return CheckResult(fd.no_findings(book.raw.sparkSession))
     detail = rule_violations(book, cfg)
-    found = fd.findings(detail, check="business_rules", variable=F.col("variable"), item=F.col("rule"),
-                        metric="violation_rate", dims=cfg.group_by, value=F.col("violation_rate"),
-                        threshold=F.col("fail"), status=F.col("status"),
-                        detail=F.concat(fd.of_text(F.col("n_violations"), F.col("n_applicable")),
-                                        F.when(F.col("description") != "", F.concat(F.lit(" · "), F.col("description")))
-                                        .otherwise(F.lit(""))))
+    described = F.when(F.col("description") != "", F.concat(F.lit(" · "), F.col("description"))).otherwise(F.lit(""))
+    found = fd.emit(detail, "business_rules", cfg.group_by, dict(
+        variable=F.col("variable"), item=F.col("rule"), metric="violation_rate", value=F.col("violation_rate"),
+        threshold=F.col("fail"), status=F.col("status"),
+        detail=F.concat(fd.of_text(F.col("n_violations"), F.col("n_applicable")), described)))
     return CheckResult(found, {"detail": detail})
 
 

@@ -217,21 +217,20 @@ def target_findings(target: str, t: TargetTables, cfg: TargetConfig = TargetConf
     by_var = t.oneway.groupBy("var_a").agg(
         F.when(F.count_if(used) > 1, hi / lo).alias("spread"), F.count_if(used).alias("n_used"),
         share(F.coalesce(F.sum(F.when(F.col("claims") < cfg.min_claims, F.col("weight"))), F.lit(0.0)), F.sum("weight")).alias("thin"))
-    strong = t.strength.where(F.col("strength").isNotNull())
-    common = dict(check=CHECK, variable=F.col("var_a"))
-    return fd.concat([
-        fd.findings(by_var, item=target, metric="target_spread", value=F.col("spread"), warn=cfg.spread_warn,
-                    threshold=cfg.spread_warn,
-                    detail=F.when(F.col("spread").isNull(), F.lit("not enough credible levels to compare"))
-                    .otherwise(F.format_string(f"{target} varies %.1fx across %d credible levels", "spread", "n_used")), **common),
-        fd.findings(by_var, item=target, metric="pct_weight_low_credibility", value=F.col("thin"), warn=0.1, fail=0.25,
-                    detail=F.format_string(f"%.1f%% of weight sits in levels with fewer than {cfg.min_claims} claims", F.col("thin") * 100),
-                    **common),
-        fd.findings(strong, item=F.concat(F.lit(f"{target}: "), F.col("pair")), metric="interaction_strength",
-                    value=F.col("strength"), warn=cfg.interaction_warn, threshold=cfg.interaction_warn,
-                    detail=F.format_string("a main-effects model is typically %.0f%% out across %d credible cells",
-                                           F.col("typical_error") * 100, F.col("n_credible")), **common),
-    ], t.oneway.sparkSession)
+    variable = F.col("var_a")
+    one = fd.emit(
+        by_var, CHECK, [],
+        dict(variable=variable, item=target, metric="target_spread", value=F.col("spread"), warn=cfg.spread_warn, threshold=cfg.spread_warn,
+             detail=F.when(F.col("spread").isNull(), F.lit("not enough credible levels to compare"))
+             .otherwise(F.format_string(f"{target} varies %.1fx across %d credible levels", "spread", "n_used"))),
+        dict(variable=variable, item=target, metric="pct_weight_low_credibility", value=F.col("thin"), warn=0.1, fail=0.25,
+             detail=F.format_string(f"%.1f%% of weight sits in levels with fewer than {cfg.min_claims} claims", F.col("thin") * 100)))
+    two = fd.emit(
+        t.strength, CHECK, [],
+        dict(variable=variable, item=F.concat(F.lit(f"{target}: "), F.col("pair")), metric="interaction_strength", when=F.col("strength").isNotNull(),
+             value=F.col("strength"), warn=cfg.interaction_warn, threshold=cfg.interaction_warn,
+             detail=F.format_string("a main-effects model is typically %.0f%% out across %d credible cells", F.col("typical_error") * 100, F.col("n_credible"))))
+    return one.unionByName(two)
 
 
 def interaction_lines(t: TargetTables, var_a: str, var_b: str, cfg: TargetConfig = TargetConfig(), swap: bool = False,

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookdq.book import Book
@@ -12,6 +12,9 @@ from bookdq.functions.labels import level_text
 from bookdq.functions.percentiles import percentiles
 from bookdq.operators import findings as fd
 from bookdq.plans.registry import CheckResult, check
+from bookdq.plans.sizing import materialize
+
+CHECK = "value_checks"
 
 
 @dataclass(frozen=True)
@@ -54,25 +57,30 @@ class ValuesConfig:
 
 
 # ---- categorical ---------------------------------------------------------------------
-def value_counts(book: Book, column: str) -> DataFrame:
-    """(value, source, n) of the non-null values of a column; rows without a source are left out."""
+def value_counts(book: Book, columns: Sequence[str]) -> DataFrame:
+    """(variable, value, source, n) of the non-null values of several columns, in one pass over the book.
+
+    Counting is map-side first, so a value or a source that holds a third of the rows costs no more than another.
+    Rows without a source are left out.
+    """
     df, src = book.population(), book.spec.source
-    text = level_text(F.col(column), df.schema[book.require([column])[0]].dataType)
-    return (df.where(F.col(column).isNotNull() & F.col(src).isNotNull())
-            .groupBy(text.alias("value"), src).agg(F.count(F.lit(1)).alias("n")))
+    cells = [F.struct(F.lit(c).alias("variable"), level_text(F.col(c), df.schema[c].dataType).alias("value"))
+             for c in book.require(columns)]
+    return (df.where(F.col(src).isNotNull()).select(src, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+            .groupBy("variable", "value", src).agg(F.count(F.lit(1)).alias("n")))
 
 
-def value_matrix(book: Book, column: str, sources: Sequence[str] | None = None) -> DataFrame:
+def value_matrix(book: Book, column: str, sources: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Value x source counts; the configured sources name the columns, so nothing is scanned to find them."""
-    src = book.spec.source
-    wide = value_counts(book, column).groupBy("value").pivot(src, list(sources or book.spec.sources)).agg(F.sum("n"))
+    counts = value_counts(book, [column]) if counts is None else counts.where(F.col("variable") == column)
+    wide = counts.groupBy("value").pivot(book.spec.source, list(sources or book.spec.sources)).agg(F.sum("n"))
     return wide.fillna(0, [c for c in wide.columns if c != "value"])
 
 
 def value_shares(book: Book, column: str) -> DataFrame:
     """Share of each value in its source, and how many sources use it."""
     src = book.spec.source
-    counts = value_counts(book, column)
+    counts = value_counts(book, [column])
     totals = counts.groupBy(src).agg(F.sum("n").alias("n_source"))
     used = counts.withColumn("used_by", F.count(F.lit(1)).over(Window.partitionBy("value")))  # rows: one per source
     return used.join(totals, src).select("value", src, "n", (F.col("n") / F.col("n_source")).alias("share"), "used_by")
@@ -81,134 +89,182 @@ def value_shares(book: Book, column: str) -> DataFrame:
 def used_by_one(book: Book, column: str) -> DataFrame:
     """Values only one source uses, with that source and its rows."""
     src = book.spec.source
-    per_value = value_counts(book, column).groupBy("value").agg(F.count(F.lit(1)).alias("_k"), F.min(src).alias(src),
-                                                                F.sum("n").alias("n_rows"))
+    per_value = value_counts(book, [column]).groupBy("value").agg(F.count(F.lit(1)).alias("_k"), F.min(src).alias(src),
+                                                                  F.sum("n").alias("n_rows"))
     return per_value.where(F.col("_k") == 1).select("value", src, "n_rows").orderBy(F.col("n_rows").desc(), "value")
 
 
-def source_unique(book: Book, column: str, rule: CategoricalRule = CategoricalRule()) -> DataFrame:
-    """Per source: how many values nobody else uses, their share of the source's rows, and the first ten of them.
+def inventory(counts: DataFrame, source: str) -> DataFrame:
+    """Per variable: distinct values and sources."""
+    return counts.groupBy("variable").agg(F.count_distinct("value").alias("n_values"), F.count_distinct(source).alias("n_sources"))
+
 
-    Empty when the column has more than `max_values` values.
+def unique_by_source(counts: DataFrame, source: str) -> DataFrame:
+    """Per variable and source: values nobody else uses, their share of the source's rows, and the first ten of them.
+
+    The window that counts the sources of a value holds one row per source.
     """
-    src = book.spec.source
-    counts = value_counts(book, column).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("value")))
+    used = counts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("variable", "value")))
     own = F.col("_k") == 1
-    per_source = counts.groupBy(src).agg(
+    per_source = used.groupBy("variable", source).agg(
         F.count_if(own).alias("source_unique_values"),
         F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("n_rows_unique"), F.sum("n").alias("n_rows"))
-    n_values = value_counts(book, column).agg(F.count_distinct("value").alias("v"))
-    first = (counts.where(own).withColumn("_at", F.row_number().over(Window.partitionBy(src).orderBy("value")))
-             .where(F.col("_at") <= 10).groupBy(src)
+    at = F.row_number().over(Window.partitionBy("variable", source).orderBy("value"))
+    first = (used.where(own).withColumn("_at", at).where(F.col("_at") <= 10).groupBy("variable", source)
              .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("first_values")))  # ten a source
-    out = per_source.join(first, src, "left").where(n_values.scalar() <= rule.max_values)
-    out = out.withColumn("pct_rows_source_unique", F.col("n_rows_unique") / F.col("n_rows"))
-    return out.select(src, "source_unique_values", "n_rows_unique", "n_rows", "pct_rows_source_unique",
-                      F.concat(F.coalesce("first_values", F.lit("")),
-                               F.when(F.col("source_unique_values") > 10, F.lit("…")).otherwise(F.lit(""))).alias("first_values"))
+    more = F.when(F.col("source_unique_values") > 10, F.lit("…")).otherwise(F.lit(""))
+    return per_source.join(first, ["variable", source], "left").select(
+        "variable", source, "source_unique_values", "n_rows_unique", "n_rows",
+        (F.col("n_rows_unique") / F.col("n_rows")).alias("pct_rows_source_unique"),
+        F.concat(F.coalesce("first_values", F.lit("")), more).alias("first_values"))
 
 
-def _categorical_findings(book: Book, column: str, rule: CategoricalRule) -> list[DataFrame]:
-    src = book.spec.source
-    common = dict(check="value_checks", variable=column)
-    inventory = value_counts(book, column).agg(F.count_distinct("value").alias("n_values"), F.count_distinct(src).alias("_s"))
-    per_source = source_unique(book, column, rule)
-    unique = dict(item="used by one source only", dims=[src])
+def source_unique(book: Book, column: str, rule: CategoricalRule = CategoricalRule()) -> DataFrame:
+    """`unique_by_source` of one column; empty when it has more than `max_values` values."""
+    counts = value_counts(book, [column])
+    few = inventory(counts, book.spec.source).where(F.col("n_values") <= rule.max_values).select("variable")
+    return unique_by_source(counts, book.spec.source).join(few, "variable", "left_semi").drop("variable")
+
+
+def _per_variable(rules: Mapping[str, object], names: Sequence[str]) -> Column:
+    """The numeric settings of every variable's rule, looked up by `variable`."""
+    return F.create_map(*[c for v, r in rules.items() for c in (
+        F.lit(v), F.struct(*[F.lit(getattr(r, n)).cast("double").alias(n) for n in names]))])[F.col("variable")]
+
+
+def _categorical_findings(counts: DataFrame, rules: Mapping[str, CategoricalRule], src: str) -> list[DataFrame]:
+    limits = _per_variable(rules, ("max_values", "warn_unique", "warn_rows", "fail_rows"))
+    found = inventory(counts, src)
+    few = found.withColumn("_r", limits).where(F.col("n_values") <= F.col("_r.max_values")).select("variable", "_r")
+    per_source = unique_by_source(counts, src).join(few, "variable")
+    variable, item = F.col("variable"), "used by one source only"
     return [
-        fd.findings(inventory.where(F.col("n_values") > 0), item="inventory", metric="n_values", value=F.col("n_values"),
-                    status="info", detail=F.concat(fd.count_text(F.col("n_values")), F.lit(" distinct values across "),
-                                                   F.col("_s").cast("string"), F.lit(" sources")), **common),
-        fd.findings(per_source, metric="source_unique_values", value=F.col("source_unique_values"),
-                    warn=rule.warn_unique, threshold=rule.warn_unique, detail=F.col("first_values"), **common, **unique),
-        fd.findings(per_source, metric="pct_rows_source_unique", value=F.col("pct_rows_source_unique"),
-                    warn=rule.warn_rows, fail=rule.fail_rows,
-                    detail=fd.of_text(F.col("n_rows_unique"), F.col("n_rows")), **common, **unique),
-    ]
+        fd.emit(found, CHECK, [], dict(
+            variable=variable, item="inventory", metric="n_values", value=F.col("n_values"), status="info",
+            detail=F.concat(fd.count_text(F.col("n_values")), F.lit(" distinct values across "), F.col("n_sources").cast("string"),
+                            F.lit(" sources")))),
+        fd.emit(per_source, CHECK, [src],
+                dict(variable=variable, item=item, metric="source_unique_values", value=F.col("source_unique_values"),
+                     warn=F.col("_r.warn_unique"), threshold=F.col("_r.warn_unique"), detail=F.col("first_values")),
+                dict(variable=variable, item=item, metric="pct_rows_source_unique", value=F.col("pct_rows_source_unique"),
+                     warn=F.col("_r.warn_rows"), fail=F.col("_r.fail_rows"), detail=fd.of_text(F.col("n_rows_unique"), F.col("n_rows"))))]
 
 
 # ---- numeric -------------------------------------------------------------------------
-def numeric_plausibility(book: Book, column: str, rule: NumericRule = NumericRule()) -> DataFrame:
-    """Per source: rows, values, negative, zero and out-of-bounds counts with their share of the values, min, max."""
-    src, x = book.spec.source, F.col(book.require([column])[0])
-    below = F.count_if(x < rule.min) if rule.min is not None else F.lit(0).cast("bigint")
-    above = F.count_if(x > rule.max) if rule.max is not None else F.lit(0).cast("bigint")
-    out = book.population().groupBy(src).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n_nonnull"), F.count_if(x < 0).alias("n_negative"),
-        F.count_if(x == 0).alias("n_zero"), below.alias("n_below"), above.alias("n_above"),
-        F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+def plausibility(book: Book, rules: Mapping[str, NumericRule]) -> DataFrame:
+    """Per variable and source: rows, values, negative, zero and out-of-bounds counts with their share of the values,
+    min and max. All columns are conditional aggregates of one pass."""
+    src = book.spec.source
+    names = book.require(rules)
+    aggs = []
+    for i, (name, rule) in enumerate(rules.items()):
+        x = F.col(name)
+        below = F.count_if(x < rule.min) if rule.min is not None else F.lit(0).cast("bigint")
+        above = F.count_if(x > rule.max) if rule.max is not None else F.lit(0).cast("bigint")
+        aggs += [F.count(x).alias(f"_v{i}"), F.count_if(x < 0).alias(f"_n{i}"), F.count_if(x == 0).alias(f"_z{i}"), below.alias(f"_b{i}"),
+                 above.alias(f"_a{i}"), F.min(x).cast("double").alias(f"_l{i}"), F.max(x).cast("double").alias(f"_h{i}")]
+    wide = book.population().groupBy(src).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    fields = {"n_nonnull": "_v", "n_negative": "_n", "n_zero": "_z", "n_below": "_b", "n_above": "_a", "min": "_l", "max": "_h"}
+    cells = [F.struct(F.lit(n).alias("variable"), *[F.col(f"{c}{i}").alias(f) for f, c in fields.items()]) for i, n in enumerate(names)]
     part = lambda n: F.when(F.col("n_nonnull") > 0, n / F.col("n_nonnull"))
-    return out.withColumns({"pct_out_of_bounds": part(F.col("n_below") + F.col("n_above")),
-                            "pct_negative": part(F.col("n_negative")), "pct_zero": part(F.col("n_zero"))})
+    return wide.select(src, "n_rows", F.inline(F.array(*cells))).withColumns({
+        "pct_out_of_bounds": part(F.col("n_below") + F.col("n_above")), "pct_negative": part(F.col("n_negative")),
+        "pct_zero": part(F.col("n_zero"))})
 
 
-def top_value_share(book: Book, column: str) -> DataFrame:
-    """Per source: the most common value (the smallest on a tie), its rows and its share of the non-null rows."""
-    src = book.spec.source
+def numeric_plausibility(book: Book, column: str, rule: NumericRule = NumericRule()) -> DataFrame:
+    return plausibility(book, {column: rule}).drop("variable")
+
+
+def top_values(counts: DataFrame, source: str) -> DataFrame:
+    """Per variable and source: the most common value (the smallest on a tie), its rows and its share."""
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value")))
-    out = value_counts(book, column).groupBy(src).agg(best.alias("_b"), F.max("n").alias("n_top"), F.sum("n").alias("n_values"))
-    return out.select(src, F.col("_b.value").alias("top_value"), "n_top", "n_values",
+    out = counts.groupBy("variable", source).agg(best.alias("_b"), F.max("n").alias("n_top"), F.sum("n").alias("n_values"))
+    return out.select("variable", source, F.col("_b.value").alias("top_value"), "n_top", "n_values",
                       (F.col("n_top") / F.col("n_values")).alias("top_value_share"))
 
 
-def medians_by_source(book: Book, column: str, exact: bool = True) -> DataFrame:
+def top_value_share(book: Book, column: str) -> DataFrame:
+    return top_values(value_counts(book, [column]), book.spec.source).drop("variable")
+
+
+def medians(book: Book, columns: Sequence[str], exact: bool = True) -> DataFrame:
+    """(variable, source, median) of several columns at once."""
     src = book.spec.source
-    return (percentiles(book.population(), [src], {column: F.col(column)}, [0.5], exact)
-            .select(src, F.col("value").alias("median")))
+    return (percentiles(book.population(), [src], {c: F.col(c) for c in book.require(columns)}, [0.5], exact)
+            .select("variable", src, F.col("value").alias("median")))
 
 
-def median_ratio(book: Book, column: str, exact: bool = True) -> DataFrame:
-    """One row: largest over smallest non-zero median of the sources, if there are two or more; null when a median is
-    negative, where a ratio says nothing."""
-    m = medians_by_source(book, column, exact).where(F.col("median") != 0)
-    out = m.agg(F.count(F.lit(1)).alias("n_sources"), F.min("median").alias("lo"), F.max("median").alias("hi"))
-    return (out.where(F.col("n_sources") > 1)
-            .select("n_sources", F.col("lo").alias("min_median"), F.col("hi").alias("max_median"),
-                    F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")).alias("median_ratio")))
+def medians_by_source(book: Book, column: str, exact: bool = True) -> DataFrame:
+    return medians(book, [column], exact).drop("variable")
 
 
-def _bound(v: float | None, otherwise: str) -> str:
-    return otherwise if v is None else f"{v:g}"
+def median_ratios(found: DataFrame) -> DataFrame:
+    """Per variable: largest over smallest non-zero median of the sources, if there are two or more; null when a
+    median is negative, where a ratio says nothing."""
+    out = found.where(F.col("median") != 0).groupBy("variable").agg(
+        F.count(F.lit(1)).alias("n_sources"), F.min("median").alias("min_median"), F.max("median").alias("max_median"))
+    return out.where(F.col("n_sources") > 1).withColumn(
+        "median_ratio", F.when(F.col("min_median") > 0, F.col("max_median") / F.col("min_median")))
 
 
-def _numeric_findings(book: Book, column: str, rule: NumericRule, cfg: ValuesConfig) -> list[DataFrame]:
-    src = book.spec.source
-    rows = numeric_plausibility(book, column, rule).where(F.col("n_nonnull") > 0)
-    common = dict(check="value_checks", variable=column, dims=[src])
-    n = F.col("n_nonnull")
-    out = []
-    if rule.min is not None or rule.max is not None:
-        out.append(fd.findings(
-            rows, item=f"outside [{_bound(rule.min, '-inf')}, {_bound(rule.max, 'inf')}]", metric="pct_out_of_bounds",
-            value=F.col("pct_out_of_bounds"), warn=rule.out_of_bounds_warn, fail=rule.out_of_bounds_fail,
-            detail=F.concat(fd.count_text(F.col("n_below")), F.lit(" below, "), fd.count_text(F.col("n_above")),
-                            F.lit(" above of "), fd.count_text(n)), **common))
-    for wanted, item, metric, count in ((not rule.allow_negative, "negative values", "pct_negative", "n_negative"),
-                                        (not rule.allow_zero, "zero values", "pct_zero", "n_zero")):
-        if wanted:
-            out.append(fd.findings(rows, item=item, metric=metric, value=F.col(metric), warn=rule.sign_warn,
-                                   fail=rule.sign_fail, detail=fd.of_text(F.col(count), n, ""), **common))
-    if rule.discrete and rule.top_value_warn is not None and column in cfg.categorical:
-        top = top_value_share(book, column)
-        out.append(fd.findings(top, item=F.concat(F.lit("most common value: "), F.col("top_value")),
-                               metric="top_value_share", value=F.col("top_value_share"), warn=rule.top_value_warn,
-                               threshold=rule.top_value_warn, detail=fd.of_text(F.col("n_top"), F.col("n_values")), **common))
-    if rule.compare_medians:
-        limits = rule.median_ratio or cfg.median_ratio
-        out.append(fd.findings(median_ratio(book, column), check="value_checks", variable=column, item="median by source",
-                               metric="median_ratio_across_src", value=F.col("median_ratio"), warn=limits.warn,
-                               fail=limits.fail, detail=F.format_string("%.2f to %.2f", "min_median", "max_median")))
+def median_ratio(book: Book, column: str, exact: bool = True) -> DataFrame:
+    return median_ratios(medians(book, [column], exact)).drop("variable")
+
+
+def _bounds_text(rule: NumericRule) -> str:
+    lo, hi = ("-inf" if rule.min is None else f"{rule.min:g}"), ("inf" if rule.max is None else f"{rule.max:g}")
+    return f"outside [{lo}, {hi}]"
+
+
+def _numeric_findings(book: Book, cfg: ValuesConfig, rows: DataFrame, counts: DataFrame | None) -> list[DataFrame]:
+    src, rules = book.spec.source, cfg.numeric
+    variable, n = F.col("variable"), F.col("n_nonnull")
+    bounded = [v for v, r in rules.items() if r.min is not None or r.max is not None]
+    signed = [v for v, r in rules.items() if not r.allow_negative]
+    nonzero = [v for v, r in rules.items() if not r.allow_zero]
+    text = F.create_map(*[F.lit(t) for v, r in rules.items() for t in (v, _bounds_text(r))])[variable]
+    rated = rows.where(n > 0).withColumns({"_r": _per_variable(rules, ("out_of_bounds_warn", "out_of_bounds_fail", "sign_warn", "sign_fail")), "_text": text})
+    sign = dict(variable=variable, warn=F.col("_r.sign_warn"), fail=F.col("_r.sign_fail"))
+    out = [fd.emit(
+        rated, CHECK, [src],
+        dict(variable=variable, item=F.col("_text"), metric="pct_out_of_bounds", when=variable.isin(bounded), value=F.col("pct_out_of_bounds"),
+             warn=F.col("_r.out_of_bounds_warn"), fail=F.col("_r.out_of_bounds_fail"),
+             detail=F.concat(fd.count_text(F.col("n_below")), F.lit(" below, "), fd.count_text(F.col("n_above")), F.lit(" above of "), fd.count_text(n),
+                             F.lit(" · observed "), F.format_number("min", 0), F.lit(" to "), F.format_number("max", 0))),
+        dict(item="negative values", metric="pct_negative", when=variable.isin(signed), value=F.col("pct_negative"),
+             detail=fd.of_text(F.col("n_negative"), n, ""), **sign),
+        dict(item="zero values", metric="pct_zero", when=variable.isin(nonzero), value=F.col("pct_zero"),
+             detail=fd.of_text(F.col("n_zero"), n, ""), **sign))]
+    ladders = {v: r for v, r in rules.items() if r.discrete and r.top_value_warn is not None and v in cfg.categorical}
+    if ladders and counts is not None:
+        top = top_values(counts.where(variable.isin(list(ladders))), src).withColumn("_r", _per_variable(ladders, ("top_value_warn",)))
+        out.append(fd.emit(top, CHECK, [src], dict(
+            variable=variable, item=F.concat(F.lit("most common value: "), F.col("top_value")), metric="top_value_share",
+            value=F.col("top_value_share"), warn=F.col("_r.top_value_warn"), threshold=F.col("_r.top_value_warn"),
+            detail=fd.of_text(F.col("n_top"), F.col("n_values")))))
+    compared = {v: r.median_ratio or cfg.median_ratio for v, r in rules.items() if r.compare_medians}
+    if compared:
+        ratios = median_ratios(medians(book, list(compared))).withColumn("_r", _per_variable(compared, ("warn", "fail")))
+        out.append(fd.emit(ratios, CHECK, [], dict(
+            variable=variable, item="median by source", metric="median_ratio_across_src", value=F.col("median_ratio"), warn=F.col("_r.warn"),
+            fail=F.col("_r.fail"), detail=F.format_string("%.2f to %.2f", "min_median", "max_median"))))
     return out
 
 
-@check("value_checks", ValuesConfig, "Values check", order=27)
+@check(CHECK, ValuesConfig, "Values check", order=27)
 def run(book: Book, cfg: ValuesConfig) -> CheckResult:
+    """Two passes over the book (value counts of all categorical columns, aggregates of all numeric ones) and the
+    medians; the counts are stored, since inventory, unique values, top shares and tables all read them."""
     frames: list[DataFrame] = []
     tables: dict[str, DataFrame] = {}
-    for column, rule in cfg.categorical.items():
-        frames += _categorical_findings(book, column, rule)
-        tables[f"values::{column}"] = value_matrix(book, column)
-    for column, rule in cfg.numeric.items():
-        frames += _numeric_findings(book, column, rule, cfg)
-        tables[f"numeric::{column}"] = numeric_plausibility(book, column, rule)
+    counts = None
+    if cfg.categorical:
+        counts = materialize(value_counts(book, list(cfg.categorical)), "values")
+        frames += _categorical_findings(counts, cfg.categorical, book.spec.source)
+        tables |= {f"values::{c}": value_matrix(book, c, counts=counts) for c in cfg.categorical}
+    if cfg.numeric:
+        rows = materialize(plausibility(book, cfg.numeric), "plausibility")
+        frames += _numeric_findings(book, cfg, rows, counts)
+        tables |= {f"numeric::{c}": rows.where(F.col("variable") == c).drop("variable") for c in cfg.numeric}
     return CheckResult(fd.concat(frames, book.raw.sparkSession), tables)
-

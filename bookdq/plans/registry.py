@@ -4,7 +4,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, fields, is_dataclass
-from typing import Any, get_args, get_type_hints
+from types import UnionType
+from typing import Any, Union, get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame
 
@@ -68,18 +69,18 @@ def from_dict(cls: type, data: Mapping) -> Any:
 
 
 def _convert(hint: Any, value: Any) -> Any:
-    if value is None:
-        return None
-    if is_dataclass(hint) and isinstance(value, Mapping):
-        return from_dict(hint, value)
-    args = get_args(hint)
-    if isinstance(value, Mapping) and len(args) == 2:
-        return {k: _convert(args[1], v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        inner = next((a for a in args if is_dataclass(a)), None)
-        return tuple(from_dict(inner, v) if inner and isinstance(v, Mapping) else v for v in value)
-    option = next((a for a in args if is_dataclass(a)), None)
-    return from_dict(option, value) if option and isinstance(value, Mapping) else value
+    """A plain value in the shape its type hint asks for: dataclass, mapping of them, tuple of them, or as it is."""
+    options = [hint, *get_args(hint)] if get_origin(hint) in (Union, UnionType) else [hint]
+    for option in options:
+        args = get_args(option)
+        if isinstance(value, Mapping):
+            if is_dataclass(option):
+                return from_dict(option, value)
+            if len(args) == 2 and get_origin(option) in (dict, Mapping):
+                return {k: _convert(args[1], v) for k, v in value.items()}
+        if isinstance(value, (list, tuple)) and get_origin(option) is tuple:
+            return tuple(_convert(args[0], v) for v in value)
+    return value
 
 
 def check_config(entry: CheckEntry, settings: Mapping | None = None, overrides: Mapping | None = None) -> Any:
