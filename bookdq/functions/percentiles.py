@@ -118,8 +118,3 @@ def percentile_row(df: DataFrame, columns: Mapping[str, Column], probs: Sequence
     rows = percentiles(df, [], columns, probs, exact).collect()
     return {(r["variable"], r["prob"]): r["value"] for r in rows}
 
-
-def spread_percentiles(long: DataFrame, by: Sequence[str], variable: str, probs: Mapping[str, float]) -> DataFrame:
-    """Wide frame (*by, one column per named probability) of one variable of a long percentile frame."""
-    return (long.where(F.col("variable") == variable).groupBy(*by)
-            .agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in probs.items()]))

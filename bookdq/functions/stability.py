@@ -22,11 +22,11 @@ def psi_between_peers(counts: DataFrame, dims: Sequence[str], across: str, key:
     for d in dims:
         known = known.where(F.col(d).isNotNull())
     known = known.withColumn("_key", F.col(key).cast("string")).groupBy(*dims, "_key").agg(F.sum(n).alias("_n"))
-    keys = known.agg(F.array_sort(F.collect_set("_key")).alias("keys"))  # the keys of one variable: capped upstream
+    keys = known.agg(F.array_sort(F.collect_set("_key")).alias("_keys"))  # buckets, or categories after folding
     cells = (known.where(F.col("_n") > 0).groupBy(*dims)
              .agg(F.map_from_entries(F.collect_list(F.struct("_key", F.col("_n").cast("double")))).alias("_cells"),
-                  F.sum("_n").alias("n"))
-             .withColumn("_keys", keys.scalar()))
+                  F.sum("_n").alias("n")))
+    cells = cells.withColumn("_keys", keys.scalar())
     raw = F.transform("_keys", lambda k: F.greatest(F.coalesce(F.try_element_at("_cells", k), F.lit(0.0)),
                                                     F.lit(EMPTY_CELL)))
     vectors = (cells.withColumn("_raw", raw)

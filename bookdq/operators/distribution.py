@@ -4,16 +4,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookdq.book import Book
 from bookdq.functions.labels import NULL_LABEL, OTHER_LABEL, level_text, natural_order, label_of, segment_label
-from bookdq.functions.percentiles import percentile_grid, percentile_row, percentiles, spread_percentiles
+from bookdq.functions.percentiles import percentile_grid, percentile_row, percentiles
 from bookdq.functions.scales import METHODS, bucket, from_scale, to_scale
 from bookdq.functions.stability import psi_between_peers
 from bookdq.operators import findings as fd
 from bookdq.plans.registry import CheckResult, check
+from bookdq.plans.sizing import materialize
 
 CHECK = "distribution"
 
@@ -69,30 +70,42 @@ class DistributionConfig:
 
 
 # ---- numeric -------------------------------------------------------------------------
+# Profiles with the same dimensions share their passes over the book; frames of several carry a column `variable`.
+def grids(book: Book, profiles: Sequence[Profile], exact: bool = True) -> DataFrame:
+    """(*dims, variable, percentile, value) over the grids of profiles with the same dimensions."""
+    dims = book.require(profiles[0].group_by)
+    wanted = {p.name: percentile_grid(p.percentile_bins) for p in profiles}
+    every = sorted({q for grid in wanted.values() for q in grid})
+    long = percentiles(book.population(), dims, {n: F.col(n) for n in book.require(wanted)}, every, exact)
+    mine = F.create_map(*[c for n, grid in wanted.items() for c in (F.lit(n), F.array(*[F.lit(q) for q in grid]))])
+    return (long.where(F.array_contains(mine[F.col("variable")], F.col("prob")))
+            .select(*dims, "variable", F.col("prob").alias("percentile"), "value"))
+
+
 def percentile_table(book: Book, p: Profile, exact: bool = True) -> DataFrame:
-    """(*dims, percentile, value) over the profile's grid."""
-    df = book.population()
-    out = percentiles(df, list(p.group_by), {p.name: F.col(p.name)}, percentile_grid(p.percentile_bins), exact)
-    return out.select(*p.group_by, F.col("prob").alias("percentile"), "value")
+    return grids(book, [p], exact).drop("variable")
 
 
-def numeric_stats(book: Book, p: Profile, exact: bool = True) -> DataFrame:
-    """One row per segment; a segment without values keeps its counts and has no statistics."""
-    dims = book.require(p.group_by)
-    x = F.col(book.require([p.name])[0])
-    df = book.population()
-    basic = df.groupBy(*dims).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n_nonnull"), F.count_if(x == 0).alias("n_zero"),
-        F.count_if(x < 0).alias("n_negative"), F.min(x).cast("double").alias("min"), F.avg(x).cast("double").alias("mean"),
-        F.max(x).cast("double").alias("max"), F.stddev_samp(x.cast("double")).alias("std"))
-    wanted = {"p50": 0.5, "p99": 0.99} if 0.5 in percentile_grid(p.percentile_bins) else {"p99": 0.99}
-    grid = spread_percentiles(percentiles(df, dims, {p.name: x}, list(wanted.values()), exact), dims, p.name, wanted)
-    # both sides are one row per segment: stack and regroup, which also matches null dimensions
-    columns = [c for c in basic.columns if c not in dims]
-    both = basic.unionByName(grid, allowMissingColumns=True)
-    out = both.groupBy(*dims).agg(*[F.max(c).alias(c) for c in [*columns, *wanted]])
-    if "p50" not in wanted:
-        out = out.withColumn("p50", F.lit(None).cast("double"))
+def stats(book: Book, profiles: Sequence[Profile], table: DataFrame) -> DataFrame:
+    """One row per variable and segment; a segment without values keeps its counts and has no statistics.
+
+    `table` is the percentile frame of the same profiles (p50 and p99 are read from it).
+    """
+    dims, aggs = book.require(profiles[0].group_by), []
+    for i, p in enumerate(profiles):
+        x = F.col(book.require([p.name])[0])
+        aggs += [F.count(x).alias(f"_v{i}"), F.count_if(x == 0).alias(f"_z{i}"), F.count_if(x < 0).alias(f"_n{i}"),
+                 F.min(x).cast("double").alias(f"_l{i}"), F.avg(x.cast("double")).alias(f"_m{i}"), F.max(x).cast("double").alias(f"_h{i}"),
+                 F.stddev_samp(x.cast("double")).alias(f"_s{i}")]
+    fields = {"n_nonnull": "_v", "n_zero": "_z", "n_negative": "_n", "min": "_l", "mean": "_m", "max": "_h", "std": "_s"}
+    cells = [F.struct(F.lit(p.name).alias("variable"), *[F.col(f"{c}{i}").alias(f) for f, c in fields.items()]) for i, p in enumerate(profiles)]
+    basic = (book.population().groupBy(*dims).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+             .select(*dims, "n_rows", F.inline(F.array(*cells))))
+    pick = {n: F.max(F.when(F.col("percentile") == q, F.col("value"))).alias(n) for n, q in (("p50", 0.5), ("p99", 0.99))}
+    points = table.groupBy(*dims, "variable").agg(*pick.values())
+    # both sides are one row per variable and segment: stack and regroup, which also matches null dimensions
+    both = basic.unionByName(points, allowMissingColumns=True)
+    out = both.groupBy("variable", *dims).agg(*[F.max(c).alias(c) for c in ("n_rows", *fields, *pick)])
     some = F.col("n_nonnull") > 0
     return out.withColumns({
         "pct_zero": F.when(some, F.col("n_zero") / F.col("n_nonnull")),
@@ -100,20 +113,34 @@ def numeric_stats(book: Book, p: Profile, exact: bool = True) -> DataFrame:
         "max_to_p99": F.when(F.col("p99") > 0, F.col("max") / F.col("p99"))})
 
 
+def numeric_stats(book: Book, p: Profile, exact: bool = True) -> DataFrame:
+    return stats(book, [p], grids(book, [p], exact)).drop("variable")
+
+
+def psi_buckets(book: Book, profiles: Sequence[Profile]) -> DataFrame:
+    """(variable, *dims, bucket, n): buckets cut at the quantiles of the whole population (right-closed)."""
+    dims, df = book.require(profiles[0].group_by), book.population()
+    probs = {p.name: [i / p.psi.bins for i in range(1, p.psi.bins)] for p in profiles}
+    found = percentile_row(df, {n: F.col(n) for n in book.require(probs)}, sorted({q for qs in probs.values() for q in qs}))
+    cells = []
+    for name, wanted in probs.items():
+        edges = sorted({found[(name, q)] for q in wanted if (name, q) in found})
+        if not edges:
+            continue  # nothing but nulls
+        x = F.col(name)
+        index = F.when(x <= edges[0], F.lit(0))
+        for i, edge in enumerate(edges[1:], 1):
+            index = index.when(x <= edge, F.lit(i))
+        index = F.when(x.isNotNull(), index.otherwise(F.lit(len(edges))))
+        cells.append(F.struct(F.lit(name).alias("variable"), index.alias("bucket")))
+    cells = cells or [F.struct(F.lit("").alias("variable"), F.lit(None).cast("int").alias("bucket"))]
+    return (df.select(*dims, F.inline(F.array(*cells))).where(F.col("bucket").isNotNull())
+            .groupBy("variable", *dims, "bucket").agg(F.count(F.lit(1)).alias("n")))
+
+
 def psi_numeric(book: Book, p: Profile) -> DataFrame:
-    """PSI per segment over buckets cut at the quantiles of the whole population (right-closed)."""
-    df = book.population()
-    x = F.col(book.require([p.name])[0])
-    probs = [i / p.psi.bins for i in range(1, p.psi.bins)]
-    edges = sorted({v for v in percentile_row(df, {"x": x}, probs).values() if v is not None})
-    index: Column | None = None
-    for i, edge in enumerate(edges):
-        index = F.when(x <= edge, F.lit(i)) if index is None else index.when(x <= edge, F.lit(i))
-    index = F.lit(0) if index is None else index.otherwise(F.lit(len(edges)))
-    rows = df.where(x.isNotNull())
-    rows = rows if edges else rows.limit(0)
-    counts = rows.groupBy(*book.require(p.group_by), index.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return psi_between_peers(counts, p.group_by, p.psi.across, "bucket")
+    """PSI per segment of one numeric variable."""
+    return psi_between_peers(psi_buckets(book, [p]), p.group_by, p.psi.across, "bucket")
 
 
 def histogram(book: Book, p: Profile) -> DataFrame:
@@ -148,23 +175,32 @@ def outside_scale(book: Book, p: Profile) -> DataFrame:
 
 
 # ---- categorical ---------------------------------------------------------------------
-def category_counts(book: Book, p: Profile) -> DataFrame:
-    """(*dims, category, n, share): the globally most frequent categories, `<null>` and `<other>`.
+def categories(book: Book, profiles: Sequence[Profile]) -> DataFrame:
+    """(variable, *dims, category, n, share): the globally most frequent categories, `<null>` and `<other>`.
 
-    The fact table is read once, into counts per segment and category; ranking and folding work on the counts.
-    The list of kept categories has `max_categories` rows, which is what makes its broadcast safe.
+    The fact table is read once, into counts per variable, segment and category; ranking and folding work on the
+    counts. The list of kept categories has `max_categories` rows a variable, which makes its broadcast safe.
     """
-    dims = book.require(p.group_by)
-    df = book.population()
-    text = level_text(F.col(p.name), df.schema[book.require([p.name])[0]].dataType)
-    counts = df.groupBy(*dims, text.alias("_cat")).agg(F.count(F.lit(1)).alias("_n"))
-    top = (counts.where(F.col("_cat").isNotNull()).groupBy("_cat").agg(F.sum("_n").alias("_all"))
-           .orderBy(F.col("_all").desc(), "_cat").limit(p.max_categories).select(F.col("_cat").alias("_kept")))
+    dims, df = book.require(profiles[0].group_by), book.population()
+    texts = [F.struct(F.lit(p.name).alias("variable"), level_text(F.col(p.name), df.schema[p.name].dataType).alias("_cat"))
+             for p in profiles if book.require([p.name])]
+    counts = df.select(*dims, F.inline(F.array(*texts))).groupBy("variable", *dims, "_cat").agg(F.count(F.lit(1)).alias("_n"))
+    most = F.create_map(*[F.lit(x) for p in profiles for x in (p.name, p.max_categories)])
+    by_size = Window.partitionBy("variable").orderBy(F.col("_all").desc(), "_cat")
+    widest = max(p.max_categories for p in profiles)
+    top = (counts.where(F.col("_cat").isNotNull()).groupBy("variable", "_cat").agg(F.sum("_n").alias("_all"))
+           .withColumn("_at", F.row_number().over(by_size)).where(F.col("_at") <= widest)
+           .where(F.col("_at") <= most[F.col("variable")]).select(F.col("variable").alias("_variable"), F.col("_cat").alias("_kept")))
+    on = (F.col("variable") == F.col("_variable")) & (F.col("_cat") == F.col("_kept"))
     category = F.when(F.col("_cat").isNull(), F.lit(NULL_LABEL)).otherwise(F.coalesce("_kept", F.lit(OTHER_LABEL)))
-    folded = (counts.join(F.broadcast(top), F.col("_cat") == F.col("_kept"), "left")
-              .groupBy(*dims, category.alias("category")).agg(F.sum("_n").alias("n")))
+    folded = (counts.join(F.broadcast(top), on, "left")
+              .groupBy("variable", *dims, category.alias("category")).agg(F.sum("_n").alias("n")))
     # at most max_categories + 2 rows a segment
-    return folded.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*dims)))
+    return folded.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("variable", *dims)))
+
+
+def category_counts(book: Book, p: Profile) -> DataFrame:
+    return categories(book, [p]).drop("variable")
 
 
 def category_summary(counts: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -203,63 +239,80 @@ def psi_categorical(book: Book, p: Profile, counts: DataFrame | None = None) ->
 def _psi_findings(psi: DataFrame, p: Profile) -> DataFrame:
     others = [d for d in p.group_by if d != p.psi.across]
     within = f" within {', '.join(others)}" if others else ""
-    return fd.findings(psi, check=CHECK, variable=p.name, item=f"across {p.psi.across}", metric="psi", dims=p.group_by,
-                       value=F.col("psi"), warn=p.psi.warn, fail=p.psi.fail,
-                       detail=F.concat(F.lit("median PSI vs "), F.col("n_peers").cast("string"),
-                                       F.lit(f" other {p.psi.across} values{within}")))
-
-
-def _numeric(book: Book, p: Profile) -> tuple[list[DataFrame], dict[str, DataFrame]]:
-    stats = numeric_stats(book, p)
-    common = dict(check=CHECK, variable=p.name, dims=p.group_by)
-    some = stats.where(F.col("n_nonnull") > 0)
-    frames = [fd.findings(stats.where(F.col("n_nonnull") == 0), item="no data", metric="n_nonnull", value=F.lit(0.0),
-                          status="info", detail=F.concat(F.lit(f"no non-null {p.name} in "), fd.count_text(F.col("n_rows")),
-                                                         F.lit(" rows")), **common)]
-    if not p.allow_negative:
-        frames.append(fd.findings(some, item="negative values", metric="pct_negative", value=F.col("pct_negative"), warn=0.0,
-                                  fail=p.negative_fail, detail=fd.of_text(F.col("n_negative"), F.col("n_nonnull"), ""), **common))
-    if p.outlier_ratio:
-        frames.append(fd.findings(some.where(F.col("max_to_p99").isNotNull()), item="outliers", metric="max_to_p99",
-                                  value=F.col("max_to_p99"), warn=p.outlier_ratio, fail=p.outlier_ratio * 10,
-                                  threshold=p.outlier_ratio,
-                                  detail=F.format_string("max %.2f vs p99 %.2f", "max", "p99"), **common))
-    tables = {"stats": stats, "percentiles": percentile_table(book, p)}
-    if p.compares:
-        tables["psi"] = psi_numeric(book, p)
-        frames.append(_psi_findings(tables["psi"], p))
+    return fd.emit(psi, CHECK, p.group_by, dict(
+        variable=p.name, item=f"across {p.psi.across}", metric="psi", value=F.col("psi"), warn=p.psi.warn, fail=p.psi.fail,
+        detail=F.concat(F.lit("median PSI vs "), F.col("n_peers").cast("string"), F.lit(f" other {p.psi.across} values{within}"))))
+
+
+def _numeric(book: Book, profiles: list[Profile]) -> tuple[list[DataFrame], dict[str, DataFrame]]:
+    table = materialize(grids(book, profiles), "percentiles")
+    rows = materialize(stats(book, profiles, table), "stats")
+    frames: list[DataFrame] = []
+    tables: dict[str, DataFrame] = {}
+    compared = [p for p in profiles if p.compares]
+    buckets = materialize(psi_buckets(book, compared), "buckets") if compared else None
+    some = F.col("n_nonnull") > 0
+    for p in profiles:
+        mine = rows.where(F.col("variable") == p.name).drop("variable")
+        specs = [dict(variable=p.name, item="no data", metric="n_nonnull", value=F.lit(0.0), status="info", when=~some,
+                      detail=F.concat(F.lit(f"no non-null {p.name} in "), fd.count_text(F.col("n_rows")), F.lit(" rows")))]
+        if not p.allow_negative:
+            specs.append(dict(variable=p.name, item="negative values", metric="pct_negative", value=F.col("pct_negative"), warn=0.0,
+                              fail=p.negative_fail, when=some, detail=fd.of_text(F.col("n_negative"), F.col("n_nonnull"), "")))
+        if p.outlier_ratio:
+            specs.append(dict(variable=p.name, item="outliers", metric="max_to_p99", value=F.col("max_to_p99"), warn=p.outlier_ratio,
+                              fail=p.outlier_ratio * 10, threshold=p.outlier_ratio, when=F.col("max_to_p99").isNotNull(),
+                              detail=F.format_string("max %.2f vs p99 %.2f", "max", "p99")))
+        frames.append(fd.emit(mine, CHECK, p.group_by, *specs))
+        tables[f"stats::{p.name}"] = mine
+        tables[f"percentiles::{p.name}"] = table.where(F.col("variable") == p.name).drop("variable")
+        if p.compares:
+            psi = psi_between_peers(buckets.where(F.col("variable") == p.name).drop("variable"), p.group_by, p.psi.across, "bucket")
+            tables[f"psi::{p.name}"] = psi
+            frames.append(_psi_findings(psi, p))
     return frames, tables
 
 
-def _categorical(book: Book, p: Profile) -> tuple[list[DataFrame], dict[str, DataFrame]]:
-    counts, dims = category_counts(book, p), list(p.group_by)
-    tables = {"summary": category_summary(counts, dims), "top": top_categories(counts, dims, p.top_n)}
+def _categorical(book: Book, profiles: list[Profile]) -> tuple[list[DataFrame], dict[str, DataFrame]]:
+    every = materialize(categories(book, profiles), "categories")
     frames: list[DataFrame] = []
-    if p.compares:
+    tables: dict[str, DataFrame] = {}
+    for p in profiles:
+        dims = list(p.group_by)
+        counts = every.where(F.col("variable") == p.name).drop("variable")
+        tables[f"summary::{p.name}"] = category_summary(counts, dims)
+        tables[f"top::{p.name}"] = top_categories(counts, dims, p.top_n)
+        if not p.compares:
+            continue
         across = p.psi.across
-        tables["psi"] = psi_categorical(book, p, counts)
+        psi = psi_between_peers(counts, dims, across, "category")
         fresh, compared = new_categories(counts, dims, across, p.new_category_min_share)
-        tables["new_categories"] = fresh
+        tables[f"psi::{p.name}"], tables[f"new_categories::{p.name}"] = psi, fresh
         zero = compared.withColumns({"_new": F.lit(0), "_text": F.lit(None).cast("string")})
         named = fresh.select(*dims, F.lit(1).alias("_new"),
                              F.format_string("%s (%.1f%%)", F.col("category"), F.col("share") * 100).alias("_text"))
         # a new category holds at least min_share of its segment, so a segment has at most 1 / min_share of them
         per_level = (zero.unionByName(named).groupBy(*dims)
                      .agg(F.sum("_new").alias("n_new"), F.array_join(F.array_sort(F.collect_list("_text")), ", ").alias("_text")))
-        frames += [_psi_findings(tables["psi"], p),
-                   fd.findings(per_level, check=CHECK, variable=p.name, item=f"new vs earlier {across}",
-                               metric="new_categories", dims=dims, value=F.col("n_new"), warn=0.0, threshold=0.0,
-                               detail=F.substring("_text", 1, 500))]
+        frames += [_psi_findings(psi, p),
+                   fd.emit(per_level, CHECK, dims, dict(
+                       variable=p.name, item=f"new vs earlier {across}", metric="new_categories", value=F.col("n_new"), warn=0.0,
+                       threshold=0.0, detail=F.substring("_text", 1, 500)))]
     return frames, tables
 
 
 @check(CHECK, DistributionConfig, "Distributions", order=30)
 def run(book: Book, cfg: DistributionConfig) -> CheckResult:
-    frames: list[DataFrame] = []
-    tables: dict[str, DataFrame] = {}
+    """Profiles are run together by kind and dimensions, so the passes over the book do not grow with the number of
+    variables; what several results read is stored once, at level grain."""
+    together: dict[tuple[str, tuple[str, ...]], list[Profile]] = {}
     for p in cfg.variables:
         kind = p.type if p.type != "auto" else book.kind(p.name)
-        more, found = (_numeric if kind == "numeric" else _categorical)(book, p)
+        together.setdefault((kind, tuple(p.group_by)), []).append(p)
+    frames: list[DataFrame] = []
+    tables: dict[str, DataFrame] = {}
+    for (kind, _), profiles in together.items():
+        more, found = (_numeric if kind == "numeric" else _categorical)(book, profiles)
         frames += more
-        tables.update({f"{k}::{p.name}": t for k, t in found.items()})
+        tables |= found
     return CheckResult(fd.concat(frames, book.raw.sparkSession), tables)
