@@ -64,52 +64,52 @@ def percentiles(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column],
         splits.append([-inf, *(inner or [0.0]), inf])
     blocked = Bucketizer(splitsArray=splits, inputCols=[f"_x{i}" for i in range(len(names))],
                          outputCols=[f"_b{i}" for i in range(len(names))], handleInvalid="keep").transform(wide)
-    cells = [F.struct(F.lit(n).alias("variable"), F.col(f"_x{i}").alias("x"), F.col(f"_b{i}").cast("int").alias("block"))
+    cells = [F.struct(F.lit(n).alias("variable"), F.col(f"_x{i}").alias("_x"), F.col(f"_b{i}").cast("int").alias("_block"))
              for i, n in enumerate(names)]
     if positives:  # the same values in the same blocks, under another name
-        cells += [F.when(F.col(f"_x{i}") > 0, F.struct(F.lit(f"+{n}").alias("variable"), F.col(f"_x{i}").alias("x"),
-                                                       F.col(f"_b{i}").cast("int").alias("block"))) for i, n in enumerate(names)]
-    long = blocked.select(*by, F.inline(F.array(*cells))).where(F.col("x").isNotNull())
+        cells += [F.when(F.col(f"_x{i}") > 0, F.struct(F.lit(f"+{n}").alias("variable"), F.col(f"_x{i}").alias("_x"),
+                                                       F.col(f"_b{i}").cast("int").alias("_block"))) for i, n in enumerate(names)]
+    long = blocked.select(*by, F.inline(F.array(*cells))).where(F.col("_x").isNotNull())
 
     group = [*by, "variable"]
-    rank_window = Window.partitionBy(*group).orderBy("block")  # at most `blocks` + 1 rows a group
-    located = (long.groupBy(*group, "block").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("before", F.coalesce(F.sum("n").over(rank_window.rowsBetween(Window.unboundedPreceding, -1)),
+    rank_window = Window.partitionBy(*group).orderBy("_block")  # at most `blocks` + 1 rows a group
+    located = (long.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_before", F.coalesce(F.sum("_n").over(rank_window.rowsBetween(Window.unboundedPreceding, -1)),
                                                 F.lit(0).cast("bigint")))
-               .withColumn("total", F.sum("n").over(rank_window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-               .withColumn("want", F.transform(F.array(*[F.lit(p) for p in probs]), _rank_of))
-               .withColumn("want", F.filter("want", lambda w: (w["low"] < F.col("before") + F.col("n"))
-                                            & (w["high"] >= F.col("before"))))
-               .where(F.size("want") > 0)
-               .select(*[F.col(g).alias(f"_t_{g}") for g in group], F.col("block").alias("_t_block"), "before", "want"))
+               .withColumn("_total", F.sum("_n").over(rank_window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+               .withColumn("_want", F.transform(F.array(*[F.lit(p) for p in probs]), _rank_of))
+               .withColumn("_want", F.filter("_want", lambda w: (w["_low"] < F.col("_before") + F.col("_n"))
+                                            & (w["_high"] >= F.col("_before"))))
+               .where(F.size("_want") > 0)
+               .select(*[F.col(g).alias(f"_t_{g}") for g in group], F.col("_block").alias("_t_block"), "_before", "_want"))
     located = broadcast_if_small(located)
 
     same = F.col("variable") == F.col("_t_variable")
-    same = same & (F.col("block") == F.col("_t_block"))
+    same = same & (F.col("_block") == F.col("_t_block"))
     for g in by:
         same = same & F.col(g).eqNullSafe(F.col(f"_t_{g}"))
     # values are counted before the join fans in the wanted ranks, so a frequent value is one row
     values = (long.join(located.select(*[f"_t_{g}" for g in group], "_t_block"), same, "left_semi")
-              .groupBy(*group, "block", "x").agg(F.count(F.lit(1)).alias("n")))
-    in_block = Window.partitionBy(*group, "block").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("upto", F.sum("n").over(in_block))
+              .groupBy(*group, "_block", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    in_block = Window.partitionBy(*group, "_block").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.sum("_n").over(in_block))
     hits = (ranked.join(located, same)
-            .withColumn("last", F.col("before") + F.col("upto") - 1)
-            .withColumn("first", F.col("before") + F.col("upto") - F.col("n"))
-            .select(*group, "x", "first", "last", F.explode("want").alias("w")))
-    at = lambda rank: F.max(F.when((F.col(f"w.{rank}") >= F.col("first")) & (F.col(f"w.{rank}") <= F.col("last")),
-                                   F.col("x")))
-    ends = (hits.groupBy(*group, F.col("w.prob").alias("prob"), F.col("w.weight").alias("weight"))
-            .agg(at("low").alias("lo"), at("high").alias("hi")))
-    return ends.select(*group, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("weight")).alias("value"))
+            .withColumn("_last", F.col("_before") + F.col("_upto") - 1)
+            .withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n"))
+            .select(*group, "_x", "_first", "_last", F.explode("_want").alias("_w")))
+    at = lambda rank: F.max(F.when((F.col(f"_w.{rank}") >= F.col("_first")) & (F.col(f"_w.{rank}") <= F.col("_last")),
+                                   F.col("_x")))
+    ends = (hits.groupBy(*group, F.col("_w.prob").alias("prob"), F.col("_w._weight").alias("_weight"))
+            .agg(at("_low").alias("_lo"), at("_high").alias("_hi")))
+    return ends.select(*group, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_weight")).alias("value"))
 
 
 def _rank_of(p: Column) -> Column:
     """Ranks around probability p among `total` values and the weight of the upper one."""
-    position = p * (F.col("total") - 1).cast("double")
+    position = p * (F.col("_total") - 1).cast("double")
     low = F.floor(position)
-    return F.struct(p.alias("prob"), low.alias("low"), F.ceil(position).alias("high"),
-                    (position - low.cast("double")).alias("weight"))
+    return F.struct(p.alias("prob"), low.alias("_low"), F.ceil(position).alias("_high"),
+                    (position - low.cast("double")).alias("_weight"))
 
 
 def percentile_row(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float],

@@ -31,16 +31,16 @@ def psi_between_peers(counts: DataFrame, dims: Sequence[str], across: str, key:
                                                     F.lit(EMPTY_CELL)))
     vectors = (cells.withColumn("_raw", raw)
                .withColumn("_all", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))
-               .withColumn("p", F.transform("_raw", lambda x: x / F.col("_all")))
-               .withColumn("lp", F.transform("p", lambda x: F.ln(x)))
-               .select(*dims, "n", "p", "lp"))
+               .withColumn("_w", F.transform("_raw", lambda x: x / F.col("_all")))
+               .withColumn("_lw", F.transform("_w", lambda x: F.ln(x)))
+               .select(*dims, "n", "_w", "_lw"))
     mine = vectors.withColumn("_salt", F.pmod(F.xxhash64(*dims), F.lit(SALTS)).cast("int"))
-    peer = (vectors.select(*[F.col(d).alias(f"_q_{d}") for d in dims], F.col("p").alias("_q_p"), F.col("lp").alias("_q_lp"))
-            .withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    on = (F.col("_salt") == F.col("_q_salt")) & (F.col(across) != F.col(f"_q_{across}"))
+    peer = (vectors.select(*[F.col(d).alias(f"_q_{d}") for d in dims], F.col("_w").alias("_peer_w"), F.col("_lw").alias("_peer_lw"))
+            .withColumn("_peer_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    on = (F.col("_salt") == F.col("_peer_salt")) & (F.col(across) != F.col(f"_q_{across}"))
     for d in others:
         on = on & (F.col(d) == F.col(f"_q_{d}"))
-    terms = F.zip_with(F.zip_with("p", "_q_p", lambda a, e: a - e), F.zip_with("lp", "_q_lp", lambda a, e: a - e),
+    terms = F.zip_with(F.zip_with("_w", "_peer_w", lambda a, e: a - e), F.zip_with("_lw", "_peer_lw", lambda a, e: a - e),
                        lambda d, l: d * l)
     pairwise = mine.join(peer, on).select(*dims, "n", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("psi"))
     return pairwise.groupBy(*dims).agg(F.percentile("psi", F.lit(0.5)).alias("psi"), F.max("psi").alias("max_pairwise_psi"),
