@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 from bookdq.plans.sizing import materialize
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
-    """Adds `out` = sum of `value` over all rows up to this one in `order` (which must be a total order).
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds `out` = sum of `value` over the rows up to this one in `order` (which must be a total order), within the
+    rows of the same non-null keys if there are any.
 
-    A window without a partition key would send the frame to one task. Instead the frame is range-sorted, each
-    sorted partition is totalled (one row per partition), and a row adds the total of the partitions before its own
-    to its position inside its partition.
+    A window over a whole frame, or over a key that holds a third of it, would run in one task. Instead the frame is
+    range-sorted and stored, each sorted partition is totalled, and a row adds the totals of the partitions before
+    its own to its position inside its partition.
     """
-    ordered = materialize(df.orderBy(*order).withColumn("_part", F.spark_partition_id()), "running")
-    part_totals = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = part_totals.select(
-        F.col("_part"),
-        F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # one row per sorted partition: bounded by the number of shuffle partitions
-    joined = ordered.withColumn("_inside", inside).join(F.broadcast(before), "_part")
-    zero = F.lit(0).cast(part_totals.schema["_sum"].dataType)
+    keys = list(keys)
+    ordered = materialize(df.orderBy(*keys, *order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = ordered.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = totals.select(*keys, "_part", F.sum("_sum").over(earlier).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # without keys: one row per sorted partition, which bounds the broadcast; with keys Spark decides at run time
+    joined = ordered.withColumn("_inside", inside).join(before if keys else F.broadcast(before), [*keys, "_part"])
+    zero = F.lit(0).cast(totals.schema["_sum"].dataType)
     total = F.coalesce(F.col("_before"), zero) + F.coalesce(F.col("_inside"), zero)
-    return joined.withColumn(out, total).drop("_part", "_sum", "_before", "_inside")
+    return joined.withColumn(out, total).drop("_part", "_before", "_inside")
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:

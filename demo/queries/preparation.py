@@ -196,7 +196,7 @@ def spec(spark, sf):
     return spec_rows(book, pipeline_spec(book, bins, reviewed, closed))
 
 
-@query("review_spec", """SELECT variable, status, CAST(ROW_NUMBER() OVER (PARTITION BY variable ORDER BY added_at, op) AS INTEGER) AS step_no, op, params, sources, rationale, author FROM steps JOIN (
+@query("review_spec", """SELECT variable, status, CAST(ROW_NUMBER() OVER (PARTITION BY variable ORDER BY added_at, op) AS BIGINT) AS step_no, op, params, sources, rationale, author FROM steps JOIN (
 SELECT variable, arg_max(value, ("at", event_id)) AS status FROM log WHERE field = 'status' GROUP BY variable) s USING (variable) WHERE status = 'preprocess_in_modeling'""", book=False, with_=STEP_LOG)
 def review(spark, sf):
     return review_spec(steps_of(spark, sf), state_of(spark, sf)).drop("added_at")

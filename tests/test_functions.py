@@ -171,6 +171,16 @@ def test_running_total_over_many_partitions_and_ties(spark):
         assert got[k] == pytest.approx(total)
 
 
+def test_running_total_within_a_hot_key(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot" if rng.random() < 0.6 else f"v{rng.integers(0, 9)}", k, float(rng.integers(0, 50))) for k in range(4000)]
+    got = {r["k"]: r["total"] for r in running_total(spark.createDataFrame(rows, "g string, k int, v double"), [F.col("k").asc()], "v", "total", keys=["g"]).collect()}
+    sums: dict[str, float] = {}
+    for g, k, v in rows:
+        sums[g] = sums.get(g, 0.0) + v
+        assert got[k] == pytest.approx(sums[g])
+
+
 def test_running_total_of_nothing(spark):
     df = spark.createDataFrame([], "k int, v double")
     assert running_total(df, [F.col("k").asc()], "v", "total").count() == 0
