@@ -4,23 +4,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 50_000
 
 _local_dirs: dict[str, str] = {}
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame as a local, broadcast relation if it has at most `max_rows` rows, else the frame itself.
-
-    The check reads max_rows + 1 rows at most, so the driver never holds more. Beyond it, the join shuffles.
-    """
+def collect_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[Row] | None:
+    """The rows of a frame of at most `max_rows` rows, else None. The driver reads max_rows + 1 rows at most."""
     rows = df.limit(max_rows + 1).coalesce(1).collect()  # the limit as part of one job, not partition by partition
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return rows if len(rows) <= max_rows else None
+
+
+def broadcast_rows(spark: SparkSession, rows: list[Row], schema: StructType) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def shared_folder(spark: SparkSession) -> str:

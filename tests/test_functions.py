@@ -123,13 +123,13 @@ def skewed(spark, n=20_000, seed=3):
     return spark.createDataFrame(rows, "g string, x double"), rows
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_exact_percentiles_under_skew(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast,block_rows", [(True, 10**9), (False, 10**9), (True, 50), (False, 50), (True, 0)])
+def test_exact_percentiles_under_skew(spark, monkeypatch, broadcast, block_rows):
     if not broadcast:  # more located blocks than may be broadcast: the join shuffles
-        monkeypatch.setattr(pc, "broadcast_if_small", lambda df: df)
+        monkeypatch.setattr(pc, "collect_if_small", lambda df: None)
     df, rows = skewed(spark)
     probs = [0.0, 0.01, 0.333, 0.5, 0.9, 0.99, 1.0]
-    got = as_dict(percentiles(df, ["g"], {"x": F.col("x"), "twice": F.col("x") * 2}, probs, blocks=16, positives=True), ["g"])
+    got = as_dict(percentiles(df, ["g"], {"x": F.col("x"), "twice": F.col("x") * 2}, probs, blocks=16, positives=True, block_rows=block_rows), ["g"])
     for g in ("hot", "b", None, "one"):
         values = np.array([x for k, x in rows if k == g])
         for p in probs:

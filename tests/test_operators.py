@@ -14,7 +14,7 @@ from bookdq.operators.summary import summarize
 from bookdq.operators.transforms import ColumnTransform, TransformSet, apply_transforms, transform_effect
 from bookdq.plans.preprocessing import STEP_ORDER, Step, parse_mapping, pipeline_spec, run_pipeline
 from bookdq.plans.registry import check, check_config, checks, deep_merge, from_dict
-from bookdq.plans.sizing import broadcast_if_small, materialize, shared_folder
+from bookdq.plans.sizing import collect_if_small, materialize, shared_folder
 from bookdq.sources import Sources, export_table, load_to_table, read_source, write_extract
 from tests.fixture_book import settings
 
@@ -229,8 +229,7 @@ def test_extract_and_exports(spark, tmp_path):
 
 def test_broadcast_is_size_checked(spark):
     df = spark.range(100)
-    assert broadcast_if_small(df, 50) is df and broadcast_if_small(df, 100) is not df
-    assert broadcast_if_small(df, 100).count() == 100
+    assert collect_if_small(df, 50) is None and len(collect_if_small(df, 100)) == 100
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir") and f"{shared_folder(spark)}/bookdq/t-" in materialize(df, "t").inputFiles()[0]
 
 
