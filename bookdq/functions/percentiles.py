@@ -24,6 +24,7 @@ from bookdq.plans.sizing import broadcast_rows, collect_if_small
 
 BLOCKS = 128
 BLOCK_ROWS = 2_000_000  # rows of one group a located block may hold before it is cut again
+MAX_LISTED = 2_000  # located blocks of a column up to which rows are picked by a list
 MAX_CUTS = 3  # times the range is cut; each divides a block by about BLOCKS
 
 
@@ -71,6 +72,11 @@ def percentiles(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column],
         located = _locate(long, group, probs)
         rows = collect_if_small(located)
     if rows is not None:  # otherwise the joins below shuffle
+        wanted: dict[str, set[int]] = {}
+        for r in rows:
+            wanted.setdefault(r["_t_variable"], set()).add(r["_t_block"])
+        if max(map(len, wanted.values()), default=0) <= MAX_LISTED:
+            long = _blocked(wide, by, names, cuts, positives, wanted)  # other blocks are dropped before anything is joined
         located = broadcast_rows(df.sparkSession, rows, located.schema)
 
     same = (F.col("variable") == F.col("_t_variable")) & (F.col("_block") == F.col("_t_block"))
@@ -109,18 +115,21 @@ def _cut_points(x: str, blocks: int) -> Column:
     return F.percentile_approx(x, [k / blocks for k in range(1, blocks)], 2 * blocks)
 
 
-def _blocked(wide: DataFrame, by: Sequence[str], names: Sequence[str], cuts: Sequence[set[float]], positives: bool) -> DataFrame:
-    """(*by, variable, _x, _block): every value with the block it falls into."""
+def _blocked(wide: DataFrame, by: Sequence[str], names: Sequence[str], cuts: Sequence[set[float]], positives: bool,
+             wanted: Mapping[str, set[int]] | None = None) -> DataFrame:
+    """(*by, variable, _x, _block): every value with the block it falls into, or only those in the wanted blocks."""
     inf = float("inf")
     places = range(len(names))
     split = Bucketizer(splitsArray=[[-inf, *(sorted(c) or [0.0]), inf] for c in cuts], inputCols=[f"_x{i}" for i in places],
                        outputCols=[f"_b{i}" for i in places], handleInvalid="keep").transform(wide)
-    cell = [F.struct(F.lit(n).alias("variable"), F.col(f"_x{i}").alias("_x"), F.col(f"_b{i}").cast("int").alias("_block"))
-            for i, n in enumerate(names)]
-    if positives:  # the same values in the same blocks, under another name
-        cell += [F.when(F.col(f"_x{i}") > 0, F.struct(F.lit(f"+{n}").alias("variable"), F.col(f"_x{i}").alias("_x"),
-                                                      F.col(f"_b{i}").cast("int").alias("_block"))) for i, n in enumerate(names)]
-    return split.select(*by, F.inline(F.array(*cell))).where(F.col("_x").isNotNull())
+    cells = []
+    for i, n in enumerate(names):
+        x, block = F.col(f"_x{i}"), F.col(f"_b{i}").cast("int")
+        for name, keep in ((n, x.isNotNull()), (f"+{n}", x > 0)):  # positives: the same values in the same blocks
+            if name == n or positives:
+                listed = keep if wanted is None else keep & block.isin(*wanted[name]) if name in wanted else F.lit(False)
+                cells.append(F.when(listed, F.struct(F.lit(name).alias("variable"), x.alias("_x"), block.alias("_block"))))
+    return split.select(*by, F.inline(F.array(*cells))).where(F.col("_x").isNotNull())
 
 
 def _locate(long: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
