@@ -100,3 +100,8 @@ def split_segments(df: DataFrame, column: str = "segment", dims: Sequence[str] |
         if keep_label:
             out.append(F.col(column))
     return df.select(*out)
+
+
+def distinct_list(column: Column) -> Column:
+    """Aggregate: the distinct values as one sorted text. For columns of few values (sources, statuses)."""
+    return F.array_join(F.array_sort(F.collect_set(column.cast("string"))), ", ")

@@ -221,6 +221,12 @@ def flagged_by_source(findings: DataFrame, source: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_flagged")))
 
 
+def flagged_matrix(findings: DataFrame, source: str, sources: Sequence[str]) -> DataFrame:
+    """Check x source counts of flagged findings."""
+    names = [*sources, "ALL / cross-source"]
+    return flagged_by_source(findings, source).groupBy("check").pivot("source", names).agg(F.sum("n_flagged")).fillna(0, names)
+
+
 def run_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Findings newly flagged and no longer flagged between two runs, by their five key columns (null-safe)."""
     key = list(FINDING_KEY)

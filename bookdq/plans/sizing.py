@@ -43,12 +43,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     levels): the lineage is cut, column pruning still works, and a lost executor re-reads instead of recomputing.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/bookdq/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/bookdq/{spark.sparkContext.applicationId}"
+
+
 def drop_materialized(spark: SparkSession) -> None:
-    """Remove every table `materialize` wrote for this session's shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/bookdq")
+    """Remove every table `materialize` wrote in this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookdq.functions.labels import label_of, natural_order, split_segments
+from bookdq.functions.labels import distinct_list, label_of, natural_order, split_segments
 from bookdq.functions.running import running_total
 from bookdq.operators.filters import view_filter
 from bookdq.operators.mix import segment_mix
@@ -113,3 +113,8 @@ def dropped_series(spark, sf):
 COUNT(*) AS records FROM book GROUP BY src, location_id""")
 def mix_labels(spark, sf):
     return segment_mix(demo_book(spark, sf, "location_id"), ["src", "location_id"]).select("segment", "records")
+
+
+@query("distinct_list", "SELECT coverage, string_agg(src, ', ' ORDER BY src) AS sources FROM (SELECT DISTINCT coverage, src FROM book) GROUP BY coverage")
+def sources_of_coverage(spark, sf):
+    return demo_book(spark, sf, "coverage").population().groupBy("coverage").agg(distinct_list(F.col("src")).alias("sources"))
