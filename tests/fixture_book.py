@@ -122,6 +122,6 @@ def settings() -> dict:
 
 
 def to_book(spark, path: str) -> Book:
-    spec = BookSpec("gl", "src", ("BMQ", "BOP", "CMQ"), Measures("tot_wrtn_prm_amt", "allocation", "claim_cnt", "expo_amt", "expn_bs_std"),
+    spec = BookSpec("book", "src", ("BMQ", "BOP", "CMQ"), Measures("tot_wrtn_prm_amt", "allocation", "claim_cnt", "expo_amt", "expn_bs_std"),
                     ("pol_num", "pol_eff_dt", "pol_exp_dt"), ("src", "pol_yr", "covg_type_desc", "expn_bs_std", "class_cd_std"), {"pol_yr": "year(pol_eff_dt)"})
     return Book(spec, read_source(spark, path))
