@@ -6,7 +6,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bookdq.llm import bpe, tokenfiles
+from pyspark.sql import functions as F
+
+from bookdq.llm import bpe, factorization, neardup, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,12 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = factorization.score(docs, factorization.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(factorization.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= factorization.TOXIC).cast("int").alias("predicted"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokenfiles.write_and_read(docs, public_tokenizers.path(FILE_BPE), END_ID).drop("ids")
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, pattern = TEXT_BPE
