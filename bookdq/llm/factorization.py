@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookdq.llm.common import map_arrow, slices
+from bookdq.llm.common import Shelf, map_arrow, slices
 
 BITS, FACTORS = 18, 8
 MAX_ROWS = 20_000  # labelled rows that the model is fitted on, at most
 BEGINNINGS = (4, 5, 6)
 TERM = re.compile(r"[^\W\d_]+")
 TOXIC = 0.7
+LEAST_CHI, MOST_PLACES = 12.0, 1 << 14
 
 
 class Terms:
@@ -73,8 +74,13 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
 
 
+def chi_squared(with_1, seen, ones: float, n: float):
+    """Of a term that `seen` of n rows have, `with_1` of them labelled 1, of `ones` such rows in all. Arrays or columns."""
+    return n * (with_1 * n - seen * ones) * (with_1 * n - seen * ones) / (seen * (n + 1e-6 - seen) * (ones * (n - ones) + 1e-6))
+
+
 def fit(rows: Sequence[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 20, rate: float = 0.3,
-        shrink: float = 1e-3, least: float = 12.0, most: int = 1 << 14, batch: int = 128, seed: int = 7) -> Machine:
+        shrink: float = 1e-3, least: float = LEAST_CHI, most: int = MOST_PLACES, batch: int = 128, seed: int = 7) -> Machine:
     """Logistic loss, both classes weighted alike. Places take part if their chi-squared statistic against the label is
     `least` or more, the `most` strongest of them, so that chance words of a long text carry no weight. Without rows,
     or with rows of one class, the model is a constant: the share of that class, pulled towards a half."""
@@ -85,7 +91,7 @@ def fit(rows: Sequence[np.ndarray], labels: np.ndarray, bits: int = BITS, factor
         return Machine(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, factors)), bits)
     with_1 = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y]), minlength=1 << bits).astype(float)
     seen = np.bincount(np.concatenate(rows), minlength=1 << bits).astype(float)
-    chi = n * (with_1 * n - seen * ones) ** 2 / np.maximum(1, seen * (n - seen) * ones * (n - ones))
+    chi = chi_squared(with_1, np.maximum(seen, 1e-9), ones, float(n))
     chi[seen < 3] = 0
     strongest = np.argsort(-chi, kind="stable")[:most]
     places = np.sort(strongest[chi[strongest] >= least])
@@ -143,9 +149,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     null, or belong to no document, teach nothing. Only text and label are read."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_i")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     chosen = known.orderBy(F.xxhash64("_i"), "_i").limit(max_rows)  # so the side sent to all tasks has max_rows rows at most
-    rows = term_rows(docs.join(F.broadcast(chosen), docs[key] == F.col("_i")), key, text).dropDuplicates(["_k"]).collect()
-    rows.sort(key=lambda r: r["_k"])
-    return fit([np.array(r["terms"], dtype=np.int32) for r in rows], np.array([r["_y"] for r in rows]))
+    shelf = Shelf(docs.sparkSession, "toxicity")
+    rows = shelf.save(term_rows(docs.join(F.broadcast(chosen), docs[key] == F.col("_i")), key, text), "terms").dropDuplicates(["_k"])
+    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    seen = rows.select("_y", F.explode("terms").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("seen"), F.sum("_y").alias("with_1"))
+    strongest = seen.withColumn("chi", chi_squared(F.col("with_1"), F.col("seen"), float(ones), float(n))).where(f"seen >= 3 and chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "place").limit(MOST_PLACES)
+    places = np.array(sorted(r["place"] for r in strongest.collect()), dtype=np.int32)  # so the rows that come to the driver are short
+    sent = docs.sparkSession.sparkContext.broadcast(places)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [np.array(t or [], dtype=np.int32) for t in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_y"), pa.array([t[np.isin(t, sent.value)].tobytes() for t in terms], pa.binary())], names=["_k", "_y", "places"])
+
+    found = sorted(map_arrow(rows, short, "_k long, _y int, places binary").collect(), key=lambda r: r["_k"])
+    return fit([np.frombuffer(r["places"], np.int32) for r in found], np.array([r["_y"] for r in found]))
 
 
 def score(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
