@@ -8,10 +8,13 @@ shingle lie side by side in one table, and a signature is the minimum of as many
 confirmed on the full sets. What makes it hold at scale:
 
 * Texts with equal sets are one class; everything below runs on one representative a class.
-* A bucket never emits all its pairs. Round 1 compares its members with one pivot. Members that a link already joins
-  need no comparison, so in later rounds only members outside the bucket's largest component become pivots (first
-  8 a bucket, then four times as many each round) and are compared with the members of other components. It ends when every bucket
-  is one component or all its minor members were pivots: no link between two components can be left then.
+* A bucket never emits all its pairs. Round 1 compares its members with one pivot, and members that a link already
+  joins need no comparison. What is left are texts that share a bucket over several components, mostly texts with a common passage.
+  They are bucketed anew, by prefix: of two sets with a Jaccard of 0.8, the n - 0.8 n + 1 rarest elements of each (in
+  one order for all sets) have one in common for sure, and a passage that many texts share is not rare.
+* In these buckets only members outside the largest component become pivots (8 a bucket, then four times as many each
+  round) and are compared with the members of other components. It ends when every bucket is one component or all its
+  minor members were pivots: no link between two components can be left then.
 * Before the exact step, pairs are dropped on what rules out a link for sure (set sizes), and on a 128-bit sketch
   that a pair with a Jaccard of 0.8 fails with a probability below 1e-8.
 * Components are contracted by joins: every component hooks to its smallest neighbour, paths are halved, repeat.
@@ -32,6 +35,7 @@ from bookdq.llm.common import Shelf, map_arrow, slices
 
 COORDINATES, ROWS = 128, 4
 PLACES = 1 << 20
+RARITY = 1 << 18
 SKETCH_APART = 36  # differing bits of the 128 beyond which a pair is no candidate
 FIRST_PIVOTS, MORE_PIVOTS = 8, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -107,30 +111,60 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, run, "id long, n long, h1 long, h2 long, s1 long, s2 long, bands array<long>")
 
 
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
+    return [flat[a:b].view(np.uint64) for a, b in zip(ends, ends[1:])]
+
+
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles binary) of rows (_k, _t, h1, h2) whose text has the set with that hash."""
+    """(rep, n, s1, s2, shingles) of rows (_k, _t, h1, h2, n, s1, s2) whose text has the set with that hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in slices(batches, "_t"):
-            ids, raw = [], []
-            for k, t, h1, h2 in zip(*(batch.column(c).to_pylist() for c in ("_k", "_t", "h1", "h2"))):
-                s = shingles(t).tobytes()
-                d = xxhash.xxh3_128_digest(s)
-                if (h1, h2) == (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)):
-                    ids.append(k)
-                    raw.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["rep", "shingles"])
+            keep, found = [], []
+            for t, h1, h2 in zip(*(batch.column(c).to_pylist() for c in ("_t", "h1", "h2"))):
+                s = shingles(t)
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                keep.append((h1, h2) == (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                if keep[-1]:
+                    found.append(s.view(np.int64))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([*found, np.empty(0, np.int64)]))
+            rest = batch.select(["_k", "n", "s1", "s2"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, lists], names=["rep", "n", "s1", "s2", "shingles"])
+
+    return map_arrow(texts, run, "rep long, n long, s1 long, s2 long, shingles array<long>")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, rep, n, s1, s2): the rarest elements of each set, as many as a linked set must meet. Rarity is counted over
+    these sets in RARITY hashed cells, a table of fixed size; ties and cells in common are ordered by hash."""
+    spark = sets.sparkSession
+    seen = np.zeros(RARITY, dtype=np.int64)
+    for r in sets.select(F.explode("shingles").alias("x")).groupBy(F.pmod("x", F.lit(RARITY)).alias("cell")).count().toLocalIterator():
+        seen[r["cell"]] = r["count"]
+    sent = spark.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens = [], []
+            for i, s in enumerate(arrays(batch.column("shingles"))):
+                x = s.view(np.int64)
+                some = x[np.lexsort((x, sent.value[np.mod(x, RARITY)]))][:len(x) - -(-percent * len(x) // 100) + 1]
+                tokens.append(some)
+                rows.append(np.full(len(some), i))
+            at = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
+            rest = batch.select(["rep", "n", "s1", "s2"]).take(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), *rest.columns], names=["band", "rep", "n", "s1", "s2"])
 
-    return map_arrow(texts, run, "rep long, shingles binary")
+    return map_arrow(sets, run, "band long, rep long, n long, s1 long, s2 long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "y"):
+        for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(arrays(batch.column("x")), arrays(batch.column("y"))):
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -147,10 +181,10 @@ def contract(shelf: Shelf, labels: DataFrame, edges: DataFrame, name: str) -> Da
     right = labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
     links = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).distinct()
     links = shelf.save(links, f"{name}-links0")
-    while links.limit(1).count():
+    while not links.isEmpty():
         both = links.select(F.col("v").alias("c"), F.col("u").alias("to")).union(links.select(F.col("u").alias("c"), F.col("u").alias("to")))
         up = shelf.save(both.groupBy("c").agg(F.min("to").alias("to")), f"{name}-up{step}")
-        for half in range(2):
+        for _ in range(2):
             jump = up.select(F.col("c").alias("to"), F.col("to").alias("further"))
             up = up.join(jump, "to", "left").select("c", F.coalesce("further", "to").alias("to"))
         up = shelf.save(up, f"{name}-root{step}")
@@ -172,51 +206,56 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     shelf = Shelf(spark, "neardup")
     plain = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
-    rows = shelf.save(describe(plain, width), "rows")
-    classes = rows.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    classes = shelf.save(classes, "classes")
-    one = rows.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"])
-    banded = shelf.save(one.select(F.col("id").alias("rep"), "n", "h1", "h2", "s1", "s2", F.explode("bands").alias("band")).select("band", "rep", "n", "h1", "h2", "s1", "s2"), "bands")
-    shared = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band", F.col("lo").alias("pivot"))
-    shared = shelf.save(shared, "shared")
-    buckets = shelf.save(banded.join(shared, "band"), "buckets")
+    described = shelf.save(describe(plain, width), "described")
+    rows = shelf.save(described.drop("bands", "s1", "s2"), "rows")
+    classes = shelf.save(rows.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    one = described.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"])
+    banded = shelf.save(one.select(F.explode("bands").alias("band"), F.col("id").alias("rep"), "n", "h1", "h2", "s1", "s2"), "bands")
+    shelf.drop("described")
+    shared = shelf.save(banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot < hi").drop("hi"), "shared")
+    members = shelf.save(banded.join(shared, "band"), "buckets")
     shelf.drop("bands")
-
-    wanted = buckets.groupBy(F.col("rep").alias("_r")).agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"))
-    texts = plain.join(wanted, F.col("_k") == F.col("_r")).select("_k", "_t", "h1", "h2")
-    sets = shelf.save(full_sets(texts, width), "sets")
-    members = buckets.select("band", "rep", "n", "s1", "s2")
-    labels = shelf.save(wanted.select(F.col("_r").alias("rep"), F.col("_r").alias("comp")), "labels")
+    wanted = members.groupBy(F.col("rep").alias("_r")).agg(*[F.first(c).alias(c) for c in ("h1", "h2", "n", "s1", "s2")])
+    sets = shelf.save(full_sets(plain.join(wanted, F.col("_k") == F.col("_r")).drop("_r"), width), "sets")
+    labels = sets.select("rep", F.col("rep").alias("comp")).distinct()
 
     def likely(a: str, b: str):
         size = (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
         apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
         return size & (apart <= SKETCH_APART)
 
-    pivots = members.alias("p").join(shared.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.rep") == F.col("q.pivot"))).select("p.*")
-    found = (pivots.alias("p").join(members.alias("m"), "band").where((F.col("p.rep") != F.col("m.rep")) & likely("p", "m"))
-             .select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct())
-    tested = None
-    done = pivots.select("band", "rep")
-    most, number = FIRST_PIVOTS, 1
-    while True:
-        pairs = shelf.save(found, f"pairs{number}")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = contract(shelf, labels, shelf.save(confirmed(pairs, sets, percent), f"edges{number}"), f"round{number}")
+    def spread(number: int):
+        """Members of buckets over several components, with their component and the bucket's largest."""
         placed = members.join(labels, "rep")
         sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
-        split = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        open_ = shelf.save(placed.join(split.select("band", "main"), "band"), f"open{number}")
-        minor = open_.where("comp <> main").join(done, ["band", "rep"], "left_anti")
+        split = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        return shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), f"open{number}")
+
+    pivots = members.where("rep = pivot")
+    first = (pivots.alias("p").join(members.alias("m"), "band").where((F.col("p.rep") < F.col("m.rep")) & likely("p", "m"))
+             .select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct())
+    tested = shelf.save(first, "pairs1")
+    labels = contract(shelf, labels, shelf.save(confirmed(tested, sets, percent), "edges1"), "round1")
+    unsure = sets.join(spread(1).select("rep").distinct(), "rep")
+    tokens = shelf.save(prefixes(unsure, percent), "tokens")
+    again = tokens.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
+    members = shelf.save(tokens.join(again, "band"), "members")
+    done, most, number = None, FIRST_PIVOTS, 2
+    while True:
+        open_ = spread(number)
+        minor = open_.where("comp <> main")
+        if done is not None:
+            minor = minor.join(done, ["band", "rep"], "left_anti")
         ranked = minor.withColumn("_n", F.row_number().over(Window.partitionBy("band").orderBy("rep"))).where(F.col("_n") <= most)
         pivots = shelf.save(ranked.drop("_n"), f"pivots{number}")
-        if not pivots.limit(1).count():
+        if pivots.isEmpty():
             break
-        done = done.union(pivots.select("band", "rep"))
+        done = pivots.select("band", "rep") if done is None else done.union(pivots.select("band", "rep"))
         fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & likely("p", "m"))
                  .select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b")).distinct())
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = fresh.join(known, ["a", "b"], "left_anti")
+        pairs = shelf.save(fresh.join(tested, ["a", "b"], "left_anti"), f"pairs{number}")
+        tested = tested.union(pairs)
+        labels = contract(shelf, labels, shelf.save(confirmed(pairs, sets, percent), f"edges{number}"), f"round{number}")
         most, number = most * MORE_PIVOTS, number + 1
 
     of_class = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component"))
