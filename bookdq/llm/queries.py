@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from bookdq.llm import bpe, factorization, mixing, neardup, quality, secrets, sharding, tokenfiles
+from bookdq.llm import bpe, curves, factorization, mixing, neardup, quality, secrets, sharding, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_quality_rules"] = quality.ORACLE
 
 
+@query
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+ORACLES["op2_warc_dictionary"] = warc.ORACLE
+
+
 @query
 def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).drop("grp")
@@ -66,6 +74,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
