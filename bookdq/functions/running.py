@@ -11,7 +11,7 @@ from bookdq.plans.sizing import materialize
 
 def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adds `out` = sum of `value` over the rows up to this one in `order` (which must be a total order), within the
-    rows of the same non-null keys if there are any.
+    rows of the same keys if there are any; null is a key like others.
 
     A window over a whole frame, or over a key that holds a third of it, would run in one task. Instead the frame is
     range-sorted and stored, each sorted partition is totalled, and a row adds the totals of the partitions before
@@ -24,7 +24,10 @@ def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str,
     before = totals.select(*keys, "_part", F.sum("_sum").over(earlier).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     # without keys: one row per sorted partition, which bounds the broadcast; with keys Spark decides at run time
-    joined = ordered.withColumn("_inside", inside).join(before if keys else F.broadcast(before), [*keys, "_part"])
+    before = before.withColumnsRenamed({k: f"_before_{k}" for k in [*keys, "_part"]})
+    ordered = ordered.withColumn("_inside", inside)
+    same = [ordered[k].eqNullSafe(before[f"_before_{k}"]) for k in keys] + [ordered["_part"] == before["_before__part"]]
+    joined = ordered.join(before if keys else F.broadcast(before), same).drop(*[f"_before_{k}" for k in [*keys, "_part"]])
     zero = F.lit(0).cast(totals.schema["_sum"].dataType)
     total = F.coalesce(F.col("_before"), zero) + F.coalesce(F.col("_inside"), zero)
     return joined.withColumn(out, total).drop("_part", "_before", "_inside")

@@ -11,6 +11,9 @@ from bookdq.functions.labels import NULL_LABEL, label_of, level_text
 from bookdq.functions.ratios import ratio, share
 
 
+MARGIN = "(total)"
+
+
 def sums_by(df: DataFrame, dims: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
     """Sum of named measures by 0..n dimensions."""
     return df.groupBy(*dims).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
@@ -42,23 +45,27 @@ def summarize(book: Book, dims: Sequence[str] = (), where: str | Column | None =
 
 def crosstab(book: Book, rows: str, columns: str, levels: Sequence[str] | None = None,
              where: str | Column | None = None) -> DataFrame:
-    """Premium by two dimensions with totals. `levels` names the columns and saves the pass that finds them."""
+    """Premium by two dimensions with totals. `levels` names the columns and saves the pass that finds them; levels it does
+    not name are summed in `(other)`. The row of totals is told by is_total = 1, whatever a level is called."""
     book.require([rows, columns])
     df = book.population(where)
     cells = (df.select(label_of(df, rows).alias(rows), label_of(df, columns).alias("_c"),
-                       F.col(book.spec.measures.premium).alias("_p"))
-             .cube(rows, "_c").agg(F.sum("_p").cast("double").alias("_p"))
-             .fillna({rows: "Total", "_c": "Total"}))
-    names = [*levels, "Total"] if levels is not None else None
-    wide = cells.groupBy(rows).pivot("_c", names).agg(F.sum("_p"))
-    return wide.fillna(0.0, [c for c in wide.columns if c != rows])
+                       F.col(book.spec.measures.premium).alias("_p")).groupBy(rows, "_c").agg(F.sum("_p").cast("double").alias("_p")))
+    if levels is None:
+        levels = [r["_c"] for r in cells.select("_c").distinct().orderBy("_c").collect()]  # they become columns
+    other = ~F.col("_c").isin(*levels) if levels else F.lit(True)
+    sums = [F.coalesce(F.sum(F.when(F.col("_c") == name, F.col("_p"))), F.lit(0.0)).alias(name) for name in levels]
+    rest = [F.coalesce(F.sum(F.when(other, F.col("_p"))), F.lit(0.0)).alias("(other)")]
+    wide = cells.rollup(rows).agg(*sums, *rest, F.coalesce(F.sum("_p"), F.lit(0.0)).alias(MARGIN), F.grouping(rows).alias("_all"))
+    return wide.withColumn(rows, F.when(F.col("_all") == 1, F.lit("Total")).otherwise(F.col(rows))).withColumnRenamed("_all", "is_total")
 
 
-def distinct_values(book: Book, column: str, limit: int = 1000) -> DataFrame:
-    """Levels of a column as text for a picker: at most `limit`, in text order, `<null>` last."""
+def distinct_values(book: Book, column: str, limit: int | None = None) -> DataFrame:
+    """Levels of a column as text, in text order, `<null>` last; the first `limit` of them if one is given."""
     df = book.population()
     text = level_text(F.col(column), df.schema[book.require([column])[0]].dataType)
-    first = df.select(text.alias("v")).distinct().orderBy(F.col("v").asc_nulls_last()).limit(limit)
+    first = df.select(text.alias("v")).distinct().orderBy(F.col("v").asc_nulls_last())
+    first = first if limit is None else first.limit(limit)
     return first.select(F.coalesce("v", F.lit(NULL_LABEL)).alias("value"))
 
 

@@ -222,9 +222,11 @@ def flagged_by_source(findings: DataFrame, source: str) -> DataFrame:
 
 
 def flagged_matrix(findings: DataFrame, source: str, sources: Sequence[str]) -> DataFrame:
-    """Check x source counts of flagged findings."""
+    """Check x source counts of flagged findings; sources that are not named are summed in `(other sources)`."""
     names = [*sources, "ALL / cross-source"]
-    return flagged_by_source(findings, source).groupBy("check").pivot("source", names).agg(F.sum("n_flagged")).fillna(0, names)
+    counts = [F.coalesce(F.sum(F.when(F.col("source") == n, F.col("n_flagged"))), F.lit(0)).alias(n) for n in names]
+    rest = F.coalesce(F.sum(F.when(~F.col("source").isin(*names), F.col("n_flagged"))), F.lit(0)).alias("(other sources)")
+    return flagged_by_source(findings, source).groupBy("check").agg(*counts, rest)
 
 
 def run_changes(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -57,6 +57,9 @@ class ValuesConfig:
 
 
 # ---- categorical ---------------------------------------------------------------------
+OTHER_SOURCES = "(other sources)"
+
+
 def value_counts(book: Book, columns: Sequence[str]) -> DataFrame:
     """(variable, value, source, n) of the non-null values of several columns, in one pass over the book.
 
@@ -71,10 +74,15 @@ def value_counts(book: Book, columns: Sequence[str]) -> DataFrame:
 
 
 def value_matrix(book: Book, column: str, sources: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Value x source counts; the configured sources name the columns, so nothing is scanned to find them."""
+    """Value x source counts. The configured sources name the first columns; sources that only the data has are summed in
+    `(other sources)`, so no row is lost and nothing is scanned to find them."""
     counts = value_counts(book, [column]) if counts is None else counts.where(F.col("variable") == column)
-    wide = counts.groupBy("value").pivot(book.spec.source, list(sources or book.spec.sources)).agg(F.sum("n"))
-    return wide.fillna(0, [c for c in wide.columns if c != "value"])
+    names, at = list(sources or book.spec.sources), F.col(book.spec.source)
+
+    def total(wanted: Column) -> Column:
+        return F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0))
+
+    return counts.groupBy("value").agg(*[total(at == s).alias(s) for s in names], total(~at.isin(*names)).alias(OTHER_SOURCES))
 
 
 def value_shares(book: Book, column: str) -> DataFrame:

@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--checks", nargs="*", help="refresh: only these checks")
     parser.add_argument("--no-rules", action="store_true", help="refresh: switch every rule off")
     parser.add_argument("--by", nargs="*", default=[], help="summary: dimensions")
-    parser.add_argument("--out", help="extract: target folder")
+    parser.add_argument("--out", help="extract, summary: target folder (summary without one prints every group)")
     parser.add_argument("--rows", type=int, help="extract: only the first rows")
     parser.add_argument("--filtered", action="store_true", help="extract: the population instead of the raw table")
     args = parser.parse_args(argv)
@@ -84,7 +84,11 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{'ok  ' if r['ok'] else 'MISS'} {r['check']}: {r['detail']}")
         return 0 if all(r["ok"] for r in report) else 1
     if args.job == "summary":
-        summarize(book, args.by).show(100, truncate=False)
+        if args.out:
+            summarize(book, args.by).write.mode("overwrite").parquet(args.out)
+        else:
+            for row in summarize(book, args.by).toLocalIterator():  # every group, a partition at a time
+                print(json.dumps(row.asDict(), default=str))
         return 0
     if args.job == "extract":
         write_extract(book, args.out, args.rows, args.filtered)

@@ -59,7 +59,9 @@ class FindingsStore:
         try:
             stored = (self.spark.read.option("mergeSchema", True).parquet(self.path) if self.path
                       else self.spark.table(self.name))
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                raise  # an unreadable history is not an empty one
             return self.spark.createDataFrame([], RUN_SCHEMA)
         if "filters" not in stored.columns:
             stored = stored.withColumn("filters", F.lit(""))

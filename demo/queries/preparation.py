@@ -3,12 +3,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bookdq.operators import keys, missing, preflight, rules
-from bookdq.operators.binning import Binning
+from bookdq.operators import keys, missing, rules
+from bookdq.operators.binning import Binning, resolve
 from bookdq.operators.filters import Rule, RuleSet
 from bookdq.operators.targets import TargetConfig
 from bookdq.operators.transforms import ColumnTransform, TransformSet, apply_transforms, transform_effect
-from bookdq.plans.preprocessing import Step, pipeline_spec, review_spec, run_pipeline, spec_rows
+from bookdq.plans.preprocessing import Step, agreed_steps, review_spec, run_pipeline
 from demo.book import demo_book
 from demo.registry import query
 from demo.queries.tracker import STEP_LOG, state_of, steps_of
@@ -182,18 +182,18 @@ def whole(spark, sf):
     return out.groupBy("coverage").agg(F.round(F.sum("deductible_amt"), 4).alias("logged"), rows())
 
 
-# ---- specifications and preflight ----------------------------------------------------
-@query("prep_spec")
+# ---- specifications ------------------------------------------------------------------
+@query("agreed_steps", """SELECT "column", op, COUNT(*) AS n, MIN(position) AS first, MAX(position) AS last FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY rank_no) AS position FROM (
+SELECT variable AS "column", op, 9 AS rank_no FROM steps JOIN (SELECT variable, arg_max(value, ("at", event_id)) AS status FROM log WHERE field = 'status' GROUP BY variable) s USING (variable) WHERE status = 'preprocess_in_modeling'
+UNION ALL SELECT 'premium_amt', 'bin', 12 UNION ALL SELECT 'zip_cd', UNNEST(['trim', 'zero_pad', 'map_values']), UNNEST([1, 3, 4]))) GROUP BY ALL""", book=False, with_=STEP_LOG)
 def spec(spark, sf):
     """The handover: transforms, bins cut at the book's own quartiles, and reviewed steps, per column in order."""
-    from bookdq.operators.binning import resolve
     transforms = TransformSet((ColumnTransform("zip_cd", trim=True, zero_pad=5, mapping={"UNK": None}, description="agreed spelling"),))
     book = demo_book(spark, sf, "zip_cd deductible_amt coverage", transforms=transforms)
     bins = [resolve(book, Binning("premium_amt", "quarters", "quantile", bins=4))]
-    reviewed = [Step("premium_amt", "bin", {"n_bins": 10}), Step("premium_amt", "cap", {"upper_pct": 0.99}, ("A",), "long tail"),
-                Step("deductible_amt", "impute", {"strategy": "median"}), Step("coverage", "group_rare", {})]
-    closed = {"premium_amt": "preprocess_in_modeling", "deductible_amt": "preprocess_in_modeling", "coverage": "investigating"}
-    return spec_rows(book, pipeline_spec(book, bins, reviewed, closed))
+    reviewed = steps_of(spark, sf).join(state_of(spark, sf).select("variable", "status"), "variable")
+    steps = agreed_steps(book, bins, reviewed)
+    return steps.groupBy("column", "op").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))
 
 
 @query("review_spec", """SELECT variable, status, CAST(ROW_NUMBER() OVER (PARTITION BY variable ORDER BY added_at, op) AS BIGINT) AS step_no, op, params, sources, rationale, author FROM steps JOIN (
@@ -202,12 +202,3 @@ def review(spark, sf):
     return review_spec(steps_of(spark, sf), state_of(spark, sf)).drop("added_at")
 
 
-@query("preflight")
-def check_setup(spark, sf):
-    rules_ = RuleSet((Rule("exposed", enabled=True, column="expo_amt", op="gt", values=("10",)),))
-    book = demo_book(spark, sf, "*", rules_)
-    configs = {"key_uniqueness": keys.KeyConfig(candidate_keys={"A": ("policy_no", "line_number")}), "missing_rate": missing.MissingConfig(),
-               "business_rules": rules.RulesConfig(rules=(rules.BusinessRule("r", "exp_date < eff_date", variables=("exp_date",)),)),
-               "target_analysis": TargetConfig(variables=("coverage", "no_such_column"))}
-    return preflight.preflight(book, configs)
-

@@ -53,13 +53,12 @@ def sums_by_year(spark, sf):
         "premium", F.col("premium").cast("double"))
 
 
-@query("summary_crosstab", """SELECT coverage, COALESCE(SUM(CASE WHEN src = 'A' THEN p END), 0) AS "A",
-COALESCE(SUM(CASE WHEN src = 'N' THEN p END), 0) AS "N", COALESCE(SUM(CASE WHEN src = 'R' THEN p END), 0) AS "R",
-SUM(CASE WHEN src = 'Total' THEN p END) AS "Total" FROM (SELECT CASE WHEN GROUPING(coverage) = 1 THEN 'Total' ELSE coverage END AS coverage,
-CASE WHEN GROUPING(src) = 1 THEN 'Total' ELSE src END AS src, CAST(SUM(premium_amt) AS DOUBLE) AS p FROM book GROUP BY CUBE (coverage, src))
-GROUP BY coverage""")
+@query("summary_crosstab", """SELECT CASE WHEN GROUPING(coverage) = 1 THEN 'Total' ELSE coverage END AS coverage, CAST(SUM(premium_amt) FILTER (src = 'A') AS DOUBLE) AS "A",
+CAST(SUM(premium_amt) FILTER (src = 'N') AS DOUBLE) AS "N", CAST(COALESCE(SUM(premium_amt) FILTER (src NOT IN ('A', 'N')), 0) AS DOUBLE) AS "(other)", CAST(SUM(premium_amt) AS DOUBLE) AS "(total)",
+CAST(GROUPING(coverage) AS TINYINT) AS is_total FROM book GROUP BY ROLLUP (coverage)""")
 def summary_crosstab(spark, sf):
-    return crosstab(demo_book(spark, sf, "coverage"), "coverage", "src", ["A", "N", "R"])
+    """One source is not named: it is summed apart, and the rows still add up."""
+    return crosstab(demo_book(spark, sf, "coverage"), "coverage", "src", ["A", "N"])
 
 
 @query("distinct_values", "SELECT DISTINCT COALESCE(CAST(location_id AS VARCHAR), '<null>') AS value FROM book")

@@ -193,14 +193,6 @@ def level_counts(spark, sf):
     return approx.join(exact, "variable").select("variable", (F.abs(F.col("approx") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close"))
 
 
-@query("candidate_variables", """SELECT UNNEST(['src', 'pol_yr', 'coverage', 'expo_base', 'segment_cd', 'class_cd', 'tx_type', 'line_no', 'program_cd', 'location_id', 'zip_cd', 'deductible_amt']) AS variable,
-UNNEST(range(1, 13))::INTEGER AS position, (SELECT COUNT(*) FROM book) AS n_rows""")
-def candidates(spark, sf):
-    book = demo_book(spark, sf, "*")
-    names = spark.createDataFrame(list(enumerate(tg.candidate_variables(book), 1)), "position int, variable string")
-    return names.withColumn("n_rows", book.population().agg(F.count(F.lit(1))).scalar())
-
-
 @query("default_base", "SELECT b AS expo_base FROM base", with_=BASE)
 def default_base(spark, sf):
     book = demo_book(spark, sf)

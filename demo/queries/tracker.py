@@ -148,10 +148,10 @@ def flagged(spark, sf):
     return tk.flagged_by_source(latest_run(stored_runs(spark, sf)), "src")
 
 
-@query("flagged_matrix", f"""SELECT "check", COUNT(*) FILTER (source = 'A') AS "A", COUNT(*) FILTER (source = 'N') AS "N", COUNT(*) FILTER (source = 'R') AS "R",
+@query("flagged_matrix", f"""SELECT "check", COUNT(*) FILTER (source = 'A') AS "A", COUNT(*) FILTER (source = 'N') AS "N", COUNT(*) FILTER (source NOT IN ('A', 'N')) AS "(other sources)",
 COUNT(*) FILTER (source IS NULL) AS "ALL / cross-source" FROM run2 WHERE {_FLAGGED} GROUP BY "check" """, with_=FINDINGS)
 def flagged_matrix(spark, sf):
-    return tk.flagged_matrix(latest_run(stored_runs(spark, sf)), "src", ("A", "N", "R"))
+    return tk.flagged_matrix(latest_run(stored_runs(spark, sf)), "src", ("A", "N"))
 
 
 # ---- tracker -------------------------------------------------------------------------

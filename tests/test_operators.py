@@ -7,15 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookdq import Book, BookSpec, Measures, UnknownColumnError
+from bookdq.functions.running import running_total
 from bookdq.operators import keys, preflight, targets, tracker
 from bookdq.operators.binning import Binning, edge_text, resolve
 from bookdq.operators.filters import Listed, Rule, RuleSet, rule_impact
-from bookdq.operators.summary import summarize
+from bookdq.operators.summary import crosstab, summarize
 from bookdq.operators.transforms import ColumnTransform, TransformSet, apply_transforms, transform_effect
-from bookdq.plans.preprocessing import STEP_ORDER, Step, parse_mapping, pipeline_spec, run_pipeline
+from bookdq.plans.preprocessing import Step, agreed_steps, parse_mapping, run_pipeline
 from bookdq.plans.registry import check, check_config, checks, deep_merge, from_dict
 from bookdq.plans.sizing import collect_if_small, materialize, shared_folder
-from bookdq.sources import Sources, export_table, load_to_table, read_source, write_extract
+from bookdq.sources import FindingsStore, Sources, export_table, load_to_table, read_source, write_extract
 from tests.fixture_book import settings
 
 
@@ -25,13 +26,14 @@ def tiny_book(spark, rows, schema, rules=None, transforms=None, sql_vars=None, *
 
 
 # ---- three-valued logic --------------------------------------------------------------
-PCO = [("PCO", "A", 10), ("PCO", "B", 20), ("PCO", None, 30 + 420), ("Premises", "A", 400), (None, "A", 300), (None, "B", 60)]
-CONDITION = "covg = 'PCO' AND id IN (SELECT id FROM {{ listed }})"
+# every pairing of a known and an unknown coverage with a listed, an unlisted and an unknown id; powers of two tell which rows are kept
+STORE = [("store", "hit", 1), ("store", "miss", 2), ("store", None, 4), ("depot", "hit", 8), (None, "hit", 16), (None, "miss", 32), ("depot", None, 64)]
+CONDITION = "covg = 'store' AND id IN (SELECT id FROM {{ listed }})"
 
 
-def pco_book(spark, rule):
-    spark.createDataFrame([("A",), (None,)], "id string").createOrReplaceTempView("pco_list")
-    return tiny_book(spark, PCO, "covg string, id string, premium long", RuleSet((rule,)), sql_vars={"listed": "pco_list"}, source="covg")
+def store_book(spark, rule):
+    spark.createDataFrame([("hit",), (None,)], "id string").createOrReplaceTempView("store_list")
+    return tiny_book(spark, STORE, "covg string, id string, premium long", RuleSet((rule,)), sql_vars={"listed": "store_list"}, source="covg")
 
 
 def total(book):
@@ -41,19 +43,18 @@ def total(book):
 def test_exclude_when_keeps_what_it_cannot_judge(spark):
     drop = dict(key="r", enabled=True)
     listed = {"is_listed": Listed("id", "{{ listed }}", "id")}
-    everything = sum(r[2] for r in PCO)
-    assert total(pco_book(spark, Rule(exclude_when="covg = 'PCO' AND is_listed", lists=listed, **drop))) == everything - 10
-    assert total(pco_book(spark, Rule(exclude_when=CONDITION.replace("FROM {{ listed }}", "FROM {{ listed }} WHERE id IS NOT NULL"), **drop))) == everything - 10
-    # the keep form drops every row whose condition is unknown: the null coverages on the list, the null id
-    assert total(pco_book(spark, Rule(expr="NOT (covg = 'PCO' AND is_listed)", lists=listed, **drop))) == 20 + 400 + 60
+    assert total(store_book(spark, Rule(exclude_when="covg = 'store' AND is_listed", lists=listed, **drop))) == 127 - 1
+    assert total(store_book(spark, Rule(exclude_when=CONDITION.replace("FROM {{ listed }}", "FROM {{ listed }} WHERE id IS NOT NULL"), **drop))) == 127 - 1
+    # the keep form drops every row whose condition is unknown; a list without its null leaves these
+    assert total(store_book(spark, Rule(expr="NOT (covg = 'store' AND is_listed)", lists=listed, **drop))) == 2 + 8 + 32 + 64
 
 
 def test_rule_impact_counts_overlaps_once(spark):
-    rules = RuleSet((Rule("a", enabled=True, exclude_when="id = 'A'"), Rule("b", enabled=True, column="covg", op="eq", values=("PCO",)), Rule("c", exclude_when="premium > 350")))
-    book = tiny_book(spark, PCO, "covg string, id string, premium long", rules, source="covg")
+    rules = RuleSet((Rule("a", enabled=True, exclude_when="id = 'hit'"), Rule("b", enabled=True, column="covg", op="eq", values=("store",)), Rule("c", exclude_when="premium > 20")))
+    book = tiny_book(spark, STORE, "covg string, id string, premium long", rules, source="covg")
     got = {r["key"]: (r["rows_removed"], r["premium_removed"]) for r in rule_impact(book).collect()}
-    assert got == {"a": (3, 710.0), "b": (3, 760.0), "c": (2, 850.0), "TOTAL": (4, 770.0)}
-    assert total(book) == sum(r[2] for r in PCO) - 770
+    assert got == {"a": (3, 25.0), "b": (4, 120.0), "c": (2, 96.0), "TOTAL": (5, 121.0)}
+    assert total(book) == 127 - 121
 
 
 def test_rules_are_strict(spark):
@@ -274,16 +275,37 @@ def test_review_state_and_tracker(spark):
 
 
 # ---- preparation and preflight -------------------------------------------------------
-def test_pipeline_spec_order_and_precedence(spark):
+def test_agreed_steps_order_and_precedence(spark):
     book = tiny_book(spark, [("A", 1.0)], "src string, premium double", transforms=TransformSet((ColumnTransform("src", trim=True, case="upper", description="why"),)))
-    spec = pipeline_spec(book, [Binning("premium", "b", "custom", cuts=(5,))], [Step("premium", "bin", {"n_bins": 3}), Step("premium", "impute", {}), Step("premium", "odd", {}), Step("src", "cap", {})],
-                         {"premium": "preprocess_in_modeling", "src": "investigating"})
-    assert [s["op"] for s in spec["columns"]["premium"]["steps"]] == ["impute", "bin", "odd"] and spec["columns"]["premium"]["steps"][1]["scheme"] == "b"
-    assert [s["op"] for s in spec["columns"]["src"]["steps"]] == ["trim", "case"] and spec["columns"]["src"]["note"] == "why"
-    assert spec["step_order"] == list(STEP_ORDER)
+    reviewed = spark.createDataFrame([("premium", s, op, None, ["A"], "r") for s, op in [("preprocess_in_modeling", o) for o in ("bin", "impute", "odd")]] + [("src", "investigating", "cap", None, [], None)],
+                                     "variable string, status string, op string, params map<string,string>, sources array<string>, rationale string")
+    got = agreed_steps(book, [Binning("premium", "b", "custom", cuts=(5,)), Binning("src", "raw")], reviewed).orderBy("column", "position").collect()
+    assert [(r["column"], r["op"]) for r in got] == [("premium", "impute"), ("premium", "bin"), ("premium", "odd"), ("src", "trim"), ("src", "case")]
+    assert '"scheme": "b"' in got[1]["step"] and [r["position"] for r in got] == [1, 2, 3, 1, 2]
     assert parse_mapping("UNK=null, Y=1,, x = ") == {"UNK": None, "Y": "1", "x": None}
 
 
+def test_crosstab_tells_margins_from_levels(spark):
+    book = tiny_book(spark, [("A", "Total", 1.0), ("B", "Total", 2.0), ("C", "x", 4.0), ("A", "x", 8.0)], "src string, covg string, premium double")
+    got = {(r["covg"], r["is_total"]): (r["A"], r["B"], r["(other)"], r["(total)"]) for r in crosstab(book, "covg", "src", ["A", "B"]).collect()}
+    assert got == {("Total", 0): (1.0, 2.0, 0.0, 3.0), ("x", 0): (8.0, 0.0, 4.0, 12.0), ("Total", 1): (9.0, 2.0, 4.0, 15.0)}
+    assert set(crosstab(book, "covg", "src").columns) == {"covg", "A", "B", "C", "(other)", "(total)", "is_total"}
+
+
+def test_store_raises_on_what_it_cannot_read(spark, tmp_path):
+    assert FindingsStore(spark, path=str(tmp_path / "none")).load().count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        FindingsStore(spark, path=str(tmp_path / "bad")).load().count()
+
+
+def test_running_total_counts_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, v long")
+    got = {(r["k"], r["v"]): r["t"] for r in running_total(rows, [F.col("v")], "v", "t", ["k"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 3, ("a", 3): 3, ("a", 4): 7}
+
+
 @pytest.mark.parametrize("order", list(itertools.permutations(range(3)))[:4])
 def test_pipeline_order_does_not_depend_on_input_order(spark, order):
     df = spark.createDataFrame([("A", 1.0), ("A", None), ("B", 100.0), ("B", 3.0)], "src string, x double")
