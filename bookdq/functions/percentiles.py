@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookdq.plans.sizing import broadcast_rows, collect_if_small
+from bookdq.plans.sizing import broadcast_rows, collect_if_small, materialize
 
 BLOCKS = 128
 BLOCK_ROWS = 2_000_000  # rows of one group a located block may hold before it is cut again
@@ -62,15 +62,19 @@ def percentiles(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column],
         long = _blocked(wide, by, names, cuts, positives)
         located = _locate(long, group, probs)
         rows = collect_if_small(located)
-        crowded = ({(r["_t_variable"].lstrip("+"), r["_t_block"]) for r in rows if r["_t_rows"] > block_rows} if rows is not None
-                   else {(r[0].lstrip("+"), r[1]) for r in located.where(F.col("_t_rows") > block_rows).select("_t_variable", "_t_block")
-                         .distinct().limit(2 * len(names) * blocks).collect()})
+        if rows is None:
+            located = materialize(located, "located")  # three steps read it
+        full = ([(r["_t_variable"], r["_t_block"]) for r in rows if r["_t_rows"] > block_rows] if rows is not None
+                else located.where(F.col("_t_rows") > block_rows).select("_t_variable", "_t_block").distinct().collect())  # as many as there are cut points, at most
+        crowded = {(v if v in names else v[1:], b) for v, b in full}  # a plus marks the positives of a column
         if not crowded or not _cut_again(long, names, cuts, crowded, blocks):
             break
     else:
         long = _blocked(wide, by, names, cuts, positives)
         located = _locate(long, group, probs)
         rows = collect_if_small(located)
+        if rows is None:
+            located = materialize(located, "located")
     if rows is not None:  # otherwise the joins below shuffle
         wanted: dict[str, set[int]] = {}
         for r in rows:

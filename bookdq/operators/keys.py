@@ -69,7 +69,8 @@ def suggest_key(book: Book, source: str, candidates: Sequence[str] | None = None
 
     A distinct count of many column sets in one aggregate multiplies the rows, so sets are counted in small batches,
     most promising first. Columns are skipped once they provably cannot win: distinct(key + c) is at most
-    distinct(key) x distinct(c), and at most the row count. The result is exact; ties go to the first column.
+    distinct(key) x distinct(c), and at most the row count. The result is exact; ties go to the first column. `is_unique` says
+    whether a step's columns are a key; a walk that ends at `max_cols` without one has it false on its last row.
     """
     names = list(candidates) if candidates else [
         c for c in book.columns(derived=False) if not (exclude_amounts and book.is_amount(c))]
@@ -107,10 +108,10 @@ def suggest_key(book: Book, source: str, candidates: Sequence[str] | None = None
         current = max(counts.values())
         added = next(c for c in options if counts.get(c) == current)
         chosen = [*chosen, added]
-        steps.append((len(chosen), added, ", ".join(chosen), current, total, current / total if total else 1.0))
+        steps.append((len(chosen), added, ", ".join(chosen), current, total, current / total if total else 1.0, current == total))
         if current == total:
             break
-    schema = "step int, added string, key string, distinct_keys bigint, n_rows bigint, coverage double"
+    schema = "step int, added string, key string, distinct_keys bigint, n_rows bigint, coverage double, is_unique boolean"
     return df.sparkSession.createDataFrame(steps, schema)
 
 

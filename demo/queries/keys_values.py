@@ -51,7 +51,7 @@ def _mask_key(mask: int) -> str:
     return ", ".join(c for i, c in enumerate(CANDIDATES) if mask >> i & 1)
 
 
-@query("key_suggest", f"""SELECT step, added, key, distinct_keys, n_rows, ROUND(CAST(distinct_keys AS DOUBLE) / n_rows, 6) AS coverage FROM walk WHERE step > 0""",
+@query("key_suggest", f"""SELECT step, added, key, distinct_keys, n_rows, ROUND(CAST(distinct_keys AS DOUBLE) / n_rows, 6) AS coverage, distinct_keys = n_rows AS is_unique FROM walk WHERE step > 0""",
        with_=f"""counts AS (SELECT mask, d, (SELECT COUNT(*) FROM book) AS n FROM ({" UNION ALL ".join(
            f"SELECT {m} AS mask, COUNT(DISTINCT ROW({_mask_key(m)})) AS d FROM book" for m in _MASKS)})),
 cols AS (SELECT UNNEST({list(CANDIDATES)}) AS c, UNNEST([{", ".join(str(1 << i) for i in range(len(CANDIDATES)))}]) AS bit),
