@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import gc
 import re
+import string
 from collections.abc import Callable, Sequence
+from itertools import filterfalse
 
 ADJACENT = re.compile(r"\s\s")
 MAX_CHUNKS = 500_000
@@ -18,21 +20,36 @@ MAX_CHUNKS = 500_000
 class ChunkMemory:
     """`values(texts)` gives, for each text, the list of values of its chunks in order.
 
-    compute: values of many strings at once. whole: value of one text that is not cut (any length).
+    compute: values (bytes) of many strings at once. whole: value of one text that is not cut (any length). The value
+    of a string must be that of its parts put together wherever the pattern cuts it.
     The memory is dropped when it holds more than `limit` chunks, so it is bounded whatever the data.
     """
 
-    def __init__(self, compute: Callable[[Sequence[str]], Sequence], whole: Callable[[str], object], limit: int = MAX_CHUNKS):
+    def __init__(self, compute: Callable[[Sequence[str]], Sequence[bytes]], whole: Callable[[str], bytes], limit: int = MAX_CHUNKS):
         self.compute, self.whole, self.limit = compute, whole, limit
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.line = compute(["\n"])[0]
 
-    def _learn(self, known: dict[str, object], wanted: set[str], before: str) -> None:
-        new = [w for w in wanted if w not in known]
-        known.update(zip(new, self.compute([before + w for w in new])) if new else ())
+    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
+        """Letters and the signs behind them are two matches, so `word,` needs no more than `word` and `,`."""
+        ended, new = [], set()
+        for w in wanted:
+            core = w.rstrip(string.punctuation)
+            if len(core) < len(w) and core.isalpha():
+                ended.append((w, core))
+            else:
+                new.add(w)
+        new.update(core for _, core in ended if core not in known)
+        signs = {w[len(core):] for w, core in ended if w[len(core):] not in self.signs}
+        for memory, strings, lead in ((known, new, before), (self.signs, signs, "")):
+            strings = list(strings)
+            memory.update(zip(strings, self.compute([lead + w for w in strings])) if strings else ())
+        for w, core in ended:
+            known[w] = known[core] + self.signs[w[len(core):]]
 
-    def values(self, texts: Sequence[str]) -> list[list]:
+    def values(self, texts: Sequence[str]) -> list[list[bytes]]:
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the collector would walk the memory again and again
         try:
@@ -41,17 +58,19 @@ class ChunkMemory:
             if collecting:
                 gc.enable()
 
-    def _values(self, texts: Sequence[str]) -> list[list]:
-        if len(self.first) + len(self.later) > self.limit:
+    def _values(self, texts: Sequence[str]) -> list[list[bytes]]:
+        if len(self.first) + len(self.later) + len(self.signs) > self.limit:
             self.first.clear()
             self.later.clear()
+            self.signs.clear()
         cut = [None if ADJACENT.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         heads: set[str] = set()
         tails: set[str] = set()
+        old_first, old_later = self.first.__contains__, self.later.__contains__
         for lines in cut:
             for words in lines or ():
-                heads.add(words[0])
-                tails.update(words[1:])
+                heads.update(filterfalse(old_first, words[:1]))
+                tails.update(filterfalse(old_later, words[1:]))
         self._learn(self.first, heads, "")
         self._learn(self.later, tails, " ")
         out = []

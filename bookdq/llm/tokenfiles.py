@@ -15,6 +15,7 @@ control bytes through a table of 256 x 4 lengths and gathers all ranks of a file
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from bookdq.llm.chunks import ChunkMemory
 from bookdq.llm.common import Shelf, get, map_arrow, put, slices
 
+BLANK = re.compile(r"\s")
 MAGIC = b"RANKIDS1"
 FILE_TOKENS = 8_000_000  # a file is closed when it has so many; the writer holds one file in memory
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)  # of a control byte's four tokens
@@ -57,14 +59,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def to_bytes(keys: Sequence[int | None], counts: Sequence[int], ids: np.ndarray, place: tuple[int, int]) -> bytes:
-    different, rank_of, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
-    rank = np.empty(len(order), dtype=np.uint32)
+    times = np.bincount(ids, minlength=1)  # ids of a vocabulary: a table of their counts is small
+    order = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]
+    rank = np.zeros(len(times), dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = pack(rank[rank_of.ravel()] if len(ids) else np.empty(0, np.uint32))
+    control, data = pack(rank[ids])
     given = np.array([k is not None for k in keys], dtype=np.uint8)
-    head = np.array([len(keys), len(ids), len(different), int(given.sum()), len(data), *place], dtype="<u8")
-    return b"".join((MAGIC, head.tobytes(), different[order].astype("<u4").tobytes(), given.tobytes(), np.array([k or 0 for k in keys], dtype="<i8").tobytes(),
+    head = np.array([len(keys), len(ids), len(order), int(given.sum()), len(data), *place], dtype="<u8")
+    return b"".join((MAGIC, head.tobytes(), order.astype("<u4").tobytes(), given.tobytes(), np.array([k or 0 for k in keys], dtype="<i8").tobytes(),
                      np.array(counts, dtype="<u8").tobytes(), control, data))
 
 
@@ -98,10 +100,30 @@ class Library:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
-        self.memory = ChunkMemory(self._many, lambda text: self._many([text])[0])
+        self.line = np.frombuffer(self._each(["\n"])[0], "<u4")[-1]
+        self.memory = ChunkMemory(self._many, lambda text: self._each([text])[0])
+
+    def _each(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _many(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
+        """Strings without white space behind their first character go through one call, a line break between them:
+        it always stands alone there, so its id parts their ids again."""
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and not BLANK.search(t, 1) and (t[0] == " " and len(t) > 1 or not BLANK.match(t))]
+        rest = sorted(set(range(len(texts))) - set(plain))
+        for i, v in zip(rest, self._each([texts[i] for i in rest]) if rest else ()):
+            out[i] = v
+        if plain:
+            ids = np.array(self.tool.encode_batch_fast(["\n".join([texts[i] for i in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) != len(plain) - 1:
+                raise ValueError("the tokenizer does not keep line breaks apart")
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(plain, [*(4 * cuts).tolist(), len(raw)]):
+                out[i] = raw[a:b]
+                a = b + 4
+        return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         return [b"".join(v) for v in self.memory.values(texts)]
