@@ -8,10 +8,11 @@ shingle lie side by side in one table, and a signature is the minimum of as many
 confirmed on the full sets. What makes it hold at scale:
 
 * Texts with equal sets are one class; everything below runs on one representative a class.
-* A bucket never emits all its pairs. Round 1 compares its members with one pivot, and members that a link already
+* A bucket never emits all its pairs. Round 1 compares its members with one pivot, the one that meets most others, and members that a link already
   joins need no comparison. What is left are texts that share a bucket over several components, mostly texts with a common passage.
   They are bucketed anew, by prefix: of two sets with a Jaccard of 0.8, the n - 0.8 n + 1 rarest elements of each (in
   one order for all sets) have one in common for sure, and a passage that many texts share is not rare.
+* Two sets that have been compared with the same pivot have a bound for what they share. Pairs below it are left out.
 * In these buckets only members outside the largest component become pivots (8 a bucket, then four times as many each
   round) and are compared with the members of other components. It ends when every bucket is one component or all its
   minor members were pivots: no link between two components can be left then.
@@ -159,19 +160,20 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(sets, run, "band long, rep long, n long, s1 long, s2 long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common, linked) of pairs: size of the intersection of their full sets, and whether 100 times it reaches
+    percent times the union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common, linked = [], []
             for x, y in zip(arrays(batch.column("x")), arrays(batch.column("y"))):
                 both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(int((both[1:] == both[:-1]).sum()))
+                linked.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"])
 
     filled = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-    return map_arrow(filled.select("a", "b", "x", "y"), run, "a long, b long")
+    return map_arrow(filled.select("a", "b", "x", "y"), run, "a long, b long, common long, linked boolean")
 
 
 def contract(shelf: Shelf, labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -212,11 +214,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     one = described.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"])
     banded = shelf.save(one.select(F.explode("bands").alias("band"), F.col("id").alias("rep"), "n", "h1", "h2", "s1", "s2"), "bands")
     shelf.drop("described")
-    shared = shelf.save(banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot < hi").drop("hi"), "shared")
+    shared = shelf.save(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band", "size"), "shared")
     members = shelf.save(banded.join(shared, "band"), "buckets")
     shelf.drop("bands")
-    wanted = members.groupBy(F.col("rep").alias("_r")).agg(*[F.first(c).alias(c) for c in ("h1", "h2", "n", "s1", "s2")])
-    sets = shelf.save(full_sets(plain.join(wanted, F.col("_k") == F.col("_r")).drop("_r"), width), "sets")
+    wanted = members.groupBy(F.col("rep").alias("_r")).agg(*[F.first(c).alias(c) for c in ("h1", "h2", "n", "s1", "s2")], F.sum("size").alias("met"))
+    wanted = shelf.save(wanted, "wanted")
+    sets = shelf.save(full_sets(plain.join(wanted.drop("met"), F.col("_k") == F.col("_r")).drop("_r"), width), "sets")
+    # the pivot of a bucket is its member that shares buckets with most others: the least edited of a group of copies
+    members = members.join(wanted.select(F.col("_r").alias("rep"), "met"), "rep")
+    pivots = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("pivot"))
+    members = shelf.save(members.drop("met", "size", "h1", "h2").join(pivots, "band"), "members1")
     labels = sets.select("rep", F.col("rep").alias("comp")).distinct()
 
     def likely(a: str, b: str):
@@ -224,6 +231,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
         return size & (apart <= SKETCH_APART)
 
+    def possible(a: str, b: str):
+        """False where two sets that were compared with one pivot cannot be linked: they share at most the smaller of what
+        they have in common with it, and the smaller of what they have besides."""
+        most = F.least(f"{a}.i", f"{b}.i") + F.least(F.expr(f"{a}.n - {a}.i"), F.expr(f"{b}.n - {b}.i"))
+        reach = 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+        return ~F.col(f"{a}.ref").eqNullSafe(F.col(f"{b}.ref")) | F.col(f"{a}.ref").isNull() | reach
+
     def spread(number: int):
         """Members of buckets over several components, with their component and the bucket's largest."""
         placed = members.join(labels, "rep")
@@ -232,14 +246,20 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         return shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), f"open{number}")
 
     pivots = members.where("rep = pivot")
-    first = (pivots.alias("p").join(members.alias("m"), "band").where((F.col("p.rep") < F.col("m.rep")) & likely("p", "m"))
+    first = (pivots.alias("p").join(members.alias("m"), "band").where((F.col("p.rep") != F.col("m.rep")) & likely("p", "m"))
              .select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct())
     tested = shelf.save(first, "pairs1")
-    labels = contract(shelf, labels, shelf.save(confirmed(tested, sets, percent), "edges1"), "round1")
+    met = shelf.save(compared(tested, sets, percent), "compared1")
+    labels = contract(shelf, labels, met.where("linked").select("a", "b"), "round1")
+    # what is known of each representative: of the pivots it was compared with, the one with most comparisons, and what they share
+    weight = met.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
+    itself = pivots.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("common")).distinct()
+    facts = met.select("a", "b", "common").union(itself).join(weight, "a")
+    known = facts.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("w", "a", "common")).alias("k")).select("rep", F.col("k.a").alias("ref"), F.col("k.common").alias("i"))
     unsure = sets.join(spread(1).select("rep").distinct(), "rep")
     tokens = shelf.save(prefixes(unsure, percent), "tokens")
     again = tokens.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    members = shelf.save(tokens.join(again, "band"), "members")
+    members = shelf.save(tokens.join(again, "band").join(known, "rep", "left"), "members")
     done, most, number = None, FIRST_PIVOTS, 2
     while True:
         open_ = spread(number)
@@ -251,11 +271,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         if pivots.isEmpty():
             break
         done = pivots.select("band", "rep") if done is None else done.union(pivots.select("band", "rep"))
-        fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & likely("p", "m"))
+        fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & likely("p", "m") & possible("p", "m"))
                  .select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b")).distinct())
         pairs = shelf.save(fresh.join(tested, ["a", "b"], "left_anti"), f"pairs{number}")
         tested = tested.union(pairs)
-        labels = contract(shelf, labels, shelf.save(confirmed(pairs, sets, percent), f"edges{number}"), f"round{number}")
+        met = shelf.save(compared(pairs, sets, percent), f"compared{number}")
+        labels = contract(shelf, labels, met.where("linked").select("a", "b"), f"round{number}")
         most, number = most * MORE_PIVOTS, number + 1
 
     of_class = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component"))
