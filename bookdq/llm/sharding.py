@@ -5,10 +5,12 @@ No pair is ever made: what a document needs to know of its neighbours is how man
 an aggregate with at most `shards` rows a group.
 
 1. Linked documents are cut into shards by running bytes in hash order, so every shard begins with an even load.
-2. A round: every (group, shard) cell picks the shard that holds more of its group (equal parts: by a hash), first among
-   all shards, in every second round among those with room. The wanted bytes between shards, a shards x shards matrix, are
-   turned into quotas that keep every load between a floor and a ceiling; documents move in hash order while the
-   middle of their running bytes is within the quota of their pair of shards. Rounds end when less than a thousandth moves.
+2. A round: a group ranks its shards by the bytes it has there (equal parts: by a hash) and plans to fill the first of them,
+   as many as its bytes need; the documents of its other shards are dealt over what is missing there by running bytes. In
+   odd rounds a shard counts as holding its whole ceiling, in even rounds the group's part and what is free below the ceiling. The wanted bytes
+   between shards, a shards x shards matrix, are turned into quotas that keep every load between a floor and a ceiling;
+   documents move in hash order while the middle of their running bytes is within the quota of their pair of shards.
+   Rounds end when one of each kind moves nothing.
 3. Unlinked documents are ballast: by size classes, large ones first, they are cut at what each shard still lacks.
 
 So sizes end within half a percent and one small document of each other, as far as single documents allow, and a group that is
@@ -16,14 +18,14 @@ larger than a shard lies in as few shards as have room for it.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookdq.functions.running import running_total
 from bookdq.llm.common import Shelf
 from bookdq.plans.sizing import broadcast_rows
 
-ROUNDS, SLACK, SETTLED = 6, 0.005, 0.001
+SLACK = 0.005
 CLASSES = (16_384, 2_048, 512)  # bytes at which a size class of ballast ends, largest first
 Flow = dict[tuple[int, int], float]
 
@@ -65,6 +67,29 @@ def loads(rows: DataFrame, shards: int) -> list[float]:
     return [float(got.get(s, 0)) for s in range(shards)]
 
 
+def plan(cells: DataFrame, load: list[float], ceiling: float, document: float, anywhere: bool) -> DataFrame:
+    """cells: (grp, shard, b). (grp, shard, start, ends) of those that give documents away: where their running bytes begin on
+    their group's line, and up to where on it which shard takes them (those that their bytes meet, in order).
+
+    Shards are filled in the order of the group's bytes, so a document only goes where its group has no less than at its
+    own place: every move adds to the sum of squares of the cells. Windows hold a group's cells, `shards` rows at most.
+    """
+    free = ceiling - F.element_at(F.array(*map(F.lit, load)), F.col("shard") + 1)
+    room = F.greatest(F.lit(ceiling), "b") if anywhere else F.col("b") + F.when(free >= document, free).otherwise(F.lit(0.0))
+    group = Window.partitionBy("grp")
+    ranked = group.orderBy(F.col("b").desc(), F.xxhash64("grp", "shard").desc(), "shard")
+    earlier, later = ranked.rowsBetween(Window.unboundedPreceding, -1), ranked.rowsBetween(1, Window.unboundedFollowing)
+    rows = cells.withColumn("room", room).withColumn("rest", F.sum("b").over(group) - F.coalesce(F.sum("room").over(earlier), F.lit(0.0)))
+    rows = rows.withColumn("more", F.greatest(F.least("room", "rest"), F.lit(0.0)) - F.col("b"))
+    need, give = F.greatest("more", F.lit(0.0)), F.greatest(-F.col("more"), F.lit(0.0))
+    rows = rows.withColumn("need", need).withColumn("give", give).withColumn("start", F.coalesce(F.sum("give").over(later), F.lit(0.0)))
+    rows = rows.withColumn("first", F.coalesce(F.sum("need").over(earlier), F.lit(0.0)))
+    taker = F.struct((F.col("first") + F.col("need")).alias("end"), "first", "shard", F.col("b").alias("pull"))
+    rows = rows.withColumn("ends", F.array_sort(F.collect_list(F.when(F.col("need") > 0, taker)).over(group))).where("give > 0")
+    met = F.filter("ends", lambda e: (e["end"] > F.col("start")) & (e["first"] < F.col("start") + F.col("give")))
+    return rows.select("grp", "shard", "start", met.alias("ends"))
+
+
 def propagate(shelf: Shelf, linked: DataFrame, shards: int, average: float, spare: float) -> DataFrame:
     """linked: (row, id, grp, size, order). Returns it with `shard`. spare: bytes of ballast that can fill shards up."""
     total = linked.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
@@ -75,26 +100,31 @@ def propagate(shelf: Shelf, linked: DataFrame, shards: int, average: float, spar
         ceiling, floor = average * (1 - SLACK), 0.0
     else:
         ceiling, floor = average * (1 + SLACK), max(0.0, average * (1 - SLACK) - spare / shards)
-    for number in range(1, ROUNDS + 1):
+    document = total / max(1, placed.count())
+    spark = placed.sparkSession
+    number, idle, kept = 0, 0, "round0"
+    while idle < 2:  # until a round of each kind moves nothing: every move adds to a bounded sum, so that comes
+        number += 1
         load = loads(placed, shards)
-        cells = placed.groupBy("grp", "shard").agg(F.sum("size").alias("b")).withColumn("rank", F.struct("b", F.xxhash64("grp", "shard").alias("h"), "shard"))
-        places = cells if number % 2 else cells.where(F.col("shard").isin([s for s in range(shards) if load[s] < average] or [-1]))
-        best = places.groupBy("grp").agg(F.max("rank").alias("best"))  # at most `shards` rows a group before this
-        moves = cells.join(best, "grp").where(F.col("best") > F.col("rank")).select("grp", "shard", F.col("best.shard").alias("to"), F.col("best.b").alias("pull"))
-        willing = shelf.save(placed.join(moves, ["grp", "shard"]), f"willing{number}")
+        givers = plan(placed.groupBy("grp", "shard").agg(F.sum("size").alias("b")), load, ceiling, document, anywhere=number % 2 == 1)
+        line = running_total(placed.join(givers, ["grp", "shard"]), [F.col("order"), F.col("row")], "size", "_run", ["grp", "shard"])
+        middle = F.col("start") + F.col("_run") - F.col("size") / 2
+        taker = F.get(F.filter("ends", lambda e: e["end"] >= middle), F.lit(0))
+        willing = line.select("row", "size", "order", "shard", taker["shard"].alias("to"), taker["pull"].alias("pull")).where("to is not null")
+        willing = shelf.save(willing, f"willing{number}")
         wanted = {(r["shard"], r["to"]): float(r["b"]) for r in willing.groupBy("shard", "to").agg(F.sum("size").alias("b")).collect()}  # shards x shards rows at most
         flow = {k: v for k, v in quotas(wanted, load, floor, ceiling).items() if v > 0}
-        if not flow:
-            break
-        spark = placed.sparkSession
-        quota = broadcast_rows(spark, [(a, b, v) for (a, b), v in flow.items()], spark.createDataFrame([], "shard int, to int, quota double").schema)
-        run = running_total(willing.join(quota, ["shard", "to"]), [F.col("pull").desc(), F.col("order"), F.col("row")], "size", "_run", ["shard", "to"])
-        moved = shelf.save(run.where(F.col("_run") - F.col("size") / 2 <= F.col("quota")).select("row", F.col("to").alias("_to"), F.col("size").alias("_moved")), f"moved{number}")
-        placed = shelf.save(placed.join(moved.drop("_moved"), "row", "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to"), f"round{number}")
-        shelf.drop(f"round{number - 1}")
+        idle += 1
+        if flow:
+            quota = broadcast_rows(spark, [(a, b, v) for (a, b), v in flow.items()], spark.createDataFrame([], "shard int, to int, quota double").schema)
+            run = running_total(willing.join(quota, ["shard", "to"]), [F.col("pull").desc(), F.col("order"), F.col("row")], "size", "_run", ["shard", "to"])
+            moved = shelf.save(run.where(F.col("_run") - F.col("size") / 2 <= F.col("quota")).select("row", F.col("to").alias("_to")), f"moved{number}")
+            if not moved.isEmpty():
+                placed = shelf.save(placed.join(moved, "row", "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to"), f"round{number}")
+                shelf.drop(kept)
+                idle, kept = 0, f"round{number}"
+            shelf.drop(f"moved{number}")
         shelf.drop(f"willing{number}")
-        if moved.agg(F.coalesce(F.sum("_moved"), F.lit(0)).alias("b")).first()["b"] < SETTLED * total:
-            break
     return placed
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bookdq.llm import bpe, factorization, mixing, neardup, secrets, tokenfiles
+from bookdq.llm import bpe, factorization, mixing, neardup, secrets, sharding, tokenfiles
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -198,3 +199,22 @@ def test_targets(spark):
     got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
     # a: weight 5 stops at 3000; b: 2, stops at 300; d: 5, stops at 0; none: 2, stops at 30; c has the rest
     assert got == {"a": 1000 * 3.0, "b": 300.0, "c": 6110 - 3330.0, "d": 0.0, None: 30.0} or abs(sum(got.values()) - 6110) < 1e-6 and all(got[k] <= 3 * s + 1e-9 for k, s in (("a", 1000), ("b", 100), ("c", 5000), ("d", 0), (None, 10)))
+
+
+def test_hot_group_is_gathered(spark):
+    """A group of a third of all bytes, larger than three of ten shards, beside pairs and unlinked texts."""
+    hot = [(i, "hot text " * 12) for i in range(400)]
+    pairs = [(1000 + i, f"{'pair ' * 20}{i % 120}") for i in range(240)]
+    docs = hot + pairs + [(2000 + i, f"{'single ' * 15}{i}") for i in range(560)]
+    assigned = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), shards=10).cache()
+    got = {r["doc_id"]: (r["shard"], r["size"]) for r in assigned.collect()}
+    load = Counter()
+    for shard, size in got.values():
+        load[shard] += size
+    average = sum(load.values()) / 10
+    assert len(got) == len(docs) and all(abs(load[s] - average) <= 0.005 * average + 150 for s in range(10))
+    cells = Counter(got[i][0] for i, _ in hot)
+    assert len(cells) <= 6 and sum(cells.values()) == 400, cells  # four would do if nothing else were linked
+    cut = sum(got[1000 + i][0] != got[1120 + i][0] for i in range(120))
+    report = sharding.cut(assigned).first()
+    assert cut <= 12 and report["linked"] - report["together"] == 400 - max(cells.values()) + cut
