@@ -19,7 +19,7 @@ CHECK = "value_checks"
 
 @dataclass(frozen=True)
 class CategoricalRule:
-    max_values: int = 500  # above it only the inventory is reported
+    max_values: int = 500  # still accepted in configurations, but cuts nothing: the comparison is a group-by
     warn_unique: float = 0.0
     warn_rows: float = 0.005
     fail_rows: float = 0.05
@@ -128,10 +128,8 @@ def unique_by_source(counts: DataFrame, source: str) -> DataFrame:
 
 
 def source_unique(book: Book, column: str, rule: CategoricalRule = CategoricalRule()) -> DataFrame:
-    """`unique_by_source` of one column; empty when it has more than `max_values` values."""
-    counts = value_counts(book, [column])
-    few = inventory(counts, book.spec.source).where(F.col("n_values") <= rule.max_values).select("variable")
-    return unique_by_source(counts, book.spec.source).join(few, "variable", "left_semi").drop("variable")
+    """`unique_by_source` of one column, however many values it has."""
+    return unique_by_source(value_counts(book, [column]), book.spec.source).drop("variable")
 
 
 def _per_variable(rules: Mapping[str, object], names: Sequence[str]) -> Column:
@@ -141,10 +139,8 @@ def _per_variable(rules: Mapping[str, object], names: Sequence[str]) -> Column:
 
 
 def _categorical_findings(counts: DataFrame, rules: Mapping[str, CategoricalRule], src: str) -> list[DataFrame]:
-    limits = _per_variable(rules, ("max_values", "warn_unique", "warn_rows", "fail_rows"))
     found = inventory(counts, src)
-    few = found.withColumn("_r", limits).where(F.col("n_values") <= F.col("_r.max_values")).select("variable", "_r")
-    per_source = unique_by_source(counts, src).join(few, "variable")
+    per_source = unique_by_source(counts, src).withColumn("_r", _per_variable(rules, ("warn_unique", "warn_rows", "fail_rows")))
     variable, item = F.col("variable"), "used by one source only"
     return [
         fd.emit(found, CHECK, [], dict(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bookdq import Book, BookSpec, Measures, UnknownColumnError
 from bookdq.functions.running import running_total
-from bookdq.operators import keys, preflight, targets, tracker
+from bookdq.operators import keys, preflight, targets, tracker, values
 from bookdq.operators.binning import Binning, edge_text, resolve
 from bookdq.operators.filters import Listed, Rule, RuleSet, rule_impact
 from bookdq.operators.summary import crosstab, summarize
@@ -327,3 +327,12 @@ def test_preflight(books):
     bad = books[0].with_rules(RuleSet((Rule("broken", enabled=True, expr="no_such > 1"),)))
     report = {r["check"]: r for r in preflight.preflight(bad, {"segment_mix": from_dict(checks()["segment_mix"].config, {"dimensions": ["gone"]})}).collect()}
     assert not report["rule broken"]["ok"] and not report["segment_mix"]["ok"] and "gone" in report["segment_mix"]["detail"] and report["sources"]["ok"]
+
+
+# ---- nothing is cut by a number of levels --------------------------------------------
+def test_source_values_beyond_any_cap(spark):
+    book = tiny_book(spark, [("A", f"v{i}", 1) for i in range(700)] + [("B", f"v{i}", 1) for i in range(1, 701)], "src string, code string, premium long")
+    got = {r["src"]: (r["source_unique_values"], r["first_values"]) for r in values.source_unique(book, "code").collect()}
+    assert got == {"A": (1, "v0"), "B": (1, "v700")}
+    found = values.run(book, values.ValuesConfig(categorical={"code": values.CategoricalRule()})).findings
+    assert found.where("metric = 'source_unique_values' AND value = 1").count() == 2
