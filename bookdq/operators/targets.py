@@ -197,7 +197,9 @@ def score_binnings(book: Book, variable: str, schemes: Sequence[Binning], target
     named = {b.name: b for b in schemes if b.cuts_values}
     levels = {"(raw levels)": label_of(df, *book.require([variable])), **{n: b.label(F.col(variable)) for n, b in named.items()}}
     sums = level_sums(df, book, levels, [], crossing_first=False)
-    part = shape(materialize(sums, "schemes"), TARGETS[target], cfg, 200).oneway
+    sums, measure = materialize(sums, "schemes"), TARGETS[target]
+    overall = sums.where(F.col("depth") == 0).select(ratio(F.col(measure.numerator), F.col(measure.denominator)).alias("value")).scalar()
+    part = _ratios(sums.where(F.col("depth") == 1).select("var_a", "level_a", *SUMS), measure, overall, cfg.full_credibility)  # every level, unfolded
     credible = F.col("claims") >= cfg.min_claims
     used = credible & (F.col("relativity") > 0) & (F.col("weight") > 0)
     lo, hi = (f(F.when(used, F.col("relativity"))) for f in (F.min, F.max))

@@ -336,3 +336,10 @@ def test_source_values_beyond_any_cap(spark):
     assert got == {"A": (1, "v0"), "B": (1, "v700")}
     found = values.run(book, values.ValuesConfig(categorical={"code": values.CategoricalRule()})).findings
     assert found.where("metric = 'source_unique_values' AND value = 1").count() == 2
+
+
+def test_binning_scores_every_raw_level(spark):
+    rows = [("A", i, 100.0, float(i % 7 + 1), 20, 1.0) for i in range(300)]
+    book = tiny_book(spark, rows, "src string, x int, premium double, loss double, claims int, exposure double", measures=Measures("premium", "loss", "claims", "exposure", "src"))
+    got = targets.score_binnings(book, "x", [], "loss_ratio").first()
+    assert (got["n_bins"], got["n_credible"]) == (300, 300) and got["spread"] == pytest.approx(7)
