@@ -175,16 +175,31 @@ def outside_scale(book: Book, p: Profile) -> DataFrame:
 
 
 # ---- categorical ---------------------------------------------------------------------
+def every_category(book: Book, profiles: Sequence[Profile]) -> DataFrame:
+    """(variable, *dims, category, n, share) of all categories and `<null>`, in one pass over the fact table."""
+    dims = book.require(profiles[0].group_by)
+    counts = _category_rows(book, profiles).select("variable", *dims, F.coalesce("_cat", F.lit(NULL_LABEL)).alias("category"), F.col("_n").alias("n"))
+    keys = ["variable", *dims]
+    totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("n").alias("_total"))  # a join: a segment has any number of categories
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    return counts.join(totals, same).select(*keys, "category", "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def _category_rows(book: Book, profiles: Sequence[Profile]) -> DataFrame:
+    dims, df = book.require(profiles[0].group_by), book.population()
+    texts = [F.struct(F.lit(p.name).alias("variable"), level_text(F.col(p.name), df.schema[p.name].dataType).alias("_cat"))
+             for p in profiles if book.require([p.name])]
+    return df.select(*dims, F.inline(F.array(*texts))).groupBy("variable", *dims, "_cat").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def categories(book: Book, profiles: Sequence[Profile]) -> DataFrame:
     """(variable, *dims, category, n, share): the globally most frequent categories, `<null>` and `<other>`.
 
     The fact table is read once, into counts per variable, segment and category; ranking and folding work on the
     counts. The list of kept categories has `max_categories` rows a variable, which makes its broadcast safe.
     """
-    dims, df = book.require(profiles[0].group_by), book.population()
-    texts = [F.struct(F.lit(p.name).alias("variable"), level_text(F.col(p.name), df.schema[p.name].dataType).alias("_cat"))
-             for p in profiles if book.require([p.name])]
-    counts = df.select(*dims, F.inline(F.array(*texts))).groupBy("variable", *dims, "_cat").agg(F.count(F.lit(1)).alias("_n"))
+    dims = book.require(profiles[0].group_by)
+    counts = _category_rows(book, profiles)
     most = F.create_map(*[F.lit(x) for p in profiles for x in (p.name, p.max_categories)])
     by_size = Window.partitionBy("variable").orderBy(F.col("_all").desc(), "_cat")
     widest = max(p.max_categories for p in profiles)
@@ -275,6 +290,7 @@ def _numeric(book: Book, profiles: list[Profile]) -> tuple[list[DataFrame], dict
 
 def _categorical(book: Book, profiles: list[Profile]) -> tuple[list[DataFrame], dict[str, DataFrame]]:
     every = materialize(categories(book, profiles), "categories")
+    unfolded = materialize(every_category(book, [p for p in profiles if p.compares]), "every_category") if any(p.compares for p in profiles) else None
     frames: list[DataFrame] = []
     tables: dict[str, DataFrame] = {}
     for p in profiles:
@@ -286,7 +302,7 @@ def _categorical(book: Book, profiles: list[Profile]) -> tuple[list[DataFrame],
             continue
         across = p.psi.across
         psi = psi_between_peers(counts, dims, across, "category")
-        fresh, compared = new_categories(counts, dims, across, p.new_category_min_share)
+        fresh, compared = new_categories(unfolded.where(F.col("variable") == p.name).drop("variable"), dims, across, p.new_category_min_share)
         tables[f"psi::{p.name}"], tables[f"new_categories::{p.name}"] = psi, fresh
         zero = compared.withColumns({"_new": F.lit(0), "_text": F.lit(None).cast("string")})
         named = fresh.select(*dims, F.lit(1).alias("_new"),

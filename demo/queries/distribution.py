@@ -115,7 +115,7 @@ MIN(pol_yr) OVER (PARTITION BY src, category) AS first FROM (SELECT *, CAST(n AS
 FROM (SELECT src, pol_yr, program_cd AS category, COUNT(*) AS n FROM book GROUP BY ALL))) WHERE pol_yr = first AND lvl > 1 AND share >= 0.005""")
 def new_categories(spark, sf):
     p = Profile("program_cd", group_by=("src", "pol_yr"), psi=PsiRule("pol_yr"))
-    counts = ds.category_counts(demo_book(spark, sf, "program_cd pol_yr"), p)
+    counts = ds.every_category(demo_book(spark, sf, "program_cd pol_yr"), [p]).drop("variable")
     return ds.new_categories(counts, p.group_by, "pol_yr", p.new_category_min_share)[0]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bookdq import Book, BookSpec, Measures, UnknownColumnError
 from bookdq.functions.running import running_total
-from bookdq.operators import keys, preflight, targets, tracker, values
+from bookdq.operators import distribution, keys, preflight, targets, tracker, values
 from bookdq.operators.binning import Binning, edge_text, resolve
 from bookdq.operators.filters import Listed, Rule, RuleSet, rule_impact
 from bookdq.operators.summary import crosstab, summarize
@@ -343,3 +343,13 @@ def test_binning_scores_every_raw_level(spark):
     book = tiny_book(spark, rows, "src string, x int, premium double, loss double, claims int, exposure double", measures=Measures("premium", "loss", "claims", "exposure", "src"))
     got = targets.score_binnings(book, "x", [], "loss_ratio").first()
     assert (got["n_bins"], got["n_credible"]) == (300, 300) and got["spread"] == pytest.approx(7)
+
+
+def test_new_category_of_a_small_segment(spark):
+    """New in a small segment, but ranked below the cap overall."""
+    rows = [("A", y, f"c{i}", 1) for y in (1, 2) for i in range(4) for _ in range(50)] + [("B", y, "c0", 1) for y in (1, 2) for _ in range(9)] + [("B", 2, "rare", 1)]
+    book = tiny_book(spark, rows, "src string, yr int, code string, premium long")
+    p = distribution.Profile("code", type="categorical", group_by=("src", "yr"), max_categories=4, psi=distribution.PsiRule("yr"))
+    out = distribution.run(book, distribution.DistributionConfig(variables=(p,)))
+    assert [(r["src"], r["yr"], r["category"], r["n"], r["share"]) for r in out.tables["new_categories::code"].collect()] == [("B", 2, "rare", 1, 0.1)]
+    assert out.findings.where("metric = 'new_categories' AND value = 1").count() == 1
