@@ -1,7 +1,8 @@
 """Secrets in texts: known forms by pattern, and random strings by a battery of tests with false-discovery control.
 
 DataFrame functions only. Known forms (assign, access, hex) are matches of fixed patterns. A candidate for the fourth
-kind is a run of 20 or more symbols of the common encodings. Its encoding is inferred from the symbols it uses, and it
+kind is a run of 20 or more symbols of the common encodings, and each part of 20 or more between its '/', '-' and '_', since
+a path or a prefix widens the alphabet of the key behind it. Its encoding is inferred from the symbols it uses, and it
 must pass as random in that encoding: chi-squared of uniform symbols, runs above and below the middle symbol, serial
 correlation of neighbours, each by its normal score, at a level of 0.001 shared by the three.
 
@@ -26,6 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 or more characters: a run e
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
+LONG_PART = r"[A-Za-z0-9+]{20,}"
 LEAST_SECRET = 6
 
 LOWERS, UPPERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -132,6 +134,17 @@ def thresholds(scored: DataFrame, rate: float) -> dict[int, float]:
     return out
 
 
+def with_parts(runs: DataFrame) -> DataFrame:
+    """(row, kind, start, end, whole, run, part) of runs (row, kind, start, end, whole) and of their long parts between '/', '-'
+    and '_'; run: where the run starts. The window holds the parts of one run."""
+    runs = runs.withColumn("run", F.col("start"))
+    pieces = runs.where(F.col("whole").rlike("[/_-]") & F.col("whole").rlike(LONG_PART)).select("row", "kind", "run", F.posexplode(F.split("whole", "[/_-]", -1)).alias("i", "whole"))
+    earlier = Window.partitionBy("row", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("start", F.col("run") + F.coalesce(F.sum(F.length("whole") + 1).over(earlier), F.lit(0))).where(F.col("whole").rlike(LONG_PART))
+    parts = pieces.withColumn("end", F.col("start") + F.length("whole")).withColumn("part", F.lit(True))
+    return runs.withColumn("part", F.lit(False)).unionByName(parts.drop("i"))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """(row, key, found array<struct<start, kind, end>>, chash) of every row, found in order of start, then kind; start
     and end in code points, end exclusive. chash tells texts of one key apart. Null texts count as empty and have no span.
@@ -146,11 +159,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     before = Window.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("whole")).over(before.rowsBetween(Window.unboundedPreceding, 0))
     every = shelf.save(every.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("whole")), "spans")
-    candidates = every.where(F.col("kind") == 3).where(F.col("whole").rlike("[A-Za-z]"))
-    scored = shelf.save(with_score(tested(candidates), letter_shares(candidates)).select("row", "kind", "start", "end", "n", "band", "passes", "score"), "scored")
+    candidates = with_parts(every.where(F.col("kind") == 3).select("row", "kind", "start", "end", "whole")).where(F.col("whole").rlike("[A-Za-z]"))
+    scored = shelf.save(with_score(tested(candidates), letter_shares(candidates)).select("row", "kind", "start", "end", "run", "part", "n", "band", "passes", "score"), "scored")
     least = thresholds(scored, rate)
     level = F.coalesce(*[F.when(F.col("band") == b, F.lit(x)) for b, x in least.items()], F.lit(float("inf")))
-    random = scored.where(F.col("passes") & (F.col("score") >= level)).select("row", "kind", "start", "end")
+    accepted = scored.where(F.col("passes") & (F.col("score") >= level))
+    alone = accepted.where("part").join(accepted.where("not part").select("row", "run"), ["row", "run"], "left_anti")  # an accepted run covers its parts
+    random = accepted.where("not part").unionByName(alone.select(accepted.columns)).select("row", "kind", "start", "end")
     base = every.where((F.col("kind") < 3) & ((F.col("kind") > 0) | (F.length("part") >= LEAST_SECRET))).select("row", "kind", "start", "end")
     spans = base.union(random).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
     empty = F.array().cast(spans.schema["found"].dataType)

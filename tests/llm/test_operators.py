@@ -218,3 +218,16 @@ def test_hot_group_is_gathered(spark):
     cut = sum(got[1000 + i][0] != got[1120 + i][0] for i in range(120))
     report = sharding.cut(assigned).first()
     assert cut <= 12 and report["linked"] - report["together"] == 400 - max(cells.values()) + cut
+
+
+def test_keys_behind_prefixes(spark):
+    """Upper-case hex and base32 keys in paths and behind prefixes; paths and names of words are not found."""
+    rng = random.Random(9)
+    hexes, base32 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    keys = [(p, "".join(rng.choice(a) for _ in range(n))) for p, a, n in (("keys/", hexes, 64), ("keys/", hexes, 40), ("prod_", hexes, 40), ("key-", hexes, 32), ("keys/", base32, 64)) for _ in range(30)]
+    words = ["/".join(rng.choice(["information", "administration", "responsibilities", "internationalization", "gesellschaftsvertrag"]) for _ in range(4)) for _ in range(150)]
+    docs = [(i, f"the key {w} is here") for i, w in enumerate([p + k for p, k in keys] + words)]
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    covered = [any(s["kind"] == 3 and s["start"] <= 8 + len(p) and s["end"] == 8 + len(p) + len(k) for s in got[i]) for i, (p, k) in enumerate(keys)]
+    assert all(sum(covered[i:i + 30]) >= 28 for i in range(0, len(keys), 30)), [sum(covered[i:i + 30]) for i in range(0, len(keys), 30)]
+    assert sum(bool(got[i]) for i in range(len(keys), len(docs))) <= 1
