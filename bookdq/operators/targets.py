@@ -80,6 +80,17 @@ def level_counts(book: Book, variables: Sequence[str]) -> DataFrame:
     return book.population().agg(*[F.approx_count_distinct(v).alias(v) for v in book.require(variables)])
 
 
+def exact_levels(df: DataFrame, variables: Sequence[str]) -> dict[str, int]:
+    return df.agg(*[F.count_distinct(v).alias(v) for v in variables]).first().asDict()
+
+
+def not_crossed(book: Book, variables: Sequence[str], cfg: TargetConfig, base: str | None = None) -> list[str]:
+    """The variables that `profile` leaves out of its two-ways, with their number of levels, as notes."""
+    found = exact_levels(_scope(book, cfg, base), book.require(dict.fromkeys(variables)))
+    return [f"{v} has {n:,} levels, more than {cfg.max_pair_levels:,}: it is shown alone and not crossed; bin it, or name it in pair_variables."
+            for v, n in found.items() if n > cfg.max_pair_levels]
+
+
 def default_base(book: Book, where: str | None = None) -> str | None:
     """The exposure base with most premium."""
     m = book.spec.measures
@@ -171,8 +182,9 @@ def profile(book: Book, variables: Sequence[str], target: str, cfg: TargetConfig
             pair_variables: Sequence[str] | None = None) -> TargetTables:
     """Total, one-ways and two-ways of one target.
 
-    The number of levels is estimated first: variables above `max_pair_levels` are not crossed unless binned, and the
-    estimate decides at which grain the sums start. `pair_variables` replaces that guard.
+    The number of levels is counted first: variables above `max_pair_levels` are not crossed unless binned (see
+    `not_crossed`), and the count decides at which grain the sums start. `pair_variables` replaces that guard: whatever is
+    named there is crossed at all its levels and then folded, which is exact.
     """
     variables = book.require(dict.fromkeys(v for v in variables if v))
     df = _scope(book, cfg, base)
@@ -181,7 +193,7 @@ def profile(book: Book, variables: Sequence[str], target: str, cfg: TargetConfig
     raw = [v for v in variables if v not in bins]
     sizes = {v: b.n_bins + 1 for v, b in bins.items()}
     if raw:
-        sizes |= df.agg(*[F.approx_count_distinct(v).alias(v) for v in raw]).first().asDict()
+        sizes |= exact_levels(df, raw)
     crossed = [v for v in variables if (v in pair_variables if pair_variables is not None else v in bins or sizes[v] <= cfg.max_pair_levels)]
     combos = 1
     for v in variables:
@@ -259,6 +271,7 @@ def run(book: Book, cfg: TargetConfig) -> CheckResult:
     base = default_base(book, cfg.where) if TARGETS[target].needs_base else None
     t = profile(book, cfg.variables, target, cfg, base)
     notes = [f"{TARGETS[target].label} is measured for exposure base {base}."] if base else []
+    notes += not_crossed(book, cfg.variables, cfg, base)
     tables = {f"{n}::{target}": getattr(t, n) for n in ("total", "oneway", "pairs", "strength")}
     return CheckResult(target_findings(target, t, cfg), tables, notes)
 

@@ -353,3 +353,19 @@ def test_new_category_of_a_small_segment(spark):
     out = distribution.run(book, distribution.DistributionConfig(variables=(p,)))
     assert [(r["src"], r["yr"], r["category"], r["n"], r["share"]) for r in out.tables["new_categories::code"].collect()] == [("B", 2, "rare", 1, 0.1)]
     assert out.findings.where("metric = 'new_categories' AND value = 1").count() == 1
+
+
+def test_pair_guard_counts_exactly_and_says_so(spark):
+    """At 200 levels a variable is crossed, at 201 it is not and a note says so; named in pair_variables it is."""
+    def rows(n):
+        return [("A" if i % 2 else "B", f"l{i % n}", 100.0, 1.0, 20, 1.0) for i in range(2 * n)]
+
+    measures = Measures("premium", "loss", "claims", "exposure", "src")
+    for n in (*range(190, 201), 201):
+        book = tiny_book(spark, rows(n), "src string, x string, premium double, loss double, claims int, exposure double", measures=measures)
+        assert targets.exact_levels(book.population(), ["x"]) == {"x": n}
+        assert len(targets.not_crossed(book, ["src", "x"], targets.TargetConfig())) == (n > 200)
+    assert targets.profile(book, ["src", "x"], "loss_ratio").pairs.isEmpty()
+    folded = targets.profile(book, ["src", "x"], "loss_ratio", pair_variables=["src", "x"]).pairs
+    assert folded.agg(F.sum("records")).first()[0] == 402 and folded.select("level_b").distinct().count() == 13
+    assert any("201" in note for note in targets.run(book, targets.TargetConfig(variables=("src", "x"))).notes)
