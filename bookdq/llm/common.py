@@ -77,9 +77,8 @@ def get(uri: str) -> bytes:
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow whose function may use this package: its modules go to the executors once an application."""
-    spark = df.sparkSession
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once an application."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         raw, top = io.BytesIO(), Path(__file__).resolve().parents[1]
@@ -88,6 +87,11 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                 pack.write(file, file.relative_to(top.parent))
         spark.sparkContext.addPyFile(put(Shelf(spark, "code").path, "bookdq.zip", raw.getvalue()))
         _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose function may use this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from bookdq.llm import bpe, curves, factorization, mixing, neardup, quality, secrets, sharding, tokenfiles, warc
+from bookdq.llm import balltree, bpe, curves, divergence, factorization, mixing, neardup, prefixtrie, quality, secrets, sharding, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,27 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, pattern = TEXT_BPE
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(name), pattern)
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = prefixtrie.ORACLE
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_exact_top_k"] = balltree.ORACLE
