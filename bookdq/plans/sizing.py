@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once as parquet in the shared folder and continue from the copy.
+def store(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write a frame once as parquet in the shared folder and continue from the copy; the second value removes it.
 
     For intermediates that several later steps read and that are small next to the book (policy grain, aggregated
     levels): the lineage is cut, column pruning still works, and a lost executor re-reads instead of recomputing.
@@ -45,7 +46,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: _delete(spark, path)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """As `store`, kept until `drop_materialized`."""
+    return store(df, label)[0]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -54,5 +65,4 @@ def _own_folder(spark: SparkSession) -> str:
 
 def drop_materialized(spark: SparkSession) -> None:
     """Remove every table `materialize` wrote in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))

@@ -182,6 +182,25 @@ def whole(spark, sf):
     return out.groupBy("coverage").agg(F.round(F.sum("deductible_amt"), 4).alias("logged"), rows())
 
 
+@query("prep_many", """SELECT src, COALESCE(kept, 'RARE') AS class_cd, CASE WHEN expo_amt < q[1] THEN '01' WHEN expo_amt < q[2] THEN '02' WHEN expo_amt < q[3] THEN '03' ELSE '04' END AS expo_bin,
+ROUND(SUM(LEAST(COALESCE(deductible_amt, med), ded_hi)), 4) AS deductible, ROUND(SUM(LEAST(GREATEST(prem, lo), hi)), 2) AS premium, ROUND(SUM(LEAST(loss, loss_hi)), 2) AS loss, SUM(COALESCE(location_id, loc_mode)) AS locations, COUNT(*) AS n
+FROM (SELECT *, CAST(premium_amt AS DOUBLE) AS prem, CAST(loss_amt AS DOUBLE) AS loss FROM book)
+JOIN (SELECT coverage AS c, quantile_cont(deductible_amt, 0.5) AS med FROM book GROUP BY coverage) ON coverage = c
+JOIN (SELECT src AS s2, quantile_cont(COALESCE(deductible_amt, med), 0.9) AS ded_hi FROM book JOIN (SELECT coverage AS c, quantile_cont(deductible_amt, 0.5) AS med FROM book GROUP BY coverage) ON coverage = c GROUP BY src) ON s2 = src
+JOIN (SELECT src AS s, quantile_cont(CAST(premium_amt AS DOUBLE), 0.01) AS lo, quantile_cont(CAST(premium_amt AS DOUBLE), 0.95) AS hi FROM book GROUP BY src) ON s = src
+LEFT JOIN (SELECT class_cd AS kept FROM book GROUP BY class_cd HAVING CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM book) >= 0.04) ON class_cd = kept,
+(SELECT quantile_cont(CAST(loss_amt AS DOUBLE), 0.98) AS loss_hi, quantile_cont(expo_amt, [0.25, 0.5, 0.75]) AS q FROM book),
+(SELECT arg_min(location_id, (-n, location_id)) AS loc_mode FROM (SELECT location_id, COUNT(*) AS n FROM book WHERE location_id IS NOT NULL GROUP BY location_id)) GROUP BY ALL""")
+def many(spark, sf):
+    """Seven statistics of six columns in two ranks: one copy of the columns for all of them, and one pass over the book for the result."""
+    df = demo_book(spark, sf, "location_id deductible_amt coverage class_cd").population()
+    out = run_pipeline(df, [Step("deductible_amt", "impute", {"group_by": ["coverage"], "add_indicator": False}), Step("location_id", "impute", {"strategy": "mode", "add_indicator": False}),
+                            Step("deductible_amt", "cap", {"upper_pct": 0.9, "by": ["src"]}), Step("premium_amt", "cap", {"lower_pct": 0.01, "upper_pct": 0.95, "by": ["src"]}),
+                            Step("loss_amt", "cap", {"upper_pct": 0.98}), Step("class_cd", "group_rare", {"min_share": 0.04, "other_label": "RARE"}), Step("expo_amt", "bin", {"n_bins": 4})])
+    return out.groupBy("src", "class_cd", F.substring("expo_amt", 1, 2).alias("expo_bin")).agg(F.round(F.sum("deductible_amt"), 4).alias("deductible"), F.round(F.sum("premium_amt"), 2).alias("premium"),
+                                                                                               F.round(F.sum("loss_amt"), 2).alias("loss"), F.sum("location_id").alias("locations"), rows())
+
+
 # ---- specifications ------------------------------------------------------------------
 @query("agreed_steps", """SELECT "column", op, COUNT(*) AS n, MIN(position) AS first, MAX(position) AS last FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY rank_no) AS position FROM (
 SELECT variable AS "column", op, 9 AS rank_no FROM steps JOIN (SELECT variable, arg_max(value, ("at", event_id)) AS status FROM log WHERE field = 'status' GROUP BY variable) s USING (variable) WHERE status = 'preprocess_in_modeling'
