@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from bookdq.functions.labels import NULL_LABEL, level_text
 from bookdq.functions.ratios import share
+from bookdq.operators.membership import with_memberships
 
 if TYPE_CHECKING:
     from bookdq.book import Book
@@ -79,14 +80,15 @@ class Rule:
         listed = "".join(f";{n}={l.column}@{l.source}.{l.source_column}?{l.where}" for n, l in sorted(self.lists.items()))
         return f"{self.key}={shape}{listed}"
 
-    def predicate(self, book: Book) -> Column:
-        """TRUE for the rows to keep. Names of `lists` must already be columns (see `with_lists`)."""
-        if self.exclude_when:
-            return ~F.coalesce(F.expr(book.sql(self.exclude_when)).cast("boolean"), F.lit(False))
-        if self.expr:
-            return F.expr(book.sql(self.expr)).cast("boolean")
-        book.require([self.column])
-        return structured(F.col(self.column), book.type_of(self.column), self.op, self.values)
+    def judged(self, df: DataFrame, book: Book) -> tuple[DataFrame, Column]:
+        """The frame with the flags the rule needs (of `lists`, and of memberships in its text), and a predicate on it: TRUE for the
+        rows to keep."""
+        if self.column:
+            book.require([self.column])
+            return df, structured(F.col(self.column), book.type_of(self.column), self.op, self.values)
+        df, text = with_memberships(with_lists(df, book, self.lists), book.sql(self.exclude_when or self.expr))
+        holds = F.expr(text).cast("boolean")
+        return df, ~F.coalesce(holds, F.lit(False)) if self.exclude_when else holds
 
 
 def _typed(data_type: T.DataType, value: str):
@@ -179,7 +181,8 @@ class RuleSet:
             return df
         columns = df.columns
         for rule in active:
-            df = with_lists(df, book, rule.lists).where(F.coalesce(rule.predicate(book), F.lit(False))).select(*columns)
+            flagged, keep = rule.judged(df, book)
+            df = flagged.where(F.coalesce(keep, F.lit(False))).select(*columns)
         return df
 
     def fingerprint(self, profile: str) -> str:
@@ -192,7 +195,8 @@ class RuleSet:
 
     def validate(self, book: Book, rule: Rule) -> None:
         """Raises when a rule does not compile against the book. Analysis only, no scan."""
-        with_lists(book.transformed(), book, rule.lists).where(rule.predicate(book)).schema  # noqa: B018
+        flagged, keep = rule.judged(book.transformed(), book)
+        flagged.where(keep).schema  # noqa: B018
 
 
 def rule_impact(book: Book, rules: RuleSet | None = None) -> DataFrame:
@@ -206,9 +210,8 @@ def rule_impact(book: Book, rules: RuleSet | None = None) -> DataFrame:
     keeps: dict[str, Column] = {}
     columns = df.columns
     for i, rule in enumerate(defined):
-        df = (with_lists(df, book, rule.lists)
-              .withColumn(f"_keep{i}", F.coalesce(rule.predicate(book), F.lit(False)))
-              .select(*columns, *keeps, f"_keep{i}"))
+        flagged, keep = rule.judged(df, book)
+        df = flagged.withColumn(f"_keep{i}", F.coalesce(keep, F.lit(False))).select(*columns, *keeps, f"_keep{i}")
         keeps[f"_keep{i}"] = F.col(f"_keep{i}")
     together = reduce(lambda a, b: a & b, [F.col(f"_keep{defined.index(r)}") for r in active], F.lit(True))
     flags = df.select(F.col(premium).alias("_premium"), *keeps, together.alias("_keep_all"))

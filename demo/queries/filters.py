@@ -87,6 +87,30 @@ def filter_not_in_self(spark, sf):
     return measured(demo_book(spark, sf, "coverage policy_no", RuleSet((SELF,))))
 
 
+LARGE = "coverage = 'PROMO' AND COALESCE(premium_amt, 0) > 60000"
+TEXTS = {"self": f"coverage = 'PROMO' AND policy_no IS NOT NULL AND policy_no NOT IN (SELECT policy_no FROM {{book}} WHERE {LARGE} AND policy_no IS NOT NULL)",
+         "null keys": "coverage = 'PROMO' AND location_id NOT IN (SELECT location_id FROM {book} WHERE location_id IN (1, 2))",
+         "null in the list": "coverage = 'PROMO' AND location_id NOT IN (SELECT location_id FROM {book} WHERE location_id = 3 OR location_id IS NULL)",
+         "both": "(location_id IN (SELECT location_id FROM {book} WHERE line_no = 4) OR tx_type = '5-LOW') AND CAST(policy_no AS STRING) NOT IN (SELECT CAST(policy_no AS STRING) FROM {book} WHERE line_no = 5)",
+         "empty list": "coverage = 'PROMO' AND location_id NOT IN (SELECT location_id FROM {book} WHERE line_no > 99)"}
+
+
+@query("filter_membership_text", " UNION ALL ".join(
+    f"SELECT '{form}' AS form, '{kind}' AS kind, src, {COUNTED} FROM book WHERE {shape.format(text.format(book='book').replace('STRING', 'VARCHAR'))} GROUP BY src"
+    for form, text in TEXTS.items() for kind, shape in (("drop", "NOT COALESCE({}, FALSE)"), ("keep", "COALESCE({}, FALSE)"))))
+def filter_membership_text(spark, sf):
+    """Memberships as users write them, with nulls on both sides, as rules that drop and as rules that keep."""
+    book, parts = demo_book(spark, sf, "coverage policy_no location_id line_no tx_type"), []
+    for form, text in TEXTS.items():
+        for kind, name in (("drop", "exclude_when"), ("keep", "expr")):
+            rule = on(key="text", **{name: text.format(book="{{ raw_table }}")})
+            parts.append(measured(book.with_rules(RuleSet((rule,)))).select(F.lit(form).alias("form"), F.lit(kind).alias("kind"), "src", "n", "premium"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 @query("filter_impact", f"""SELECT key, label, enabled, rows_removed, ROUND(rows_removed / n, 6) AS pct_rows,
 CAST(premium_removed AS DOUBLE) AS premium_removed, ROUND(CAST(premium_removed AS DOUBLE) / CAST(p AS DOUBLE), 6) AS pct_premium FROM (
 SELECT UNNEST([{{'key': 'exposed', 'label': 'Exposed', 'enabled': TRUE, 'rows_removed': COUNT(*) FILTER (NOT a), 'premium_removed': COALESCE(SUM(premium_amt) FILTER (NOT a), 0)}},

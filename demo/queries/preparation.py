@@ -183,7 +183,7 @@ def whole(spark, sf):
 
 
 @query("prep_many", """SELECT src, COALESCE(kept, 'RARE') AS class_cd, CASE WHEN expo_amt < q[1] THEN '01' WHEN expo_amt < q[2] THEN '02' WHEN expo_amt < q[3] THEN '03' ELSE '04' END AS expo_bin,
-ROUND(SUM(LEAST(COALESCE(deductible_amt, med), ded_hi)), 4) AS deductible, ROUND(SUM(LEAST(GREATEST(prem, lo), hi)), 2) AS premium, ROUND(SUM(LEAST(loss, loss_hi)), 2) AS loss, SUM(COALESCE(location_id, loc_mode)) AS locations, COUNT(*) AS n
+ROUND(SUM(LEAST(COALESCE(deductible_amt, med), ded_hi)), 4) AS deductible, ROUND(SUM(LEAST(GREATEST(prem, lo), hi)), 4) AS premium, ROUND(SUM(LEAST(loss, loss_hi)), 4) AS loss, SUM(COALESCE(location_id, loc_mode)) AS locations, COUNT(*) AS n
 FROM (SELECT *, CAST(premium_amt AS DOUBLE) AS prem, CAST(loss_amt AS DOUBLE) AS loss FROM book)
 JOIN (SELECT coverage AS c, quantile_cont(deductible_amt, 0.5) AS med FROM book GROUP BY coverage) ON coverage = c
 JOIN (SELECT src AS s2, quantile_cont(COALESCE(deductible_amt, med), 0.9) AS ded_hi FROM book JOIN (SELECT coverage AS c, quantile_cont(deductible_amt, 0.5) AS med FROM book GROUP BY coverage) ON coverage = c GROUP BY src) ON s2 = src
@@ -197,8 +197,8 @@ def many(spark, sf):
     out = run_pipeline(df, [Step("deductible_amt", "impute", {"group_by": ["coverage"], "add_indicator": False}), Step("location_id", "impute", {"strategy": "mode", "add_indicator": False}),
                             Step("deductible_amt", "cap", {"upper_pct": 0.9, "by": ["src"]}), Step("premium_amt", "cap", {"lower_pct": 0.01, "upper_pct": 0.95, "by": ["src"]}),
                             Step("loss_amt", "cap", {"upper_pct": 0.98}), Step("class_cd", "group_rare", {"min_share": 0.04, "other_label": "RARE"}), Step("expo_amt", "bin", {"n_bins": 4})])
-    return out.groupBy("src", "class_cd", F.substring("expo_amt", 1, 2).alias("expo_bin")).agg(F.round(F.sum("deductible_amt"), 4).alias("deductible"), F.round(F.sum("premium_amt"), 2).alias("premium"),
-                                                                                               F.round(F.sum("loss_amt"), 2).alias("loss"), F.sum("location_id").alias("locations"), rows())
+    return out.groupBy("src", "class_cd", F.substring("expo_amt", 1, 2).alias("expo_bin")).agg(F.round(F.sum("deductible_amt"), 4).alias("deductible"), F.round(F.sum("premium_amt"), 4).alias("premium"),
+                                                                                               F.round(F.sum("loss_amt"), 4).alias("loss"), F.sum("location_id").alias("locations"), rows())
 
 
 # ---- specifications ------------------------------------------------------------------
