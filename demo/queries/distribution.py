@@ -153,6 +153,15 @@ def psi_events(spark, sf):
     return ds.psi_numeric(events_book(spark, sf), Profile("value", psi=PsiRule("src", bins=5)))
 
 
+_DAY_EDGES = "edges AS (SELECT list_sort(list_distinct(quantile_cont(expo_amt, [0.25, 0.5, 0.75]))) AS e FROM book)"
+
+
+@query("psi_by_day", _psi("", ("exp_date",), "exp_date"), with_=f"{_DAY_EDGES}, {_grid('SELECT exp_date, len(list_filter(e, lambda t: t < expo_amt)) AS key, COUNT(*) AS n FROM book, edges WHERE expo_amt IS NOT NULL GROUP BY ALL', ('exp_date',))}")
+def psi_by_day(spark, sf):
+    """Thousands of segments, each against all others: in tiles, no row for a pair."""
+    return ds.psi_numeric(demo_book(spark, sf, "exp_date"), Profile("expo_amt", group_by=("exp_date",), psi=PsiRule("exp_date", bins=4)))
+
+
 @query("psi_categorical", _psi("", ("src", "pol_yr"), "pol_yr"), with_=f"{CATS}, {_grid('SELECT src, pol_yr, category AS key, n FROM cats', ('src', 'pol_yr'))}")
 def psi_categorical(spark, sf):
     return ds.psi_categorical(demo_book(spark, sf, "class_cd pol_yr"), CATEGORIES)
