@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 50_000
+stored: list[str] = []  # folders of tables written by this process, in order
 
 _local_dirs: dict[str, str] = {}
 
@@ -46,7 +47,8 @@ def store(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), lambda: _delete(spark, path)
+    stored.append(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -54,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return store(df, label)[0]
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -65,4 +67,4 @@ def _own_folder(spark: SparkSession) -> str:
 
 def drop_materialized(spark: SparkSession) -> None:
     """Remove every table `materialize` wrote in this application."""
-    _delete(spark, _own_folder(spark))
+    delete(spark, _own_folder(spark))
