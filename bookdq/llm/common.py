@@ -5,6 +5,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from bookdq.plans.sizing import shared_folder
+from bookdq.plans.sizing import delete, shared_folder, stored
 
 SLICE_BYTES = 4 << 20
 SPACE = "\\x20\\x09-\\x0D"
@@ -37,8 +39,11 @@ class Shelf:
     """Parquet tables of one run in the shared folder (`spark.checkpoint.dir`): they cut lineage, so a lost executor
     re-reads instead of recomputing, and row numbers given before the write stay as they are."""
 
+    made: list[str] = []  # folders of this process, in order
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/bookdq-llm/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        self.made.append(self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("error").parquet(f"{self.path}/{name}")
@@ -49,8 +54,23 @@ class Shelf:
 
     def drop(self, name: str) -> None:
         """Only for tables that no frame in use reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.path}/{name}")
+
+
+@contextmanager
+def noted(folders: list[str]) -> Iterator[None]:
+    """Adds the folders of intermediate tables made meanwhile to a list."""
+    shelves, tables = len(Shelf.made), len(stored)
+    yield
+    folders += [f for f in [*Shelf.made[shelves:], *stored[tables:]] if "/code-" not in f]
+
+
+def drop_unread(spark: SparkSession, folders: list[str], docs: DataFrame) -> None:
+    """Deletes the folders that docs does not read, and takes them from the list."""
+    read = docs.inputFiles() if folders else []
+    for folder in [f for f in folders if not any(f.rsplit("/", 1)[1] in file for file in read)]:
+        delete(spark, folder)
+        folders.remove(folder)
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -89,12 +109,23 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow whose function may use this package."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def packed(docs: DataFrame, **columns: Column | str) -> DataFrame:
+    """The given columns, and all of docs in one struct `all`: names of docs cannot meet those that an operator adds."""
+    named = [F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("all"), *named)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs again, those of `new` replaced."""
+    return rows.select(*[new.get(c, F.col("all").getField(c)).alias(c) for c in docs.columns])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

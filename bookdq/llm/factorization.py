@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from bookdq.llm.common import Shelf, map_arrow, slices
+from bookdq.llm.common import Shelf, map_arrow, packed, slices, unpacked
 
 BITS, FACTORS = 18, 8
 MAX_ROWS = 20_000  # labelled rows that the model is fitted on, at most
@@ -150,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_i")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     chosen = known.orderBy(F.xxhash64("_i"), "_i").limit(max_rows)  # so the side sent to all tasks has max_rows rows at most
     shelf = Shelf(docs.sparkSession, "toxicity")
-    rows = shelf.save(term_rows(docs.join(F.broadcast(chosen), docs[key] == F.col("_i")), key, text), "terms").dropDuplicates(["_k"])
+    plain = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    rows = shelf.save(term_rows(plain.join(F.broadcast(chosen), F.col("_k") == F.col("_i")), "_k", "_t"), "terms").dropDuplicates(["_k"])
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     seen = rows.select("_y", F.explode("terms").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("seen"), F.sum("_y").alias("with_1"))
     strongest = seen.withColumn("chi", chi_squared(F.col("with_1"), F.col("seen"), float(ones), float(n))).where(f"seen >= 3 and chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "place").limit(MOST_PLACES)
@@ -168,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
 def score(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """(key, score) of every row; null and empty texts have no term and so the score of the bias. keep=True returns all
-    columns of docs and `_toxicity`, for filters."""
+    columns of docs (none of which may be `_toxicity`: see kept) and `_toxicity`, for filters."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.places, model.weight, model.factor, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +181,12 @@ def score(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "_toxicity"] if keep else ["_k", "score"])
 
     if keep:
-        return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _toxicity double")
+        return map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())]))
     kind = docs.schema[key].dataType.simpleString()
     return map_arrow(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), run, f"_k {kind}, score double").withColumnRenamed("_k", key)
+
+
+def kept(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with a score below TOXIC, whatever the names of their columns."""
+    scored = score(packed(docs, k=key, t=text), model, "k", "t", keep=True)
+    return unpacked(scored.where(F.col("_toxicity") < TOXIC), docs)

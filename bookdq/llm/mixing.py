@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookdq.functions.running import running_total
-from bookdq.llm.common import Shelf, n_words
+from bookdq.llm.common import Shelf, n_words, packed, unpacked
 from bookdq.plans.sizing import broadcast_rows, collect_if_small
 
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -47,20 +47,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     taken = copies * size: the words the mix takes of the document; no document is taken more than `cap` times. The
     budget is the words of all documents. Null and empty texts have size 0. Repeated rows queue each for itself. The
-    same rows give the same mix, whatever the partitions; ties of the hash (rows with one key) are put in row order.
+    same rows give the same mix, whatever the partitions; ties of the hash (rows with one key) go by a hash of the text; rows equal in both are the same document.
     """
     shelf = Shelf(docs.sparkSession, "mix")
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"))
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     return _queue(shelf, shelf.save(plain, "rows"), weights, cap, seed).withColumnRenamed("id", key)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of docs, with its columns, as often as it is taken."""
     shelf = Shelf(docs.sparkSession, "mix")
-    numbered = shelf.save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = shelf.save(numbered.select(F.col("_row").alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size")), "rows")
-    taken = _queue(shelf, rows, weights, cap, seed).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    return numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    numbered = shelf.save(packed(docs, row=F.monotonically_increasing_id(), id=key, source=source, size=n_words(text), text_hash=F.xxhash64(text)), "numbered")
+    rows = numbered.select("row", "id", "source", "size", "text_hash")
+    taken = _queue(shelf, rows, weights, cap, seed).where("copies > 0").select("row", "copies")
+    return unpacked(numbered.select("row", "all").join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 def _queue(shelf: Shelf, rows: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
@@ -68,14 +68,14 @@ def _queue(shelf: Shelf, rows: DataFrame, weights: Sequence[int], cap: int, seed
     targets = source_targets(rows, weights, cap)
     small = collect_if_small(targets)
     side = targets if small is None else broadcast_rows(spark, small, targets.schema)
-    placed = shelf.save(rows.join(side, rows["source"].eqNullSafe(side["source"])).select("row", "id", "size", "source_no", "source_size", "target"), "placed")
+    placed = shelf.save(rows.join(side, rows["source"].eqNullSafe(side["source"])).select("row", "id", "size", "text_hash", "source_no", "source_size", "target"), "placed")
     epochs = F.least(F.lit(cap), F.ceil(F.col("target") / F.col("source_size")).cast("int"))
     queued = placed.where("target > 0 and source_size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), epochs)))
     shuffle = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col("id").cast("string")).cast("binary"))
-    queued = queued.select("row", "size", "source_no", "target", "epoch", shuffle.alias("shuffle"))
-    order = [F.col("epoch"), F.col("shuffle"), F.col("row")]
-    timed = running_total(queued, order, "size", "served", ["source_no"]).select("row", "size", "source_no", "epoch", (F.col("served") / F.col("target")).alias("finish"))
-    line = running_total(timed, [F.col("finish"), F.col("source_no"), F.col("epoch"), F.col("row")], "size", "total")
+    queued = queued.select("row", "size", "text_hash", "source_no", "target", "epoch", shuffle.alias("shuffle"))
+    order = [F.col("epoch"), F.col("shuffle"), F.col("text_hash"), F.col("row")]
+    timed = running_total(queued, order, "size", "served", ["source_no"]).select("row", "size", "text_hash", "source_no", "epoch", (F.col("served") / F.col("target")).alias("finish"))
+    line = running_total(timed, [F.col("finish"), F.col("source_no"), F.col("epoch"), F.col("text_hash"), F.col("row")], "size", "total")
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     taken = line.where(F.col("total") <= F.lit(budget)).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     out = placed.join(taken, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))

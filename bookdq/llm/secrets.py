@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookdq.llm.common import Shelf, text_or_empty
+from bookdq.llm.common import Shelf, packed, text_or_empty, unpacked
 
 #: Fixed patterns of the known forms.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -192,10 +192,10 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float
     """docs with every span replaced by [kind] (of overlapping spans: what they cover together, named by the first).
     All rows and columns stay; a text without a span is unchanged, a null text stays null."""
     found = scan(docs, key, text, rate).where(F.size("found") > 0).select(F.col(key).alias("_i"), F.col("chash").alias("_h"), "found").groupBy("_i", "_h").agg(F.first("found").alias("_found"))
-    placed = docs.withColumn("_c", F.xxhash64(text_or_empty(text)))
-    placed = placed.join(found, placed[key].eqNullSafe(F.col("_i")) & (F.col("_c") == F.col("_h")), "left")
+    rows = packed(docs, c=F.xxhash64(text_or_empty(text)), k=key, t=text)
+    placed = rows.join(found, rows["k"].eqNullSafe(F.col("_i")) & (F.col("c") == F.col("_h")), "left")
     names = "array(" + ", ".join(f"'[{k}]'" for k in KINDS) + ")"
     built = F.expr(f"""aggregate(_found, named_struct('at', 0L, 'out', ''), (s, x) -> named_struct('at', greatest(s.at, x.`end`), 'out',
-        if(x.start >= s.at, concat(s.out, substring(`{text}`, int(s.at) + 1, int(x.start - s.at)), element_at({names}, x.kind + 1)), s.out)),
-        s -> concat(s.out, substring(`{text}`, int(s.at) + 1)))""")
-    return placed.withColumn(text, F.when(F.col("_found").isNull(), F.col(text)).otherwise(built)).select(*docs.columns)
+        if(x.start >= s.at, concat(s.out, substring(t, int(s.at) + 1, int(x.start - s.at)), element_at({names}, x.kind + 1)), s.out)),
+        s -> concat(s.out, substring(t, int(s.at) + 1)))""")
+    return unpacked(placed, docs, **{text: F.when(F.col("_found").isNull(), F.col("t")).otherwise(built)})
