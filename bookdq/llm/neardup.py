@@ -1,24 +1,28 @@
 """Near duplicates by circulant MinHash, banding and exact Jaccard.
 
 Two permutations make the whole signature: the first sends a shingle to one of 2**20 places (a 64-bit mix of its hash),
-the second is a fixed permutation of the places, and coordinate k uses it shifted by k places. So the 128 values of a
+the second is a fixed permutation of the places, and coordinate k uses it shifted by k places. So the 512 values of a
 shingle lie side by side in one table, and a signature is the minimum of as many slices of it.
 
-32 bands of 4 coordinates: two sets with a Jaccard of 0.8 share no band with a probability of 5e-8. Candidates are
-confirmed on the full sets. What makes it hold at scale:
+32 bands of 4 coordinates: two sets with a Jaccard of 0.8 share no band with a probability of 5e-8. One bit of each of
+the 512 coordinates is a sketch: the share of differing bits estimates (1 - Jaccard) / 2. Candidates are confirmed on the full sets.
+What makes it hold at scale:
 
-* Texts with equal sets are one class; everything below runs on one representative a class.
-* A bucket never emits all its pairs. Round 1 compares its members with one pivot, the one that meets most others, and members that a link already
-  joins need no comparison. What is left are texts that share a bucket over several components, mostly texts with a common passage.
+* Texts with equal sets are one class; everything below runs on one representative a class. Bands, attributes and sets are tables apart.
+* A bucket never emits all its pairs. First each member is compared with one pivot only, that of its largest bucket (the pivot of a bucket is the
+  member that shares buckets with most others): a group of copies falls into one component by as many comparisons as it has members.
+  Then, in buckets over several components, the members outside their pivot's component are compared with it. What is left are texts that
+  share a bucket over several components, mostly texts with a common passage.
   They are bucketed anew, by prefix: of two sets with a Jaccard of 0.8, the n - 0.8 n + 1 rarest elements of each (in
   one order for all sets) have one in common for sure, and a passage that many texts share is not rare.
 * Two sets that have been compared with the same pivot have a bound for what they share. Pairs below it are left out.
 * In these buckets only members outside the largest component become pivots (8 a bucket, then four times as many each
   round) and are compared with the members of other components. It ends when every bucket is one component or all its
   minor members were pivots: no link between two components can be left then.
-* Before the exact step, pairs are dropped on what rules out a link for sure (set sizes), and on a 128-bit sketch
-  that a pair with a Jaccard of 0.8 fails with a probability below 1e-8.
+* Before the exact step, pairs are dropped on what rules out a link for sure (set sizes), and on the sketch, which a
+  pair with a Jaccard of 0.8 fails with a probability below 1e-9 (a pair at 0.6 mostly does).
 * Components are contracted by joins: every component hooks to its smallest neighbour, paths are halved, repeat.
+* Tables are dropped as soon as no later step reads them.
 """
 from __future__ import annotations
 
@@ -32,12 +36,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookdq.llm.common import Shelf, map_arrow, slices
+from bookdq.llm.common import Shelf, map_arrow, packed, slices, unpacked
 
-COORDINATES, ROWS = 128, 4
+COORDINATES, BANDED, ROWS = 512, 128, 4
 PLACES = 1 << 20
 RARITY = 1 << 18
-SKETCH_APART = 36  # differing bits of the 128 beyond which a pair is no candidate
+SKETCH = [f"s{i}" for i in range(COORDINATES // 64)]
+SKETCH_APART = 97  # differing bits of the 512 beyond which a pair is no candidate
 FIRST_PIVOTS, MORE_PIVOTS = 8, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -78,23 +83,23 @@ class Shingles:
 
 def signature(s: np.ndarray) -> np.ndarray:
     best, rows = np.full(COORDINATES, PLACES, dtype=np.int32), circulant()
-    for k in range(0, len(s), 4096):
-        best = np.minimum(best, rows[(s[k:k + 4096] >> np.uint64(44)).astype(np.int64)].min(axis=0))
+    for k in range(0, len(s), 1024):
+        best = np.minimum(best, rows[(s[k:k + 1024] >> np.uint64(44)).astype(np.int64)].min(axis=0))
     return best
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> list[int]:
-    raw = sig.astype("<i4").tobytes()
+    raw = sig[:BANDED].astype("<i4").tobytes()
     return [xxhash.xxh3_64_intdigest(raw[i:i + 4 * rows], seed=i) - (1 << 63) for i in range(0, len(raw), 4 * rows)]
 
 
-def sketch(sig: np.ndarray) -> tuple[int, int]:
+def sketch(sig: np.ndarray) -> list[int]:
     bits = np.packbits((sig * np.int32(-1640531527) >> 31 & 1).astype(np.uint8))
-    return tuple(np.frombuffer(bits.tobytes(), "<i8").tolist())
+    return np.frombuffer(bits.tobytes(), "<i8").tolist()
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, h1, h2, s1, s2, bands): size and 128-bit hash of the set, sketch, band keys."""
+    """(id, v, n, h1, h2, the sketch, bands) of rows (_k, _v, _t): size and 128-bit hash of the set; v is handed on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in slices(batches, "_t"):
@@ -104,12 +109,12 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 sig = signature(s) if len(s) else None
                 rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
-                             *(sketch(sig) if len(s) else (0, 0)), bands(sig) if len(s) else []))
-            n, h1, h2, s1, s2, b = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), *(pa.array(x, pa.int64()) for x in (n, h1, h2, s1, s2)), pa.array(b, pa.list_(pa.int64()))],
-                                             names=["id", "n", "h1", "h2", "s1", "s2", "bands"])
+                             *(sketch(sig) if len(s) else [0] * len(SKETCH)), bands(sig) if len(s) else []))
+            *numbers, b = zip(*rows)
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_v"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(b, pa.list_(pa.int64()))],
+                                             names=["id", "v", "n", "h1", "h2", *SKETCH, "bands"])
 
-    return map_arrow(docs, run, "id long, n long, h1 long, h2 long, s1 long, s2 long, bands array<long>")
+    return map_arrow(docs, run, "id long, v long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SKETCH) + ", bands array<long>")
 
 
 def arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -118,7 +123,7 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(rep, n, s1, s2, shingles) of rows (_k, _t, h1, h2, n, s1, s2) whose text has the set with that hash."""
+    """(rep, shingles) of rows (rep, _t, h1, h2) whose text has the set with that hash; one row a representative."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in slices(batches, "_t"):
@@ -130,14 +135,13 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
                 if keep[-1]:
                     found.append(s.view(np.int64))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([*found, np.empty(0, np.int64)]))
-            rest = batch.select(["_k", "n", "s1", "s2"]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, lists], names=["rep", "n", "s1", "s2", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(keep, pa.bool_())), lists], names=["rep", "shingles"])
 
-    return map_arrow(texts, run, "rep long, n long, s1 long, s2 long, shingles array<long>")
+    return map_arrow(texts, run, "rep long, shingles array<long>").groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(band, rep, n, s1, s2): the rarest elements of each set, as many as a linked set must meet. Rarity is counted over
+    """(band, rep): the rarest elements of each set, as many as a linked set must meet. Rarity is counted over
     these sets in RARITY hashed cells, a table of fixed size; ties and cells in common are ordered by hash."""
     spark = sets.sparkSession
     seen = np.zeros(RARITY, dtype=np.int64)
@@ -154,10 +158,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 tokens.append(some)
                 rows.append(np.full(len(some), i))
             at = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
-            rest = batch.select(["rep", "n", "s1", "s2"]).take(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), *rest.columns], names=["band", "rep", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), batch.column("rep").take(at)], names=["band", "rep"])
 
-    return map_arrow(sets, run, "band long, rep long, n long, s1 long, s2 long")
+    return map_arrow(sets, run, "band long, rep long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,8 +180,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def contract(shelf: Shelf, labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(rep, comp) after the edges: components that an edge joins get their smallest label."""
-    step = 0
+    """(rep, comp) after the edges: components that an edge joins get their smallest label. Only the table of the result stays."""
+    step, passing = 0, [f"{name}-links0"]
     left = labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
     right = labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
     links = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).distinct()
@@ -193,8 +196,11 @@ def contract(shelf: Shelf, labels: DataFrame, edges: DataFrame, name: str) -> Da
         labels = shelf.save(labels.join(up.withColumnRenamed("c", "comp"), "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), f"{name}-labels{step}")
         for end in ("u", "v"):
             links = links.join(up.select(F.col("c").alias(end), F.col("to").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        passing += [f"{name}-up{step}", f"{name}-root{step}", f"{name}-links{step + 1}", *([f"{name}-labels{step - 1}"] if step else [])]
         step += 1
         links = shelf.save(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-links{step}")
+    for table in passing:
+        shelf.drop(table)
     return labels
 
 
@@ -203,32 +209,48 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     component_id: the smallest key reachable over links; kept: the row's key is that. Null and empty texts have no
     shingle, link with nothing and are kept. A null key takes no part: component_id is null and the row is kept.
-    Rows with one key and one text are the same document, so both are kept or neither. Other columns are not read.
+    Rows with one key and one text are the same document, so both are kept or neither. Rows with one key and different texts are documents of
+    their own: each has its text's component, and what links one of them does not link the other. An empty table gives no row. Other columns are not read.
     """
-    spark = docs.sparkSession
-    shelf = Shelf(spark, "neardup")
-    plain = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
+    return classified(docs, key, text, width, percent).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that are kept, with their columns."""
+    gone = classified(docs, key, text, width, percent).where(~F.col("kept")).select("id", "v").distinct()
+    rows = packed(docs, k=F.col(key).cast("long"), h=F.xxhash64(text))
+    return unpacked(rows.join(gone, (F.col("k") == F.col("id")) & (F.col("h") == F.col("v")), "left_anti"), docs)
+
+
+def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(id, v = hash of the text, n, component, kept) of every row; see components."""
+    shelf = Shelf(docs.sparkSession, "neardup")
+    plain = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_v"), F.col(text).alias("_t"))
     described = shelf.save(describe(plain, width), "described")
-    rows = shelf.save(described.drop("bands", "s1", "s2"), "rows")
-    classes = shelf.save(rows.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    one = described.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"])
-    banded = shelf.save(one.select(F.explode("bands").alias("band"), F.col("id").alias("rep"), "n", "h1", "h2", "s1", "s2"), "bands")
+    rows = shelf.save(described.select("id", "v", "n", "h1", "h2"), "rows")
+    same = described.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")])  # of equal sets all these are equal
+    whole = shelf.save(same.withColumn("rep", F.monotonically_increasing_id()), "whole")
+    classes = shelf.save(whole.drop("bands"), "classes")
     shelf.drop("described")
+    banded = whole.select(F.explode("bands").alias("band"), "rep")
     shared = shelf.save(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band", "size"), "shared")
     members = shelf.save(banded.join(shared, "band"), "buckets")
-    shelf.drop("bands")
-    wanted = members.groupBy(F.col("rep").alias("_r")).agg(*[F.first(c).alias(c) for c in ("h1", "h2", "n", "s1", "s2")], F.sum("size").alias("met"))
-    wanted = shelf.save(wanted, "wanted")
-    sets = shelf.save(full_sets(plain.join(wanted.drop("met"), F.col("_k") == F.col("_r")).drop("_r"), width), "sets")
+    shelf.drop("whole")
+    shelf.drop("shared")
+    met = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    wanted = shelf.save(classes.join(met, "rep"), "wanted")
+    facts = wanted.select("rep", "n", *SKETCH)
+    texts = plain.join(wanted.select("rep", "least", "h1", "h2"), F.col("_k") == F.col("least"))
+    sets = shelf.save(full_sets(texts.select("rep", "_t", "h1", "h2"), width), "sets")
     # the pivot of a bucket is its member that shares buckets with most others: the least edited of a group of copies
-    members = members.join(wanted.select(F.col("_r").alias("rep"), "met"), "rep")
-    pivots = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("pivot"))
-    members = shelf.save(members.drop("met", "size", "h1", "h2").join(pivots, "band"), "members1")
-    labels = sets.select("rep", F.col("rep").alias("comp")).distinct()
+    top = members.join(wanted.select("rep", "met"), "rep").groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("pivot"))
+    members = shelf.save(members.join(top, "band"), "members1")
+    shelf.drop("buckets")
+    labels = sets.select("rep", F.col("rep").alias("comp"))
 
     def likely(a: str, b: str):
         size = (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
-        apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+        apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{a}.{SKETCH[0]}").bitwiseXOR(F.col(f"{b}.{SKETCH[0]}"))))
         return size & (apart <= SKETCH_APART)
 
     def possible(a: str, b: str):
@@ -238,31 +260,48 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         reach = 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
         return ~F.col(f"{a}.ref").eqNullSafe(F.col(f"{b}.ref")) | F.col(f"{a}.ref").isNull() | reach
 
-    def spread(number: int):
+    def with_facts(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are likely."""
+        side = {x: facts.select(F.col("rep").alias(x), F.struct("n", *SKETCH).alias(f"f{x}")) for x in ("a", "b")}
+        return pairs.join(side["a"], "a").join(side["b"], "b").where(likely("fa", "fb")).select("a", "b")
+
+    def ordered(a: str, b: str):
+        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+    def spread(name: str, more: DataFrame | None = None):
         """Members of buckets over several components, with their component and the bucket's largest."""
-        placed = members.join(labels, "rep")
+        placed = members.join(labels if more is None else labels.join(more, "rep"), "rep")
         sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
         split = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        return shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), f"open{number}")
-
-    pivots = members.where("rep = pivot")
-    first = (pivots.alias("p").join(members.alias("m"), "band").where((F.col("p.rep") != F.col("m.rep")) & likely("p", "m"))
-             .select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct())
-    tested = shelf.save(first, "pairs1")
-    met = shelf.save(compared(tested, sets, percent), "compared1")
+        return shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), name)
+
+    # each member with the pivot of its largest bucket; then the members that are still outside their pivot's component
+    first = members.where("rep <> pivot").groupBy("rep").agg(F.max(F.struct("size", "pivot")).alias("best")).select(*ordered("best.pivot", "rep")).distinct()
+    tested = shelf.save(with_facts(first), "pairs0")
+    met = shelf.save(compared(tested, sets, percent), "compared0")
+    labels = contract(shelf, labels, met.where("linked").select("a", "b"), "round0")
+    of_pivot = labels.select(F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    outside = members.join(labels, "rep").join(of_pivot, "pivot").where("comp <> pivot_comp").select(*ordered("pivot", "rep")).distinct()
+    pairs = shelf.save(with_facts(outside.join(tested, ["a", "b"], "left_anti")), "pairs1")
+    tested = tested.union(pairs)
+    met = met.union(shelf.save(compared(pairs, sets, percent), "compared1"))
     labels = contract(shelf, labels, met.where("linked").select("a", "b"), "round1")
-    # what is known of each representative: of the pivots it was compared with, the one with most comparisons, and what they share
-    weight = met.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
-    itself = pivots.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("common")).distinct()
-    facts = met.select("a", "b", "common").union(itself).join(weight, "a")
-    known = facts.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("w", "a", "common")).alias("k")).select("rep", F.col("k.a").alias("ref"), F.col("k.common").alias("i"))
-    unsure = sets.join(spread(1).select("rep").distinct(), "rep")
+    # what is known of each representative: of the sets it was compared with, the one with most comparisons, and what they share
+    ends = met.select("a", "b", "common").union(met.select("b", "a", "common"))
+    weight = ends.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
+    itself = facts.join(weight, F.col("rep") == F.col("a"), "left_semi").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("common"))
+    known = ends.union(itself).join(weight, "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("w", "a", "common")).alias("k")).select("rep", F.col("k.a").alias("ref"), F.col("k.common").alias("i"))
+    known = shelf.save(facts.join(known, "rep", "left"), "known")
+    unsure = sets.join(spread("unsure").select("rep").distinct(), "rep")
     tokens = shelf.save(prefixes(unsure, percent), "tokens")
+    for name in ("unsure", "members1", "compared0", "compared1"):
+        shelf.drop(name)
     again = tokens.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    members = shelf.save(tokens.join(again, "band").join(known, "rep", "left"), "members")
+    members = shelf.save(tokens.join(again, "band"), "members")
+    shelf.drop("tokens")
     done, most, number = None, FIRST_PIVOTS, 2
     while True:
-        open_ = spread(number)
+        open_ = spread(f"open{number}", known)
         minor = open_.where("comp <> main")
         if done is not None:
             minor = minor.join(done, ["band", "rep"], "left_anti")
@@ -272,14 +311,21 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             break
         done = pivots.select("band", "rep") if done is None else done.union(pivots.select("band", "rep"))
         fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & likely("p", "m") & possible("p", "m"))
-                 .select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b")).distinct())
+                 .select(*ordered("p.rep", "m.rep")).distinct())
         pairs = shelf.save(fresh.join(tested, ["a", "b"], "left_anti"), f"pairs{number}")
         tested = tested.union(pairs)
         met = shelf.save(compared(pairs, sets, percent), f"compared{number}")
         labels = contract(shelf, labels, met.where("linked").select("a", "b"), f"round{number}")
+        shelf.drop(f"open{number}")
+        shelf.drop(f"compared{number}")
         most, number = most * MORE_PIVOTS, number + 1
 
-    of_class = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component"))
-    placed = rows.join(of_class, ["h1", "h2"], "left")
+    labels = shelf.save(labels, "labels")  # the only tables the result reads: rows, classes and this one
+    for name in ("sets", "members", "wanted", "known", f"open{number}", *[f"{kind}{i}" for kind in ("pairs", "pivots") for i in range(number + 1)], *[f"round{i}-labels{j}" for i in range(number) for j in range(40)]):
+        shelf.drop(name)
+    placed = classes.select("rep", "h1", "h2", "least").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    smallest = placed.groupBy("comp").agg(F.min("least").alias("component"))
+    of_class = placed.join(smallest, "comp").select("h1", "h2", "component")
+    out = rows.join(of_class, ["h1", "h2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "v", "n", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
