@@ -137,14 +137,25 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
-        r, q = (np.frombuffer(b"".join(f["vec"]), np.float64).reshape(len(f), -1) for f in (left, right))
+        def scaled(f: pd.DataFrame) -> np.ndarray:
+            """Divided by a power of two each, which changes no cosine: squares neither overflow nor vanish."""
+            v = np.frombuffer(b"".join(f["vec"]), np.float64).reshape(len(f), -1)
+            return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+        r, q = scaled(left), scaled(right)
         length, ids = np.sqrt((r * r).sum(axis=1)), [x.tolist() for x in left["ids"]]
-        unit, most, out = r / length[:, None], min(len(r), k + 1 + 4), []
+        least, unit, most, out = np.array([x[0] for x in ids]), r / length[:, None], min(len(r), k + 1), []
         for a in range(0, len(q), 512):
             some = q[a:a + 512]
-            picked = np.argpartition(-(some @ unit.T), most - 1, axis=1)[:, :most]
-            exact = (some[:, None, :] * r[picked]).sum(axis=2) / (np.sqrt((some * some).sum(axis=1))[:, None] * length[picked])
-            out.append(pd.DataFrame({"query": np.repeat(right["query"].to_numpy()[a:a + 512], most), "ids": [ids[i] for i in picked.ravel()], "score": exact.ravel()}))
+            norm = np.sqrt((some * some).sum(axis=1))
+            near = some @ unit.T
+            border = np.partition(near, len(r) - most, axis=1)[:, len(r) - most] - 1e-9 * norm  # all that may be among the best, ties included
+            row, column = np.nonzero(near >= border[:, None])
+            exact = (some[row] * r[column]).sum(axis=1) / (norm[row] * length[column])
+            order = np.lexsort((least[column], -exact, row))
+            row, column, exact = row[order], column[order], exact[order]
+            used = np.arange(len(row)) - np.searchsorted(row, row) < most  # entries better than one are not more than the ids better than its least
+            out.append(pd.DataFrame({"query": right["query"].to_numpy()[a:a + 512][row[used]], "ids": [ids[i] for i in column[used]], "score": exact[used]}))
         return pd.concat(out)
 
     found = (dealt(placed, "part_r", "part_q", 0, 1, "ids").groupBy(*cell).cogroup(dealt(near, "part_q", "part_r", 1, 0, "query").groupBy(*cell))
