@@ -66,7 +66,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return tokenfiles.write_and_read(docs, public_tokenizers.path(FILE_BPE), END_ID).drop("ids")
+    return tokenfiles.write_and_read(docs, public_tokenizers.path(FILE_BPE), END_ID, with_ids=False)
 
 
 @query

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookdq.llm.chunks import ChunkMemory
+from bookdq.llm.chunks import ADJACENT, ChunkMemory
 from bookdq.llm.common import Shelf, get, map_arrow, put, slices
 
 BLANK = re.compile(r"\s")
@@ -92,16 +92,16 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, tu
 
 
 class Library:
-    """Ids of texts by a file of the tokenizers library; strings of special tokens in a text are ordinary text."""
+    """Ids of texts as the tokenizers library gives them; texts with a string of an added token (a special one, say) are not cut."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values() if t.content]
         self.line = np.frombuffer(self._each(["\n"])[0], "<u4")[-1]
-        self.memory = ChunkMemory(self._many, lambda text: self._each([text])[0])
+        self.memory = ChunkMemory(self._many, lambda text: self._each([text])[0], uncut=re.compile("|".join([ADJACENT.pattern, *added])))
 
     def _each(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,7 +136,7 @@ def library(path: str) -> Library:
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encodes every text (null: empty), appends `end_id`, and writes token files in ascending key order (null keys
-    first; rows with one key in any order). Returns the manifest: file, part, number, docs, tokens.
+    first; rows with one key by a hash of the text). Returns the manifest: file, part, number, docs, tokens.
 
     The texts are range-partitioned by key, so file order is partition order. A repeated or speculative task writes
     files of other names; the manifest, a Spark output, names those of the attempt that counted.
@@ -167,12 +167,13 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_
             yield close()
 
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
-    return map_arrow(rows.repartitionByRange("_k").sortWithinPartitions("_k"), run, "file string, part long, number long, docs long, tokens long")
+    apart = F.xxhash64("_t")  # rows of one key, null among them, spread over partitions in a defined order
+    return map_arrow(rows.repartitionByRange("_k", apart).sortWithinPartitions("_k", apart), run, "file string, part long, number long, docs long, tokens long")
 
 
-def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
+def read(manifest: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32, ids array<int>) of every document of the files in a manifest, from the files alone.
-    start: tokens of all documents before it."""
+    start: tokens of all documents before it. Without `ids` on demand: then they are decoded and not handed on."""
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +185,18 @@ def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                     some = slice(a, a + 2000)
                     cut = list(zip((ends - counts)[some].tolist(), ends[some].tolist()))
                     crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in cut]
-                    offsets = np.array([0, *(j - cut[0][0] for _, j in cut)], dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), pa.array((ends - counts)[some] + base), pa.array(counts[some]), pa.array(crc, pa.int64()),
-                                                      pa.ListArray.from_arrays(offsets, ids[cut[0][0]:cut[-1][1]].astype(np.int32))],
-                                                     names=["_k", "start", "n_tokens", "ids_crc32", "ids"])
+                    columns = [pa.array(keys[some], pa.int64()), pa.array((ends - counts)[some] + base), pa.array(counts[some]), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        offsets = np.array([0, *(j - cut[0][0] for _, j in cut)], dtype=np.int32)
+                        columns.append(pa.ListArray.from_arrays(offsets, ids[cut[0][0]:cut[-1][1]].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(columns, names=["_k", "start", "n_tokens", "ids_crc32", "ids"][:len(columns)])
 
     files = manifest.withColumn("base", before).select("file", "base").repartition(manifest.sparkSession.sparkContext.defaultParallelism)
-    return map_arrow(files, run, "_k long, start long, n_tokens long, ids_crc32 long, ids array<int>").withColumnRenamed("_k", key)
+    return map_arrow(files, run, "_k long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids).withColumnRenamed("_k", key)
 
 
-def write_and_read(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_and_read(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS, with_ids: bool = True) -> DataFrame:
     """Files and manifest in the shared folder, read back. An empty table gives no file and no row."""
     shelf = Shelf(docs.sparkSession, "tokens")
     manifest = shelf.save(write(docs, path, end_id, f"{shelf.path}/files", key, text, file_tokens), "manifest")
-    return read(manifest, key)
+    return read(manifest, key, with_ids)
