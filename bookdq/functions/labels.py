@@ -46,14 +46,17 @@ def segment_map(df: DataFrame, dims: Sequence[str]) -> Column:
     return F.create_map(*[c for d in dims for c in (F.lit(d), label_of(df, d))])
 
 
-def natural_order(label: Column) -> list[Column]:
-    """Sort keys of a text level: `ALL`, then numbers by value, then text, then nulls."""
+def _order_parts(label: Column) -> tuple[Column, Column, Column]:
     missing = label.isNull() | (label == NULL_LABEL)
     numeric = label.rlike(_NUMBER)
     rank = (F.when(missing, F.lit(2)).when(label == UNGROUPED, F.lit(-1))
             .when(numeric, F.lit(0)).otherwise(F.lit(1)))
-    number = F.when(numeric, label.try_cast("double")).otherwise(F.lit(0.0))
-    return [rank.asc(), number.asc(), F.when(rank == 1, label).otherwise(F.lit("")).asc()]
+    return rank, F.when(numeric, label.try_cast("double")).otherwise(F.lit(0.0)), F.when(rank == 1, label).otherwise(F.lit(""))
+
+
+def natural_order(label: Column) -> list[Column]:
+    """Sort keys of a text level: `ALL`, then numbers by value, then text, then nulls."""
+    return [part.asc() for part in _order_parts(label)]
 
 
 def natural_segment_order(df: DataFrame, dims: Sequence[str]) -> list[Column]:
@@ -61,34 +64,37 @@ def natural_segment_order(df: DataFrame, dims: Sequence[str]) -> list[Column]:
     return [key for d in dims for key in natural_order(label_of(df, d))]
 
 
+def natural_key(label: Column) -> Column:
+    """`natural_order` as one struct, for keys of several levels."""
+    return F.struct(*[part.alias(n) for n, part in zip(("rank", "number", "text"), _order_parts(label))])
+
+
 def sort_labels(df: DataFrame, column: str = "segment") -> DataFrame:
-    """Distinct labels of a frame in natural order. A full label sorts part by part (up to 8 parts)."""
+    """Distinct labels of a frame in natural order. A full label sorts part by part, however many it has; of two that begin
+    alike the shorter comes first."""
     labels = df.select(F.col(column).cast("string").alias(column)).distinct()
     values = F.transform(F.split(F.col(column), r"\|"),
-                         lambda part: F.when(part.contains("="), F.regexp_replace(part, r"^[^=]*=", "")).otherwise(part))
-    keyed = labels.withColumn("_parts", values)
-    order = [key for i in range(8)
-             for key in [F.get("_parts", F.lit(i)).isNotNull().asc(), *natural_order(F.get("_parts", F.lit(i)))]]
-    return keyed.orderBy(*order, column).drop("_parts")
+                         lambda part: natural_key(F.when(part.contains("="), F.regexp_replace(part, r"^[^=]*=", "")).otherwise(part)))
+    return labels.orderBy(values, column)
 
 
 def split_segments(df: DataFrame, column: str = "segment", dims: Sequence[str] | None = None,
-                   max_dims: int = 8, keep_label: bool = False) -> DataFrame:
+                   max_dims: int | None = None, keep_label: bool = False) -> DataFrame:
     """One column per dimension in place of the combined label.
 
     `ALL` rows read "(all)", a dimension the row does not have reads "". Unchanged when there is nothing to
-    split or more than `max_dims` dimensions. `dims` saves the pass that finds the dimension names.
+    split, or more than `max_dims` dimensions where that is given. `dims` saves the pass that finds the dimension names.
     """
     if column not in df.columns:
         return df
     parsed = F.str_to_map(F.col(column), F.lit(r"\|"), F.lit("="))
     grouped = F.col(column) != UNGROUPED
     if dims is None:
-        # dimension names, not rows: at most max_dims + 1 of them reach the driver
+        # dimension names, not rows: as many as the result gets columns
         names = (df.where(grouped).select(F.posexplode(F.map_keys(parsed)).alias("at", "dim"))
-                 .groupBy("dim").agg(F.min("at").alias("at")).orderBy("at", "dim").limit(max_dims + 1).collect())
-        dims = [r["dim"] for r in names]
-    if not dims or len(dims) > max_dims:
+                 .groupBy("dim").agg(F.min("at").alias("at")).orderBy("at", "dim"))
+        dims = [r["dim"] for r in (names if max_dims is None else names.limit(max_dims + 1)).collect()]
+    if not dims or max_dims is not None and len(dims) > max_dims:
         return df
     out = []
     for name in df.columns:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bookdq.book import Book
 from bookdq.functions.labels import NULL_LABEL, OTHER_LABEL, level_text, natural_order, label_of, segment_label
 from bookdq.functions.percentiles import percentile_grid, percentile_row, percentiles
+from bookdq.functions.running import running_total
 from bookdq.functions.scales import METHODS, bucket, from_scale, to_scale
 from bookdq.functions.stability import psi_between_peers
 from bookdq.operators import findings as fd
@@ -230,11 +231,11 @@ def top_categories(counts: DataFrame, dims: Sequence[str], top_n: int) -> DataFr
 
 def new_categories(counts: DataFrame, dims: Sequence[str], across: str, min_share: float) -> tuple[DataFrame, DataFrame]:
     """(new categories, levels compared). A category is new at the first level that has it, unless that is the first
-    level of its partition; levels follow natural order. Ranks are taken over levels, not over rows."""
+    level of its partition; levels follow natural order. Ranks are taken over levels, not over rows, by a running total: one
+    partition may hold any number of levels."""
     others = [d for d in dims if d != across]
-    levels = counts.select(*dims).distinct()
-    order = Window.partitionBy(*others).orderBy(*natural_order(label_of(levels, across)))
-    ranked = levels.withColumn("_rank", F.row_number().over(order))
+    levels = counts.select(*dims).distinct().withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_total(levels, [*natural_order(label_of(levels, across)), F.col(across).asc()], "_one", "_rank", keys=others).drop("_one")
     same = [F.col(f"c.{d}").eqNullSafe(F.col(f"r.{d}")) for d in dims]
     placed = counts.alias("c").join(ranked.alias("r"), same).select("c.*", "_rank")
     first = (placed.where(~F.col("category").isin(NULL_LABEL, OTHER_LABEL) & (F.col("n") > 0))

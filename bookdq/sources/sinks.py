@@ -1,6 +1,9 @@
 """Sinks: extracts, findings history, typed table loads, result exports."""
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,28 +40,61 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 class FindingsStore:
-    """Run history of findings: parquet partitioned by run, or a catalog table."""
+    """Run history of findings: parquet partitioned by run, or a catalog table with commits.
+
+    A table is only ever appended to. Each attempt at a run writes its rows under a number of its own, and is committed by one row in
+    `<table>_commits` after all rows are there. Readers see, of each run, the rows of its last commit: a job that failed half way left rows
+    that nobody sees, and a retried run replaces its earlier attempt. Rows from before there were commits count until their run has one.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, table: str | None = None, location: str | None = None):
+        """`location`: folder of the table's data, where it is not the warehouse's."""
         if (path is None) == (table is None):
             raise ValueError("give either a path or a table")
-        self.spark, self.path, self.name = spark, path, table
+        self.spark, self.path, self.name, self.location = spark, path, table, location
 
     def append(self, findings: DataFrame, run_id: str, run_ts: str, profile: str, filters: str = "") -> None:
-        """Store one run. Writing a path run again replaces only that run, so a retried job leaves no copies."""
+        """Store one run. Storing a run again replaces only that run, so a retried job leaves no copies."""
         out = findings.withColumns({"run_id": F.lit(run_id), "run_ts": F.lit(run_ts), "profile": F.lit(profile),
                                     "filters": F.lit(filters)})
         if self.path:
             (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("run_id").parquet(self.path))
         else:
-            out.write.mode("append").option("mergeSchema", True).saveAsTable(self.name)
+            self.commit(run_id, self.stage(out))
+
+    def stage(self, rows: DataFrame) -> str:
+        """Writes rows of an attempt, seen by nobody yet. Returns its number."""
+        attempt = uuid.uuid4().hex
+        self._add(rows.withColumn("_attempt", F.lit(attempt)), self.name, "rows")
+        return attempt
+
+    def commit(self, run_id: str, attempt: str) -> None:
+        row = [(run_id, attempt, time.time_ns())]
+        self._add(self.spark.createDataFrame(row, "run_id string, _attempt string, at long").coalesce(1), f"{self.name}_commits", "commits")
+
+    def _add(self, rows: DataFrame, table: str, folder: str) -> None:
+        writer = rows.write.mode("append").option("mergeSchema", True)
+        (writer.option("path", f"{self.location}/{folder}") if self.location else writer).saveAsTable(table)
+
+    def _committed(self, stored: DataFrame) -> DataFrame:
+        if "_attempt" not in stored.columns:
+            return stored
+        try:
+            commits = self.spark.table(f"{self.name}_commits")
+        except AnalysisException as problem:
+            if problem.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
+                raise
+            return stored.where(F.col("_attempt").isNull()).drop("_attempt")
+        last = commits.groupBy(F.col("run_id").alias("_run")).agg(F.max_by("_attempt", F.struct("at", "_attempt")).alias("_last"))  # a row a run
+        seen = stored.join(last, F.col("run_id").cast("string") == F.col("_run"), "left")
+        return seen.where(F.col("_attempt").eqNullSafe(F.col("_last"))).drop("_attempt", "_run", "_last")
 
     def load(self) -> DataFrame:
         """All runs; an empty frame of the right shape before the first one. Runs without `filters` read ''."""
         try:
             stored = (self.spark.read.option("mergeSchema", True).parquet(self.path) if self.path
-                      else self.spark.table(self.name))
+                      else self._committed(self.spark.table(self.name)))
         except AnalysisException as problem:
             if problem.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
                 raise  # an unreadable history is not an empty one

@@ -259,3 +259,22 @@ def store(spark, sf):
         one = runs.where(F.col("run_id") == run_id).drop("run_id", "run_ts", "profile", "filters")
         history_.append(one, run_id, run_ts, "default")
     return history_.load().groupBy("run_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("status").isin("warn", "fail")).alias("n_flagged"))
+
+
+@query("findings_table", """SELECT run_id, COUNT(*) AS n_findings, COUNT(*) FILTER (status IN ('warn', 'fail')) AS n_flagged FROM runs WHERE run_id IN ('run1', 'run2') GROUP BY run_id""", with_=FINDINGS)
+def findings_table(spark, sf):
+    """Runs in a catalog table: a first attempt at the second run that failed half way, its retry, and a third run without a commit."""
+    import uuid
+    runs, name = stored_runs(spark, sf), f"history_{uuid.uuid4().hex}"
+    history_ = FindingsStore(spark, table=name, location=f"{shared_folder(spark)}/bookdq/{name}")
+
+    def of(run_id):
+        return runs.where(F.col("run_id") == run_id).drop("run_id", "run_ts", "profile", "filters")
+
+    history_.append(of("run1"), "run1", RUNS[0][1], "default")
+    tags = {"run_id": F.lit("run2"), "run_ts": F.lit(RUNS[1][1]), "profile": F.lit("default"), "filters": F.lit("")}
+    history_.stage(of("run2").where("status = 'warn'").withColumns(tags))
+    history_.append(of("run2"), "run2", RUNS[1][1], "default")
+    history_.append(of("run2"), "run2", RUNS[1][1], "default")
+    history_.stage(of("run1").withColumns(tags | {"run_id": F.lit("run3")}))
+    return history_.load().groupBy("run_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("status").isin("warn", "fail")).alias("n_flagged"))

@@ -212,3 +212,13 @@ def test_psi_between_peers(spark):
     assert got[("p", 1)]["psi"] == pytest.approx(far / 2) and got[("p", 1)]["max_pairwise_psi"] == pytest.approx(far)
     assert got[("p", 3)]["psi"] == pytest.approx(far) and got[("p", 3)]["n_peers"] == 2 and got[("p", 3)]["n"] == 105
     assert reference_psi([10, 10], [10, 10]) == 0 and reference_psi([90, 10], [10, 90]) > 1
+
+
+def test_labels_of_many_parts(spark):
+    """Ten parts and more sort part by part, and split into as many columns."""
+    labels = ["|".join(f"d{i}={v}" for i, v in enumerate(p)) for p in ([1] * 9 + [10], [1] * 9 + [9], [1] * 9 + ["x"], [1] * 9 + ["<null>"], [1] * 9, [1] * 11)]
+    df = spark.createDataFrame([(x,) for x in labels], "segment string")
+    got = [r[0] for r in sort_labels(df).collect()]
+    assert got == [labels[4], labels[5], labels[1], labels[0], labels[2], labels[3]]
+    out = split_segments(df)
+    assert out.columns == [f"d{i}" for i in range(11)] and {r["d10"] for r in out.collect()} == {"", "1"}
