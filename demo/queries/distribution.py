@@ -120,11 +120,11 @@ def new_categories(spark, sf):
 
 
 @query("new_categories_by_day", """SELECT exp_date, category, n, ROUND(share, 6) AS share FROM (SELECT *, MIN(exp_date) OVER () AS day0, MIN(exp_date) OVER (PARTITION BY category) AS first FROM (
-SELECT *, CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY exp_date) AS share FROM (SELECT exp_date, program_cd AS category, COUNT(*) AS n FROM book GROUP BY ALL))) WHERE exp_date = first AND exp_date > day0 AND share >= 0.005""")
+SELECT *, CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY exp_date) AS share FROM (SELECT exp_date, zip_cd AS category, COUNT(*) AS n FROM book GROUP BY ALL))) WHERE exp_date = first AND exp_date > day0 AND share >= 0.005""")
 def new_categories_by_day(spark, sf):
     """Thousands of levels in one partition."""
-    p = Profile("program_cd", group_by=("exp_date",), psi=PsiRule("exp_date"))
-    counts = ds.every_category(demo_book(spark, sf, "program_cd exp_date"), [p]).drop("variable")
+    p = Profile("zip_cd", group_by=("exp_date",), psi=PsiRule("exp_date"))
+    counts = ds.every_category(demo_book(spark, sf, "zip_cd exp_date"), [p]).drop("variable")
     return ds.new_categories(counts, p.group_by, "exp_date", p.new_category_min_share)[0]
 
 
