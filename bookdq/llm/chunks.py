@@ -20,12 +20,12 @@ MAX_CHUNKS = 500_000
 class ChunkMemory:
     """`values(texts)` gives, for each text, the list of values of its chunks in order.
 
-    compute: values (bytes) of many strings at once. whole: value of one text that is not cut (any length): one in which `uncut` is found. The value
+    compute: values (bytes) of many strings at once. whole: value of one text that is not cut (any length): one for which `uncut` is true. The value
     of a string must be that of its parts put together wherever the pattern cuts it.
     The memory is dropped when it holds more than `limit` chunks, so it is bounded whatever the data.
     """
 
-    def __init__(self, compute: Callable[[Sequence[str]], Sequence[bytes]], whole: Callable[[str], bytes], limit: int = MAX_CHUNKS, uncut: re.Pattern = ADJACENT):
+    def __init__(self, compute: Callable[[Sequence[str]], Sequence[bytes]], whole: Callable[[str], bytes], limit: int = MAX_CHUNKS, uncut: Callable[[str], object] = ADJACENT.search):
         self.compute, self.whole, self.limit, self.uncut = compute, whole, limit, uncut
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -63,7 +63,7 @@ class ChunkMemory:
             self.first.clear()
             self.later.clear()
             self.signs.clear()
-        cut = [None if self.uncut.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [None if self.uncut(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         heads: set[str] = set()
         tails: set[str] = set()
         old_first, old_later = self.first.__contains__, self.later.__contains__

@@ -99,9 +99,9 @@ class Library:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values() if t.content]
+        added = [t.content for t in self.tool.get_added_tokens_decoder().values() if t.content]
         self.line = np.frombuffer(self._each(["\n"])[0], "<u4")[-1]
-        self.memory = ChunkMemory(self._many, lambda text: self._each([text])[0], uncut=re.compile("|".join([ADJACENT.pattern, *added])))
+        self.memory = ChunkMemory(self._many, lambda text: self._each([text])[0], uncut=lambda text: ADJACENT.search(text) or any(t in text for t in added))
 
     def _each(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
