@@ -19,8 +19,11 @@ What makes it hold at scale:
 * In these buckets only members outside the largest component become pivots (8 a bucket, then four times as many each
   round) and are compared with the members of other components. It ends when every bucket is one component or all its
   minor members were pivots: no link between two components can be left then.
-* Before the exact step, pairs are dropped on what rules out a link for sure (set sizes), and on the sketch, which a
-  pair with a Jaccard of 0.8 fails with a probability below 1e-9 (a pair at 0.6 mostly does).
+* A pair of texts meets in many prefix buckets. It is taken in the first only, as far as that is seen from the few tokens that each row has before
+  its own: a token in both means that the pair meets there as well.
+* Before the exact step, pairs are dropped on what rules out a link for sure: set sizes, and a bitmap of each set (its elements in 1,024 places: a place that
+  only one of two sets holds is an element that only this set has; mostly enough below 0.75). And on the sketch, which a pair with a Jaccard of 0.8 fails with
+  a probability below 1e-9 (a pair at 0.6 mostly does; it still tells apart sets that fill their bitmaps).
 * Components are contracted by joins: every component hooks to its smallest neighbour, paths are halved, repeat.
 * Tables are dropped as soon as no later step reads them.
 """
@@ -42,6 +45,9 @@ COORDINATES, BANDED, ROWS = 512, 128, 4
 PLACES = 1 << 20
 RARITY = 1 << 18
 SKETCH = [f"s{i}" for i in range(COORDINATES // 64)]
+PLACED = 1024
+BITS = [f"p{i}" for i in range(PLACED // 64)]
+BEFORE = 3  # tokens before its own that a row of a prefix bucket has
 SKETCH_APART = 97  # differing bits of the 512 beyond which a pair is no candidate
 FIRST_PIVOTS, MORE_PIVOTS = 8, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -98,6 +104,12 @@ def sketch(sig: np.ndarray) -> list[int]:
     return np.frombuffer(bits.tobytes(), "<i8").tolist()
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    held = np.zeros(PLACED, dtype=bool)
+    held[s & (PLACED - 1)] = True
+    return np.packbits(held).view("<i8")
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """(id, v, n, h1, h2, the sketch, bands) of rows (_k, _v, _t): size and 128-bit hash of the set; v is handed on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +135,7 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles) of rows (rep, _t, h1, h2) whose text has the set with that hash; one row a representative."""
+    """(rep, shingles, the bitmap) of rows (rep, _t, h1, h2) whose text has the set with that hash; one row a representative."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in slices(batches, "_t"):
@@ -135,14 +147,16 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
                 if keep[-1]:
                     found.append(s.view(np.int64))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([*found, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(keep, pa.bool_())), lists], names=["rep", "shingles"])
+            placed = np.stack([np.empty(len(BITS), np.int64), *map(bitmap, found)])[1:]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(keep, pa.bool_())), lists, *(pa.array(np.ascontiguousarray(c)) for c in placed.T)], names=["rep", "shingles", *BITS])
 
-    return map_arrow(texts, run, "rep long, shingles array<long>").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    rows = map_arrow(texts, run, "rep long, shingles array<long>, " + ", ".join(f"{c} long" for c in BITS))
+    return rows.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("shingles", *BITS)])
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(band, rep): the rarest elements of each set, as many as a linked set must meet. Rarity is counted over
-    these sets in RARITY hashed cells, a table of fixed size; ties and cells in common are ordered by hash."""
+    """(band, rep, before): the rarest elements of each set, as many as a linked set must meet, and of each the BEFORE that
+    precede it. Rarity is counted over these sets in RARITY hashed cells, a table of fixed size; ties and cells in common are ordered by hash."""
     spark = sets.sparkSession
     seen = np.zeros(RARITY, dtype=np.int64)
     for r in sets.select(F.explode("shingles").alias("x")).groupBy(F.pmod("x", F.lit(RARITY)).alias("cell")).count().toLocalIterator():
@@ -151,16 +165,21 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, tokens = [], []
+            rows, tokens, before, ends = [], [], [], []
             for i, s in enumerate(arrays(batch.column("shingles"))):
                 x = s.view(np.int64)
                 some = x[np.lexsort((x, sent.value[np.mod(x, RARITY)]))][:len(x) - -(-percent * len(x) // 100) + 1]
                 tokens.append(some)
                 rows.append(np.full(len(some), i))
+                place = np.arange(len(some))[:, None] - np.arange(1, BEFORE + 1)
+                before.append(some[place[place >= 0]])
+                ends.append((place >= 0).sum(axis=1))
+            last = np.cumsum(np.concatenate([[0], *ends])).astype(np.int32)
+            preceding = pa.ListArray.from_arrays(last, np.concatenate([*before, np.empty(0, np.int64)]))
             at = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), batch.column("rep").take(at)], names=["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), batch.column("rep").take(at), preceding], names=["band", "rep", "before"])
 
-    return map_arrow(sets, run, "band long, rep long")
+    return map_arrow(sets, run, "band long, rep long, before array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,9 +258,9 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     shelf.drop("shared")
     met = members.groupBy("rep").agg(F.sum("size").alias("met"))
     wanted = shelf.save(classes.join(met, "rep"), "wanted")
-    facts = wanted.select("rep", "n", *SKETCH)
     texts = plain.join(wanted.select("rep", "least", "h1", "h2"), F.col("_k") == F.col("least"))
     sets = shelf.save(full_sets(texts.select("rep", "_t", "h1", "h2"), width), "sets")
+    facts = shelf.save(wanted.select("rep", "n", *SKETCH).join(sets.select("rep", *BITS), "rep"), "facts")
     # the pivot of a bucket is its member that shares buckets with most others: the least edited of a group of copies
     top = members.join(wanted.select("rep", "met"), "rep").groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("pivot"))
     members = shelf.save(members.join(top, "band"), "members1")
@@ -251,7 +270,8 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     def likely(a: str, b: str):
         size = (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n"))
         apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{a}.{SKETCH[0]}").bitwiseXOR(F.col(f"{b}.{SKETCH[0]}"))))
-        return size & (apart <= SKETCH_APART)
+        shared = F.least(*[F.col(f"{x}.n") - sum((F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{c}")))) for c in BITS), F.lit(0)) for x, y in ((a, b), (b, a))])
+        return size & (apart <= SKETCH_APART) & ((100 + percent) * shared >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n")))
 
     def possible(a: str, b: str):
         """False where two sets that were compared with one pivot cannot be linked: they share at most the smaller of what
@@ -262,7 +282,7 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 
     def with_facts(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are likely."""
-        side = {x: facts.select(F.col("rep").alias(x), F.struct("n", *SKETCH).alias(f"f{x}")) for x in ("a", "b")}
+        side = {x: facts.select(F.col("rep").alias(x), F.struct("n", *SKETCH, *BITS).alias(f"f{x}")) for x in ("a", "b")}
         return pairs.join(side["a"], "a").join(side["b"], "b").where(likely("fa", "fb")).select("a", "b")
 
     def ordered(a: str, b: str):
@@ -292,7 +312,7 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     itself = facts.join(weight, F.col("rep") == F.col("a"), "left_semi").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("common"))
     known = ends.union(itself).join(weight, "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("w", "a", "common")).alias("k")).select("rep", F.col("k.a").alias("ref"), F.col("k.common").alias("i"))
     known = shelf.save(facts.join(known, "rep", "left"), "known")
-    unsure = sets.join(spread("unsure").select("rep").distinct(), "rep")
+    unsure = sets.select("rep", "shingles").join(spread("unsure").select("rep").distinct(), "rep")
     tokens = shelf.save(prefixes(unsure, percent), "tokens")
     for name in ("unsure", "members1", "compared0", "compared1"):
         shelf.drop(name)
@@ -310,7 +330,7 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         if pivots.isEmpty():
             break
         done = pivots.select("band", "rep") if done is None else done.union(pivots.select("band", "rep"))
-        fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & likely("p", "m") & possible("p", "m"))
+        fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & ~F.arrays_overlap("p.before", "m.before") & likely("p", "m") & possible("p", "m"))
                  .select(*ordered("p.rep", "m.rep")).distinct())
         pairs = shelf.save(fresh.join(tested, ["a", "b"], "left_anti"), f"pairs{number}")
         tested = tested.union(pairs)
@@ -321,7 +341,7 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         most, number = most * MORE_PIVOTS, number + 1
 
     labels = shelf.save(labels, "labels")  # the only tables the result reads: rows, classes and this one
-    for name in ("sets", "members", "wanted", "known", f"open{number}", *[f"{kind}{i}" for kind in ("pairs", "pivots") for i in range(number + 1)], *[f"round{i}-labels{j}" for i in range(number) for j in range(40)]):
+    for name in ("sets", "members", "wanted", "facts", "known", f"open{number}", *[f"{kind}{i}" for kind in ("pairs", "pivots") for i in range(number + 1)], *[f"round{i}-labels{j}" for i in range(number) for j in range(40)]):
         shelf.drop(name)
     placed = classes.select("rep", "h1", "h2", "least").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component"))
