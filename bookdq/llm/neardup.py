@@ -288,9 +288,9 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     def ordered(a: str, b: str):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    def spread(name: str, more: DataFrame | None = None):
+    def spread(name: str):
         """Members of buckets over several components, with their component and the bucket's largest."""
-        placed = members.join(labels if more is None else labels.join(more, "rep"), "rep")
+        placed = members.join(labels, "rep")
         sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
         split = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         return shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), name)
@@ -321,7 +321,7 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     shelf.drop("tokens")
     done, most, number = None, FIRST_PIVOTS, 2
     while True:
-        open_ = spread(f"open{number}", known)
+        open_ = spread(f"open{number}")
         minor = open_.where("comp <> main")
         if done is not None:
             minor = minor.join(done, ["band", "rep"], "left_anti")
@@ -330,7 +330,9 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         if pivots.isEmpty():
             break
         done = pivots.select("band", "rep") if done is None else done.union(pivots.select("band", "rep"))
-        fresh = (pivots.alias("p").join(open_.alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & ~F.arrays_overlap("p.before", "m.before") & likely("p", "m") & possible("p", "m"))
+        # sketches and bitmaps are joined late, and only in buckets that have a pivot in this round
+        active = open_.join(pivots.select("band").distinct(), "band", "left_semi")
+        fresh = (pivots.join(known, "rep").alias("p").join(active.join(known, "rep").alias("m"), "band").where((F.col("p.comp") != F.col("m.comp")) & ~F.arrays_overlap("p.before", "m.before") & likely("p", "m") & possible("p", "m"))
                  .select(*ordered("p.rep", "m.rep")).distinct())
         pairs = shelf.save(fresh.join(tested, ["a", "b"], "left_anti"), f"pairs{number}")
         tested = tested.union(pairs)
