@@ -185,7 +185,7 @@ class Codec:
         return self._chunks([text])[0]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(v), "<u4") for v in self.memory.values(texts)]
+        return self.memory.ids(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))

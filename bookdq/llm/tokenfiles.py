@@ -30,6 +30,7 @@ from bookdq.llm.chunks import ADJACENT, ChunkMemory
 from bookdq.llm.common import Shelf, get, map_arrow, put, slices
 
 BLANK = re.compile(r"\s")
+UNBROKEN = re.compile(r"(?: ?\S++(?:\n|\Z))++")
 MAGIC = b"RANKIDS1"
 FILE_TOKENS = 8_000_000  # a file is closed when it has so many; the writer holds one file in memory
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)  # of a control byte's four tokens
@@ -110,12 +111,17 @@ class Library:
         """Strings without white space behind their first character go through one call, a line break between them:
         it always stands alone there, so its id parts their ids again."""
         out = [b""] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and not BLANK.search(t, 1) and (t[0] == " " and len(t) > 1 or not BLANK.match(t))]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        for i, v in zip(rest, self._each([texts[i] for i in rest]) if rest else ()):
-            out[i] = v
+        lines = "\n".join(texts)
+        if lines.count("\n") == len(texts) - 1 and lines[-1:] != "\n" and UNBROKEN.fullmatch(lines):  # all are of that kind, as a rule
+            plain = range(len(texts))
+        else:
+            plain = [i for i, t in enumerate(texts) if t and not BLANK.search(t, 1) and (t[0] == " " and len(t) > 1 or not BLANK.match(t))]
+            rest = sorted(set(range(len(texts))) - set(plain))
+            for i, v in zip(rest, self._each([texts[i] for i in rest]) if rest else ()):
+                out[i] = v
+            lines = "\n".join([texts[i] for i in plain])
         if plain:
-            ids = np.array(self.tool.encode_batch_fast(["\n".join([texts[i] for i in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tool.encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.line)
             if len(cuts) != len(plain) - 1:
                 raise ValueError("the tokenizer does not keep line breaks apart")
@@ -125,8 +131,8 @@ class Library:
                 a = b + 4
         return out
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.memory.values(texts)]
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return self.memory.ids(texts)
 
 
 @lru_cache(maxsize=2)
@@ -143,23 +149,23 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, task = library(path), TaskContext.get()
-        end, part, number = np.array([end_id], dtype="<u4").tobytes(), task.partitionId(), 0
+        end, part, number = np.array([end_id], dtype="<u4"), task.partitionId(), 0
         keys: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         tokens = 0
 
         def close() -> pa.RecordBatch:
             name = f"{part:08d}-{number:06d}-{task.taskAttemptId()}.tok"
-            counts = [len(x) // 4 for x in held]
-            file = put(folder, name, to_bytes(keys, counts, np.frombuffer(b"".join(held), "<u4"), (part, number)))
+            counts = [len(x) + 1 for x in held[::2]]
+            file = put(folder, name, to_bytes(keys, counts, np.concatenate(held), (part, number)))
             return pa.RecordBatch.from_pydict({"file": [file], "part": pa.array([part], pa.int64()), "number": pa.array([number], pa.int64()), "docs": pa.array([len(keys)], pa.int64()),
                                                "tokens": pa.array([tokens], pa.int64())})
 
         for batch in slices(batches, "_t"):
             for k, ids in zip(batch.column("_k").to_pylist(), tool.encode([t or "" for t in batch.column("_t").to_pylist()])):
                 keys.append(k)
-                held.append(ids + end)
-                tokens += len(ids) // 4 + 1
+                held += (ids, end)
+                tokens += len(ids) + 1
                 if tokens >= file_tokens:
                     yield close()
                     keys, held, tokens, number = [], [], 0, number + 1

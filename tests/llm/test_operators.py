@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bookdq.llm import bpe, factorization, mixing, neardup, secrets, sharding, tokenfiles
+from bookdq.llm import bpe, factorization, mixing, neardup, queries, secrets, sharding, tokenfiles
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,17 @@ def test_bpe_is_the_librarys(texts):
         assert tool.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("limit", [300_000, 7])
+def test_chunk_memory_forgets_and_learns_again(limit):
+    """Ids are those of the library, whatever the memory holds: signs, line breaks, white space of all kinds, added tokens."""
+    rng, pieces = random.Random(5), ["word", "word,", "It's", "don't.", "\t", "a\tb", "!!", "x9,", "", "#1", "日本,", "<|endoftext|>", "A--", "1234567", " ", "q\x1cz", "(hi"]
+    tool = tokenfiles.Library(public_tokenizers.path(queries.FILE_BPE))
+    tool.memory.limit = limit
+    for _ in range(20):
+        texts = ["".join(rng.choice([" ", "\n", " ", ""]) + rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(50)] + ["", " ", "\n", "a\n", "\na"]
+        assert [x.tobytes() for x in tool.encode(texts)] == tool._each(texts)
+
+
 def test_bpe_frames(spark, odd, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(odd, path, public_tokenizers.PATTERN)
