@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookdq.functions.grading import is_flagged, severity, worst
@@ -102,38 +102,77 @@ def reopened(is_done: Column, judged_status: Column, judged_value: Column, statu
 
 
 # ---- review state --------------------------------------------------------------------
-def review_state(events: DataFrame) -> DataFrame:
-    """Current state per variable from an append-only log (variable, field, value, role, author, at, event_id).
+BEGIN = "status_begin"  # field of a folded row: the event that began the current run of one status
+
 
-    Fields: `status`, `assignee` (with a role; an empty value clears it), `label`, `note`, `step`. The log stays rows:
-    a variable with a long history is folded by map-side aggregates, never gathered into one array.
+def fold_log(events: DataFrame) -> DataFrame:
+    """The log (variable, field, value, role, author, at, event_id) folded to the rows its state needs, as a log again, with `n` = events behind a row.
+
+    Kept per variable: the last event of each status, the event that began the current run of one status (field `status_begin`), the
+    last assignee event of each role, and the last event of every other field. Folding a fold together with later events gives the
+    fold of all events, so a stored fold stands for the log read so far. Each row is a map-side aggregate; a variable with a
+    long history is gathered nowhere, and the log meets only a table of one row a variable. A null status is a status like others.
     """
     legacy = F.create_map(*[F.lit(x) for kv in LEGACY_STATUS.items() for x in kv])
-    is_status = F.col("field") == "status"
-    value = F.when(is_status, F.coalesce(legacy[F.col("value")], F.col("value"))).otherwise(F.col("value"))
-    log = events.withColumn("value", value)
+    n = F.col("n") if "n" in events.columns else F.lit(1)
+    is_status = F.col("field").isin("status", BEGIN)
+    log = events.select(
+        "variable", F.when(is_status, F.lit("status")).otherwise(F.col("field")).alias("field"),
+        F.when(is_status, F.coalesce(legacy[F.col("value")], F.col("value"))).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("field") == "assignee", F.col("role")).alias("role"), "author", "at", "event_id",
+        F.when(F.col("field") == BEGIN, 0).otherwise(n).cast("long").alias("n"))
+    event = F.struct("at", "event_id", "value", "author")
+    last = (log.groupBy("variable", "field", "role", F.when(F.col("field") == "status", F.col("value")).alias("_kind"))
+            .agg(F.max(event).alias("_e"), F.sum("n").alias("n")))
+    newest = Window.partitionBy("variable").orderBy(F.col("_e").desc())  # a row a status; Spark keeps two of them
+    two = last.where("field = 'status'").withColumn("_rank", F.row_number().over(newest)).where("_rank <= 2")
+    edge = two.groupBy("variable").agg(F.max(F.when(F.col("_rank") == 1, F.struct("_kind"))).alias("_now"),
+                                       F.max(F.when(F.col("_rank") == 2, F.struct("_e.at", "_e.event_id"))).alias("_other"))
+    run = (F.col("value").eqNullSafe(F.col("_now._kind"))
+           & (F.col("_other").isNull() | (F.struct("at", "event_id") > F.col("_other"))))
+    begin = (log.where("field = 'status'").join(edge, "variable").where(run).groupBy("variable").agg(F.min(event).alias("_e"))
+             .select("variable", F.lit(BEGIN).alias("field"), F.lit(None).cast("string").alias("role"), "_e", F.lit(0).cast("long").alias("n")))
+    return last.drop("_kind").unionByName(begin).select("variable", "field", "_e.value", "role", "_e.author", "_e.at", "_e.event_id", "n")
+
+
+def fold_later(folded: DataFrame, events: DataFrame) -> DataFrame:
+    """The fold of a stored fold and of the events after its newest one; only those are read (the filter on `at` reaches the scan).
+
+    The log is appended in the order (at, event_id): an event older than the newest one of the fold counts as folded.
+    """
+    mark = folded.agg(F.max(F.struct("at", "event_id")).alias("m")).first()["m"]
+    if mark is None:
+        return fold_log(events)
+    at, event_id = F.lit(mark["at"]), F.lit(mark["event_id"])
+    later = events.where((F.col("at") >= at) & ((F.col("at") > at) | (F.col("event_id") > event_id)))
+    return fold_log(later.withColumn("n", F.lit(1).cast("long")).select(*folded.columns).unionByName(folded))
+
+
+def review_state(events: DataFrame) -> DataFrame:
+    """Current state per variable from an append-only log (variable, field, value, role, author, at, event_id)."""
+    return state_of_fold(fold_log(events))
+
+
+def state_of_fold(folded: DataFrame) -> DataFrame:
+    """Current state per variable from a folded log. Fields: `status`, `assignee` (with a role; an empty value clears it), `label`, `note`, `step`.
+
+    A status repeated by a later event does not restart the clock: `status_since` is the begin of its run.
+    """
     when = F.struct("at", "event_id")
 
-    def latest(field: str, what: str = "value") -> Column:
-        return F.max_by(F.col(what), F.when(F.col("field") == field, when))
-
-    base = log.groupBy("variable").agg(
-        latest("status").alias("status"), latest("label").alias("label"),
-        F.count_if(F.col("field") == "note").alias("n_notes"), F.count_if(F.col("field") == "step").alias("n_steps"),
-        F.substring(latest("note"), 1, NOTE_LENGTH).alias("last_note"),
-        F.max("at").alias("updated_at"), F.max_by("author", when).alias("updated_by"))
-    # a status repeated by a later event does not restart the clock: since = first event after the last other status
-    current = base.select("variable", F.col("status").alias("_now"))
-    status_log = log.where(is_status).join(current, "variable")
-    other = F.col("value") != F.col("_now")
-    cut = status_log.groupBy("variable").agg(F.max(F.when(other, when)).alias("_other"))
-    since = (status_log.join(cut, "variable").where(~other & (F.col("_other").isNull() | (when > F.col("_other"))))
-             .groupBy("variable").agg(F.min("at").alias("status_since")))
-    people = (log.where(F.col("field") == "assignee").groupBy("variable", "role")
-              .agg(F.max_by("value", when).alias("_who")).where(F.col("_who") != "")
-              .groupBy("variable").agg(F.map_from_entries(F.collect_list(F.struct("role", "_who"))).alias("assignees")))  # a row a role
-    return base.join(since, "variable", "left").join(people, "variable", "left").select(
-        "variable", "label", "status", "status_since", "assignees", "n_notes", "n_steps", "last_note", "updated_at", "updated_by")
+    def latest(field: str) -> Column:
+        return F.max_by("value", F.when(F.col("field") == field, when))
+
+    def number(field: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("field") == field, F.col("n"))), F.lit(0))
+
+    who = F.when((F.col("field") == "assignee") & (F.col("value") != "") & F.col("role").isNotNull(), F.struct("role", "value"))
+    people = F.map_from_entries(F.collect_list(who))  # a row a role
+    return folded.groupBy("variable").agg(
+        latest("label").alias("label"), latest("status").alias("status"),
+        F.max(F.when(F.col("field") == BEGIN, F.col("at"))).alias("status_since"),
+        F.when(F.count(who) > 0, people).alias("assignees"), number("note").alias("n_notes"), number("step").alias("n_steps"),
+        F.substring(latest("note"), 1, NOTE_LENGTH).alias("last_note"), F.max("at").alias("updated_at"), F.max_by("author", when).alias("updated_by"))
 
 
 def status_changes(events: DataFrame) -> DataFrame:

@@ -98,11 +98,27 @@ def steps_of(spark, sf) -> DataFrame:
                        F.col("value").alias("rationale"), "author", F.col("at").alias("added_at"))
 
 
-@query("review_state", """SELECT s.variable, label, status, status_since, n_notes, n_steps, last_note, updated_at, updated_by, MAX(person) FILTER (role = 'ds') AS ds, MAX(person) FILTER (role = 'actuary') AS actuary,
-MAX(person) FILTER (role = 'de') AS de FROM state s JOIN since USING (variable) LEFT JOIN who USING (variable) GROUP BY ALL""", book=False, with_=STATE)
-def review_state(spark, sf):
+STATE_ROWS = """SELECT s.variable, label, status, status_since, n_notes, n_steps, last_note, updated_at, updated_by, MAX(person) FILTER (role = 'ds') AS ds, MAX(person) FILTER (role = 'actuary') AS actuary,
+MAX(person) FILTER (role = 'de') AS de FROM state s JOIN since USING (variable) LEFT JOIN who USING (variable) GROUP BY ALL"""
+
+
+def with_people(state: DataFrame) -> DataFrame:
     people = [F.try_element_at("assignees", F.lit(r)).alias(r) for r in ("ds", "actuary", "de")]
-    return state_of(spark, sf).select("*", *people).drop("assignees")
+    return state.select("*", *people).drop("assignees")
+
+
+@query("review_state", STATE_ROWS, book=False, with_=STATE)
+def review_state(spark, sf):
+    return with_people(state_of(spark, sf))
+
+
+@query("review_state_increment", STATE_ROWS, book=False, with_=STATE)
+def review_state_increment(spark, sf):
+    """The first half of the period is folded and stored; the state comes from that and the events after it."""
+    log = review_log(spark, sf)
+    half = log.agg((F.unix_micros(F.min("at").cast("timestamp")) / 2 + F.unix_micros(F.max("at").cast("timestamp")) / 2).cast("long").alias("at")).first()["at"]
+    early = materialize(tk.fold_log(log.where(F.unix_micros(F.col("at").cast("timestamp")) <= F.lit(half))), "review-log")
+    return with_people(tk.state_of_fold(tk.fold_later(early, log)))
 
 
 @query("review_status_log", 'SELECT variable, from_status, value AS to_status, author AS "by", "at" FROM changes', book=False, with_=STATE)
