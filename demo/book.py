@@ -10,31 +10,31 @@ from bookdq import Book, BookSpec, Measures
 from bookdq.operators.filters import RuleSet
 from bookdq.operators.transforms import TransformSet
 
-# column -> (expression, valid in Spark and in the oracle; table it needs beyond lineitem)
+# column -> expression, valid in Spark and in the oracle
 COLUMNS = {
-    "src": ("l_returnflag", None),
-    "policy_no": ("l_orderkey", None),
-    "eff_date": ("CAST(o_orderdate AS DATE)", "orders"),
-    "exp_date": ("CAST(l_shipdate AS DATE)", None),
-    "line_no": ("l_linenumber", None),
-    "coverage": ("p_type", "part"),
-    "class_cd": ("CASE WHEN l_returnflag = 'N' AND p_brand = 'Brand#7' THEN 'Brand#7N' ELSE p_brand END", "part"),
-    "program_cd": ("CASE WHEN year(o_orderdate) >= 1999 AND p_brand = 'Brand#3' THEN 'P-NEW' ELSE p_type END", "orders part"),
-    "segment_cd": ("c_mktsegment", "orders customer"),
-    "tx_type": ("o_orderpriority", "orders"),
-    "expo_base": ("l_linestatus", None),
-    "expo_amt": ("l_quantity", None),
-    "premium_amt": ("CASE WHEN l_linenumber = 1 AND l_tax = 0.01 THEN -CAST(l_extendedprice AS DECIMAL(12,2)) "
-                    "ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END", None),
-    "loss_amt": ("CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))", None),
-    "claim_cnt": ("CAST(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS BIGINT)", None),
-    "location_id": ("CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linenumber END", None),
-    "zip_cd": ("CASE WHEN l_suppkey % 33 = 0 THEN '' WHEN l_suppkey % 47 = 0 THEN ' UNK ' "
-               "ELSE lpad(CAST(l_suppkey AS VARCHAR(20)), 5, '0') END", None),
-    "deductible_amt": ("CASE WHEN l_tax = 0 THEN NULL ELSE round(l_tax * 100) * 250 END", None),
+    "src": "l_returnflag",
+    "policy_no": "l_orderkey",
+    "eff_date": "CAST(o_orderdate AS DATE)",
+    "exp_date": "CAST(l_shipdate AS DATE)",
+    "line_no": "l_linenumber",
+    "coverage": "p_type",
+    "class_cd": "CASE WHEN l_returnflag = 'N' AND p_brand = 'Brand#7' THEN 'Brand#7N' ELSE p_brand END",
+    "program_cd": "CASE WHEN year(o_orderdate) >= 1999 AND p_brand = 'Brand#3' THEN 'P-NEW' ELSE p_type END",
+    "segment_cd": "c_mktsegment",
+    "tx_type": "o_orderpriority",
+    "expo_base": "l_linestatus",
+    "expo_amt": "l_quantity",
+    "premium_amt": "CASE WHEN l_linenumber = 1 AND l_tax = 0.01 THEN -CAST(l_extendedprice AS DECIMAL(12,2)) "
+                   "ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END",
+    "loss_amt": "CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))",
+    "claim_cnt": "CAST(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS BIGINT)",
+    "location_id": "CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linenumber END",
+    "zip_cd": "CASE WHEN l_suppkey % 33 = 0 THEN '' WHEN l_suppkey % 47 = 0 THEN ' UNK ' "
+              "ELSE lpad(CAST(l_suppkey AS VARCHAR(20)), 5, '0') END",
+    "deductible_amt": "CASE WHEN l_tax = 0 THEN NULL ELSE round(l_tax * 100) * 250 END",
 }
 
-BOOK_SQL = ("book AS (SELECT " + ", ".join(f"{e} AS {n}" for n, (e, _) in COLUMNS.items())
+BOOK_SQL = ("book AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in COLUMNS.items())
             + ", CAST(year(o_orderdate) AS INTEGER) AS pol_yr FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
               "JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)")
 
@@ -51,18 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def book_frame(spark: SparkSession, sf_dir: str, need: Iterable[str]) -> DataFrame:
-    """Only the tables the wanted columns come from are joined: Spark cannot know that an inner join to a parent row
-    that always exists changes nothing, so an unused parent would still be read and shuffled."""
-    need = [n for n in COLUMNS if n in set(need)]
-    parents = {p for n in need for p in (COLUMNS[n][1] or "").split()}
-    df = table(spark, sf_dir, "lineitem")
-    if "orders" in parents:
-        df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if "customer" in parents:
-        df = df.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    if "part" in parents:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return df.select(*[F.expr(COLUMNS[n][0]).alias(n) for n in need])
+    """The book of the SQL: rows of lineitem that have all their parents, whichever columns are wanted."""
+    need = set(need)
+    orders, customer, part = (table(spark, sf_dir, t) for t in ("orders", "customer", "part"))
+    df = (table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+          .join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey")))
+    return df.select(*[F.expr(COLUMNS[n]).alias(n) for n in COLUMNS if n in need])
 
 
 def demo_book(spark: SparkSession, sf_dir: str, need: str = "", rules: RuleSet | None = None,
