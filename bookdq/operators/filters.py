@@ -25,7 +25,8 @@ if TYPE_CHECKING:
 
 _COMPARE = {"eq": Column.__eq__, "ne": Column.__ne__, "gt": Column.__gt__, "gte": Column.__ge__,
             "lt": Column.__lt__, "lte": Column.__le__}
-_OPS = ("in", "not_in", "is_null", "not_null", *_COMPARE)
+# how many values an operator of a column rule reads: at least, at most (null tests read none, whatever is given)
+_VALUES = {"is_null": (0, None), "not_null": (0, None), "in": (1, None), "not_in": (1, None), **dict.fromkeys(_COMPARE, (1, 1))}
 
 
 @dataclass(frozen=True)
@@ -57,16 +58,22 @@ class Rule:
     lists: Mapping[str, Listed] = field(default_factory=dict)
 
     def __post_init__(self):
-        if not re.fullmatch(r"[a-z0-9_]+", self.key or ""):
-            raise ValueError(f"rule key {self.key!r}: only lower-case letters, digits and underscores")
-        if sum(bool(x) for x in (self.column, self.expr, self.exclude_when)) != 1:
-            raise ValueError(f"rule {self.key}: exactly one of column, expr and exclude_when")
-        if self.op not in _OPS:
-            raise ValueError(f"rule {self.key}: unknown op {self.op!r}")
-        if self.column and self.op in ("in", "not_in") and not self.values:
-            raise ValueError(f"rule {self.key}: {self.op} needs at least one value")
-        if self.column and self.op in _COMPARE and len(self.values) != 1:
-            raise ValueError(f"rule {self.key}: {self.op} needs exactly one value")
+        faults = self.faults()
+        if faults:
+            raise ValueError(f"rule {self.key!r}: " + "; ".join(faults))
+
+    def faults(self) -> list[str]:
+        """All that is wrong with the rule as it is written, so a configuration is mended in one go."""
+        least, most = _VALUES.get(self.op, (0, None))
+        given = len(self.values)
+        forms = [form for form in ("column", "expr", "exclude_when") if getattr(self, form)]
+        checks = {
+            "a key is made of a-z, 0-9 and _": re.fullmatch(r"[a-z0-9_]+", self.key or "") is not None,
+            f"one form is wanted (column, expr, exclude_when), found {', '.join(forms) or 'none'}": len(forms) == 1,
+            f"no operator is called {self.op!r}": self.op in _VALUES,
+            f"{self.op} takes {'one value' if most else 'a value or more'}, found {given}": not self.column or (least <= given and (most is None or given <= most)),
+        }
+        return [fault for fault, fine in checks.items() if not fine]
 
     @property
     def title(self) -> str:
@@ -187,11 +194,9 @@ class RuleSet:
 
     def fingerprint(self, profile: str) -> str:
         """Which rules were in force, independent of their order."""
-        active = sorted(self.active(profile), key=lambda r: r.key)
-        if not active:
-            return ""
-        digest = hashlib.sha1("|".join(r.content() for r in active).encode()).hexdigest()[:6]
-        return "+".join(r.key for r in active) + "#" + digest
+        in_force = {rule.key: rule.content() for rule in self.active(profile)}
+        contents = "|".join(content for _, content in sorted(in_force.items()))
+        return f"{'+'.join(sorted(in_force))}#{hashlib.sha1(contents.encode()).hexdigest()[:6]}" if in_force else ""
 
     def validate(self, book: Book, rule: Rule) -> None:
         """Raises when a rule does not compile against the book. Analysis only, no scan."""
