@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from bookdq.operators.filters import RuleSet
 from bookdq.operators.transforms import TransformSet, apply_transforms
+from bookdq.plans.sizing import materialize
 
 _AMOUNT = (T.DoubleType, T.FloatType, T.DecimalType)
 _CODE_SUFFIXES = ("_cd", "_id", "_yr")  # fixed values: numeric columns named like this hold codes
@@ -54,6 +55,7 @@ class Book:
         self.rules, self.transforms = rules or RuleSet(), transforms or TransformSet()
         self.sql_vars = dict(sql_vars or {})
         self._raw_view: str | None = None
+        self.is_stored = False
 
     def with_rules(self, rules: RuleSet) -> Book:
         return Book(self.spec, self.raw, rules, self.transforms, self.sql_vars)
@@ -82,6 +84,17 @@ class Book:
         df = self.rules.keep(self.transformed(), self)
         return df.where(F.expr(where) if isinstance(where, str) else where) if where is not None else df
 
+    def stored(self, names: Iterable[str]) -> Book:
+        """A book of the same population, written once with only these columns: what the rows come from (joins, transforms, rules)
+        runs once for an operator that reads them several times. A book that is such a copy is returned as it is."""
+        names = self.require(dict.fromkeys(names))
+        if self.is_stored:
+            return self
+        spec = replace(self.spec, derived={})
+        copy = Book(spec, materialize(self.population().select(*names), "population"), sql_vars=self.sql_vars)
+        copy.is_stored = True
+        return copy
+
     # ---- columns ---------------------------------------------------------------------
     @property
     def schema(self) -> T.StructType:

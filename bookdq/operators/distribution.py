@@ -70,6 +70,10 @@ class DistributionConfig:
     variables: tuple[Profile, ...] = ()
 
 
+def _columns(profiles: Sequence[Profile]) -> list[str]:
+    return list(dict.fromkeys(c for p in profiles for c in (*p.group_by, p.name)))
+
+
 # ---- numeric -------------------------------------------------------------------------
 # Profiles with the same dimensions share their passes over the book; frames of several carry a column `variable`.
 def grids(book: Book, profiles: Sequence[Profile], exact: bool = True) -> DataFrame:
@@ -77,6 +81,7 @@ def grids(book: Book, profiles: Sequence[Profile], exact: bool = True) -> DataFr
     dims = book.require(profiles[0].group_by)
     wanted = {p.name: percentile_grid(p.percentile_bins) for p in profiles}
     every = sorted({q for grid in wanted.values() for q in grid})
+    book = book.stored(_columns(profiles)) if exact else book  # a sketch takes one pass
     long = percentiles(book.population(), dims, {n: F.col(n) for n in book.require(wanted)}, every, exact)
     mine = F.create_map(*[c for n, grid in wanted.items() for c in (F.lit(n), F.array(*[F.lit(q) for q in grid]))])
     return (long.where(F.array_contains(mine[F.col("variable")], F.col("prob")))
@@ -115,12 +120,13 @@ def stats(book: Book, profiles: Sequence[Profile], table: DataFrame) -> DataFram
 
 
 def numeric_stats(book: Book, p: Profile, exact: bool = True) -> DataFrame:
+    book = book.stored(_columns([p]))
     return stats(book, [p], grids(book, [p], exact)).drop("variable")
 
 
 def psi_buckets(book: Book, profiles: Sequence[Profile]) -> DataFrame:
     """(variable, *dims, bucket, n): buckets cut at the quantiles of the whole population (right-closed)."""
-    dims, df = book.require(profiles[0].group_by), book.population()
+    dims, df = book.require(profiles[0].group_by), book.stored(_columns(profiles)).population()
     probs = {p.name: [i / p.psi.bins for i in range(1, p.psi.bins)] for p in profiles}
     found = percentile_row(df, {n: F.col(n) for n in book.require(probs)}, sorted({q for qs in probs.values() for q in qs}))
     cells = []
@@ -147,7 +153,7 @@ def psi_numeric(book: Book, p: Profile) -> DataFrame:
 def histogram(book: Book, p: Profile) -> DataFrame:
     """Counts per segment and equal-width bucket on the profile's scale, clipped to its outer percentiles."""
     dims = book.require(p.group_by)
-    df = book.population()
+    df = book.stored(_columns([p])).population()
     v, valid = to_scale(F.col(book.require([p.name])[0]), p.log_scale.method)
     scaled = df.where(F.col(p.name).isNotNull() & valid).select(*dims, v.alias("_v"))
     ends = percentile_row(scaled, {"v": F.col("_v")}, p.clip)
@@ -322,6 +328,7 @@ def _categorical(book: Book, profiles: list[Profile]) -> tuple[list[DataFrame],
 def run(book: Book, cfg: DistributionConfig) -> CheckResult:
     """Profiles are run together by kind and dimensions, so the passes over the book do not grow with the number of
     variables; what several results read is stored once, at level grain."""
+    book = book.stored(_columns(cfg.variables)) if cfg.variables else book
     together: dict[tuple[str, tuple[str, ...]], list[Profile]] = {}
     for p in cfg.variables:
         kind = p.type if p.type != "auto" else book.kind(p.name)

@@ -50,7 +50,7 @@ def dist_percentiles_null(spark, sf):
 @query("dist_percentiles_approx", """SELECT src, percentile, TRUE AS close FROM (SELECT DISTINCT src FROM book), (SELECT UNNEST([0.0, 0.25, 0.5, 0.75, 0.99, 1.0]::DOUBLE[]) AS percentile)""")
 def dist_percentiles_approx(spark, sf):
     """Sketch percentiles against the exact ones: within half a percent of the value range."""
-    book, p = demo_book(spark, sf), Profile("premium_amt", percentile_bins=4)
+    book, p = demo_book(spark, sf).stored(["src", "premium_amt"]), Profile("premium_amt", percentile_bins=4)
     exact, approx = ds.percentile_table(book, p), ds.percentile_table(book, p, exact=False)
     both = exact.join(approx.withColumnRenamed("value", "approx"), ["src", "percentile"])
     return both.select("src", "percentile", (F.abs(F.col("value") - F.col("approx")) <= 0.005 * 210000).alias("close"))
