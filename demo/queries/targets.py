@@ -151,20 +151,20 @@ def _by_position(book, binning: Binning):
 
 @query("quantile_oneway", _position_oneway("quantile_cont(CAST(premium_amt AS DOUBLE), [0.2, 0.4, 0.6, 0.8])", 5).format(x="CAST(premium_amt AS DOUBLE)"))
 def quantile(spark, sf):
-    book = demo_book(spark, sf)
+    book = demo_book(spark, sf).stored(["premium_amt", "claim_cnt"])
     return _by_position(book, resolve(book, Binning("premium_amt", "fifths", "quantile", bins=5)))
 
 
 @query("quantile_oneway_discrete", _position_oneway("quantile_cont(deductible_amt, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])", 10).format(x="deductible_amt"))
 def quantile_discrete(spark, sf):
     """A column of few values: repeated quantiles are one cut, and nulls have their own bin."""
-    book = demo_book(spark, sf, "deductible_amt")
+    book = demo_book(spark, sf, "deductible_amt").stored(["deductible_amt", "claim_cnt"])
     return _by_position(book, resolve(book, Binning("deductible_amt", "tenths", "quantile", bins=10)))
 
 
 @query("equal_width_oneway", _position_oneway("[MIN(expo_amt) + (MAX(expo_amt) - MIN(expo_amt)) / 4 * 1, MIN(expo_amt) + (MAX(expo_amt) - MIN(expo_amt)) / 4 * 2, MIN(expo_amt) + (MAX(expo_amt) - MIN(expo_amt)) / 4 * 3]", 4).format(x="expo_amt"))
 def equal_width(spark, sf):
-    book = demo_book(spark, sf)
+    book = demo_book(spark, sf).stored(["expo_amt", "claim_cnt"])
     return _by_position(book, resolve(book, Binning("expo_amt", "quarters", "equal_width", bins=4)))
 
 
