@@ -60,11 +60,10 @@ def stored_grain(book: Book, scope: Scope) -> DataFrame:
 
 def policy_stats(grain: DataFrame, exact: bool = True) -> DataFrame:
     """One row per metric and scope: counts, min, max, mean, sum and percentile arrays (all and positive values)."""
-    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS]
-    v = F.col("v")
-    basic = (grain.select("scope", F.inline(F.array(*cells))).groupBy("metric", "scope")
-             .agg(F.count(F.lit(1)).alias("n_policies"), F.count(v).alias("n_nonnull"), F.count_if(v > 0).alias("n_positive"),
-                  F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.avg(v).alias("vmean"), F.sum(v).alias("vsum")))
+    made = {"n_nonnull": F.count, "n_positive": lambda c: F.count_if(c > 0), "vmin": F.min, "vmax": F.max, "vmean": F.avg, "vsum": F.sum}
+    wide = grain.groupBy("scope").agg(F.count(F.lit(1)).alias("n_policies"), *[f(F.col(m)).alias(f"{m}__{n}") for m in METRICS for n, f in made.items()])
+    cells = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}__{n}").alias(n) for n in made]) for m in METRICS]  # one row per policy, not per metric
+    basic = wide.select("scope", "n_policies", F.inline(F.array(*cells))).select("metric", "scope", "n_policies", *made)
     long = percentiles(grain, ["scope"], {m: F.col(m) for m in METRICS}, GRID, exact, positives=True)
     positive = F.col("variable").startswith("+")
     pick = lambda p, flag: F.max(F.when((F.col("prob") == p) & (positive if flag else ~positive), F.col("value")))
@@ -83,9 +82,19 @@ def histogram_bounds(stats: DataFrame, metrics: Sequence[str], method: str) -> d
     return {m: found[m] for m in metrics if found.get(m)}
 
 
-def policy_histogram(grain: DataFrame, stats: DataFrame, metrics: Sequence[str], method: str = "none", bins: int = 40) -> DataFrame:
-    """Counts per metric, scope and bucket on a common scale; tails fold into the end buckets."""
-    bounds = histogram_bounds(stats, metrics, method)
+def histogram_ends(grain: DataFrame, metrics: Sequence[str], method: str) -> DataFrame:
+    """What `histogram_bounds` reads of the statistics, for these metrics alone: the two outer percentiles, of the values above zero
+    where the scale takes no others."""
+    name, ends = ("pcts_pos" if method == "log10" else "pcts"), (GRID[0], GRID[-1])
+    long = percentiles(grain, ["scope"], {m: F.when(F.col(m) > 0, F.col(m)) if method == "log10" else F.col(m) for m in metrics}, ends)
+    pick = [F.max(F.when(F.col("prob") == p, F.col("value"))) if p in ends else F.lit(None).cast("double") for p in GRID]
+    return long.groupBy(F.col("variable").alias("metric"), "scope").agg(F.array(*pick).alias(name))
+
+
+def policy_histogram(grain: DataFrame, stats: DataFrame | None, metrics: Sequence[str], method: str = "none", bins: int = 40) -> DataFrame:
+    """Counts per metric, scope and bucket on a common scale; tails fold into the end buckets. Without `stats` (those of the same
+    grain) only the percentiles that end the scale are taken."""
+    bounds = histogram_bounds(histogram_ends(grain, metrics, method) if stats is None else stats, metrics, method)
     cells = []
     for metric, (lo, hi) in bounds.items():
         v, valid = to_scale(F.col(metric), method)

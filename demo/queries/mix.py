@@ -85,14 +85,14 @@ WHERE metric IN ({names}) GROUP BY metric)) b ON l.metric = b.metric WHERE {keep
 @query("policy_hist", _hist_sql(("premium", "severity", "loss_ratio"), "pcts", "{v}", "{v}", 20), with_=f"{GRAIN}, {STATS}")
 def policy_hist(spark, sf):
     grain = dd.stored_grain(demo_book(spark, sf, NEED), SCOPE)
-    out = dd.policy_histogram(grain, dd.policy_stats(grain), ("premium", "severity", "loss_ratio"), "none", 20)
+    out = dd.policy_histogram(grain, None, ("premium", "severity", "loss_ratio"), "none", 20)
     return out.withColumns({"from": F.round("from", 4), "to": F.round("to", 4)})
 
 
 @query("policy_hist_log10", _hist_sql(("premium", "loss"), "pcts_pos", "log10({v})", "pow(10.0, {v})", 15, "v > 0"), with_=f"{GRAIN}, {STATS}")
 def policy_hist_log10(spark, sf):
     grain = dd.stored_grain(demo_book(spark, sf, NEED), SCOPE)
-    out = dd.policy_histogram(grain, dd.policy_stats(grain), ("premium", "loss"), "log10", 15)
+    out = dd.policy_histogram(grain, None, ("premium", "loss"), "log10", 15)
     return out.withColumns({"from": F.round("from", 4), "to": F.round("to", 4)})
 
 
