@@ -23,7 +23,7 @@ RUNS = (("run1", "2024-01-10T00:00:00Z", "eff_date < DATE '1999-01-01'"), ("run2
 
 def stored_runs(spark, sf) -> DataFrame:
     """Two runs of two checks: policies before 1999, then the whole book."""
-    book = demo_book(spark, sf, NEED)
+    book = demo_book(spark, sf, NEED).stored(["src", "premium_amt", "loss_amt", "claim_cnt", *NEED.split()])  # the checks of both runs read it
     parts = []
     for run_id, run_ts, where in RUNS:
         from bookdq import Book
