@@ -75,7 +75,7 @@ def suggest_key(book: Book, source: str, candidates: Sequence[str] | None = None
     names = list(candidates) if candidates else [
         c for c in book.columns(derived=False) if not (exclude_amounts and book.is_amount(c))]
     book.require([*names, *start])
-    df = _rows_of(book, source).select(*dict.fromkeys([*names, *start]))
+    df = materialize(_rows_of(book, source).select(*dict.fromkeys([*names, *start])), "candidates")  # every step reads it
 
     def distinct(sets: list[list[str]]) -> list[int]:
         counted = df.agg(*[F.count_distinct(_key(s)).alias(f"d{i}") for i, s in enumerate(sets)]).first()
