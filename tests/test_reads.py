@@ -73,3 +73,14 @@ def test_ends_of_a_histogram_are_those_of_the_statistics(spark, method):
     assert dd.histogram_bounds(dd.histogram_ends(grain, metrics, method), metrics, method) == dd.histogram_bounds(dd.policy_stats(grain), metrics, method)
     own, given = (dd.policy_histogram(grain, s, metrics, method, 10) for s in (None, dd.policy_stats(grain)))
     assert sorted(own.collect()) == sorted(given.collect())
+
+
+def test_keys_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(keys, "TASK_ROWS", 50)
+    raw = spark.range(1000).select(F.lit("A").alias("src"), F.when(F.col("id") >= 400, F.col("id")).alias("k"), F.lit(1.0).alias("x"))
+    book = Book(BookSpec("wide", "src", ("A",), Measures("x", "x", "k", "x", "src"), ("k",)), raw).stored(["src", "k"])
+    groups = keys.key_groups(book, "_all", ["k"])
+    assert max(r["count"] for r in groups.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 100
+    got = keys.key_summary(book, "_all", ["k"]).first()
+    assert (got["n_rows"], got["n_distinct_keys"], got["n_dup_rows"], got["n_dup_groups"], got["max_rows_per_key"]) == (1000, 601, 400, 1, 400)
+    assert got["key_cols_with_nulls"] == "k (400)"
