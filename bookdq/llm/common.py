@@ -21,6 +21,7 @@ from bookdq.plans.sizing import delete, shared_folder, stored
 SLICE_BYTES = 4 << 20
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
+FILTER_WORDS = 1 << 18  # of 64 bits
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,16 @@ def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     return rows.select(*[new.get(c, F.col("all").getField(c)).alias(c) for c in docs.columns])
 
 
+def likely_among(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the keys, and few others: a filter of at most 2 MB of bits is sent to all tasks, so that a join with the keys
+    need not move the wide rows that it drops. Exact only together with that join."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(64 * FILTER_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place(key) % 64).cast("int"))
+    words = keys.groupBy(F.floor(place(key) / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    found = rows.join(F.broadcast(words), F.floor(place(column) / 64) == F.col("_word"))
+    return found.where(F.getbit("_bits", (place(column) % 64).cast("int")) == 1).drop("_word", "_bits")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -17,14 +17,15 @@ What makes it hold at scale:
   one order for all sets) have one in common for sure, and a passage that many texts share is not rare.
 * Two sets that have been compared with the same pivot have a bound for what they share. Pairs below it are left out.
 * In these buckets only members outside the largest component become pivots (8 a bucket, then four times as many each
-  round) and are compared with the members of other components. It ends when every bucket is one component or all its
-  minor members were pivots: no link between two components can be left then.
+  round) and are compared with the members of other components. A bucket that is one component or whose minor members were all
+  pivots is left out from then on: no link between two components can be left in it. It ends when no bucket is left.
 * A pair of texts meets in many prefix buckets. It is taken in the first only, as far as that is seen from the few tokens that each row has before
   its own: a token in both means that the pair meets there as well.
 * Before the exact step, pairs are dropped on what rules out a link for sure: set sizes, and a bitmap of each set (its elements in 1,024 places: a place that
   only one of two sets holds is an element that only this set has; mostly enough below 0.75). And on the sketch, which a pair with a Jaccard of 0.8 fails with
   a probability below 1e-9 (a pair at 0.6 mostly does; it still tells apart sets that fill their bitmaps).
 * Components are contracted by joins: every component hooks to its smallest neighbour, paths are halved, repeat.
+* Texts and sets are wide: before a join moves them, a bit filter of fixed size drops most of those that the join would.
 * Tables are dropped as soon as no later step reads them.
 """
 from __future__ import annotations
@@ -39,7 +40,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookdq.llm.common import Shelf, map_arrow, packed, slices, unpacked
+from bookdq.llm.common import Shelf, likely_among, map_arrow, packed, slices, unpacked
 
 COORDINATES, BANDED, ROWS = 512, 128, 4
 PLACES = 1 << 20
@@ -135,7 +136,7 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles, the bitmap) of rows (rep, _t, h1, h2) whose text has the set with that hash; one row a representative."""
+    """(rep, shingles, the bitmap) of rows (rep, _t, h1, h2) whose text has the set with that hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in slices(batches, "_t"):
@@ -150,8 +151,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
             placed = np.stack([np.empty(len(BITS), np.int64), *map(bitmap, found)])[1:]
             yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(keep, pa.bool_())), lists, *(pa.array(np.ascontiguousarray(c)) for c in placed.T)], names=["rep", "shingles", *BITS])
 
-    rows = map_arrow(texts, run, "rep long, shingles array<long>, " + ", ".join(f"{c} long" for c in BITS))
-    return rows.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("shingles", *BITS)])
+    return map_arrow(texts, run, "rep long, shingles array<long>, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +194,10 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "common", "linked"])
 
-    filled = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    def met(end: str, named: str) -> DataFrame:
+        return likely_among(sets, "rep", pairs, end).select(F.col("rep").alias(end), F.col("shingles").alias(named))
+
+    filled = pairs.join(met("b", "y"), "b").join(met("a", "x"), "a")
     return map_arrow(filled.select("a", "b", "x", "y"), run, "a long, b long, common long, linked boolean")
 
 
@@ -247,7 +250,8 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     plain = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_v"), F.col(text).alias("_t"))
     described = shelf.save(describe(plain, width), "described")
     rows = shelf.save(described.select("id", "v", "n", "h1", "h2"), "rows")
-    same = described.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")])  # of equal sets all these are equal
+    same = described.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "v")).alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")])  # of equal sets all these are equal
+    same = same.withColumn("of", F.col("least.v")).withColumn("least", F.col("least.id"))
     whole = shelf.save(same.withColumn("rep", F.monotonically_increasing_id()), "whole")
     classes = shelf.save(whole.drop("bands"), "classes")
     shelf.drop("described")
@@ -258,8 +262,10 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     shelf.drop("shared")
     met = members.groupBy("rep").agg(F.sum("size").alias("met"))
     wanted = shelf.save(classes.join(met, "rep"), "wanted")
-    texts = plain.join(wanted.select("rep", "least", "h1", "h2"), F.col("_k") == F.col("least"))
-    sets = shelf.save(full_sets(texts.select("rep", "_t", "h1", "h2"), width), "sets")
+    # texts move only once, and hardly others than those wanted; repeated rows are made one where the join has brought them together
+    texts = likely_among(plain, "_k", wanted, "least").join(wanted.select("rep", "least", "of", "h1", "h2"), (F.col("_k") == F.col("least")) & (F.col("_v") == F.col("of")))
+    texts = texts.groupBy("_k", "_v").agg(*[F.first(c).alias(c) for c in ("rep", "_t", "h1", "h2")])
+    sets = shelf.save(full_sets(texts.drop("_k", "_v"), width), "sets")
     facts = shelf.save(wanted.select("rep", "n", *SKETCH).join(sets.select("rep", *BITS), "rep"), "facts")
     # the pivot of a bucket is its member that shares buckets with most others: the least edited of a group of copies
     top = members.join(wanted.select("rep", "met"), "rep").groupBy("band").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("pivot"))
@@ -290,10 +296,12 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 
     def spread(name: str):
         """Members of buckets over several components, with their component and the bucket's largest."""
-        placed = members.join(labels, "rep")
-        sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+        placed = shelf.save(members.join(labels, "rep"), f"{name}-placed")
+        sizes = placed.select("band", "comp").repartition("band").groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))  # moved once for both counts
         split = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        return shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), name)
+        found = shelf.save(placed.join(split.select("band", F.col("top.comp").alias("main")), "band"), name)
+        shelf.drop(f"{name}-placed")
+        return found
 
     # each member with the pivot of its largest bucket; then the members that are still outside their pivot's component
     first = members.where("rep <> pivot").groupBy("rep").agg(F.max(F.struct("size", "pivot")).alias("best")).select(*ordered("best.pivot", "rep")).distinct()
@@ -312,12 +320,12 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     itself = facts.join(weight, F.col("rep") == F.col("a"), "left_semi").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("common"))
     known = ends.union(itself).join(weight, "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("w", "a", "common")).alias("k")).select("rep", F.col("k.a").alias("ref"), F.col("k.common").alias("i"))
     known = shelf.save(facts.join(known, "rep", "left"), "known")
-    unsure = sets.select("rep", "shingles").join(spread("unsure").select("rep").distinct(), "rep")
+    unsure = likely_among(sets.select("rep", "shingles"), "rep", spread("unsure"), "rep")  # a set too many only meets others once more
     tokens = shelf.save(prefixes(unsure, percent), "tokens")
     for name in ("unsure", "members1", "compared0", "compared1"):
         shelf.drop(name)
     again = tokens.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    members = shelf.save(tokens.join(again, "band"), "members")
+    members = shelf.save(tokens.join(again, "band"), "left1")
     shelf.drop("tokens")
     done, most, number = None, FIRST_PIVOTS, 2
     while True:
@@ -325,8 +333,9 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         minor = open_.where("comp <> main")
         if done is not None:
             minor = minor.join(done, ["band", "rep"], "left_anti")
-        ranked = minor.withColumn("_n", F.row_number().over(Window.partitionBy("band").orderBy("rep"))).where(F.col("_n") <= most)
-        pivots = shelf.save(ranked.drop("_n"), f"pivots{number}")
+        ranked = minor.withColumn("_n", F.row_number().over(Window.partitionBy("band").orderBy("rep"))).where(F.col("_n") <= most + 1)
+        ranked = shelf.save(ranked, f"pivots{number}")
+        pivots, unfinished = ranked.where(F.col("_n") <= most).drop("_n"), ranked.where(F.col("_n") > most).select("band")
         if pivots.isEmpty():
             break
         done = pivots.select("band", "rep") if done is None else done.union(pivots.select("band", "rep"))
@@ -338,12 +347,16 @@ def classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         tested = tested.union(pairs)
         met = shelf.save(compared(pairs, sets, percent), f"compared{number}")
         labels = contract(shelf, labels, met.where("linked").select("a", "b"), f"round{number}")
-        shelf.drop(f"open{number}")
-        shelf.drop(f"compared{number}")
+        # the other buckets are done for good: components only grow, so of two members that are apart later one was minor now, hence a pivot
+        if unfinished.isEmpty():
+            break
+        members = shelf.save(active.select("band", "rep", "before").join(unfinished, "band"), f"left{number}")
+        for name in (f"open{number}", f"compared{number}", f"left{number - 1}"):
+            shelf.drop(name)
         most, number = most * MORE_PIVOTS, number + 1
 
     labels = shelf.save(labels, "labels")  # the only tables the result reads: rows, classes and this one
-    for name in ("sets", "members", "wanted", "facts", "known", f"open{number}", *[f"{kind}{i}" for kind in ("pairs", "pivots") for i in range(number + 1)], *[f"round{i}-labels{j}" for i in range(number) for j in range(40)]):
+    for name in ("sets", "wanted", "facts", "known", f"open{number}", f"compared{number}", f"left{number - 1}", *[f"{kind}{i}" for kind in ("pairs", "pivots") for i in range(number + 1)], *[f"round{i}-labels{j}" for i in range(number) for j in range(40)]):
         shelf.drop(name)
     placed = classes.select("rep", "h1", "h2", "least").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component"))
