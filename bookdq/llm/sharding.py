@@ -13,6 +13,9 @@ an aggregate with at most `shards` rows a group.
    Rounds end when one of each kind moves nothing.
 3. Unlinked documents are ballast: by size classes, large ones first, they are cut at what each shard still lacks.
 
+Running bytes of a round are windows over the documents of one group in one shard, or of one pair of shards: light rows, never more than a shard
+holds, and no sort of all documents in each round. Those that may hold more (the first cut, ballast, slots) are running totals over sorted partitions.
+
 So sizes end within half a percent and one small document of each other, as far as single documents allow, and a group that is
 larger than a shard lies in as few shards as have room for it.
 """
@@ -67,6 +70,11 @@ def loads(rows: DataFrame, shards: int) -> list[float]:
     return [float(got.get(s, 0)) for s in range(shards)]
 
 
+def within(keys: list[str], *order: Column) -> Column:
+    """The sum of sizes up to and with a document, in this order, among the rows with the same keys; a shard is one of the keys."""
+    return F.sum("size").over(Window.partitionBy(*keys).orderBy(*order, "order", "row").rowsBetween(Window.unboundedPreceding, 0))
+
+
 def plan(cells: DataFrame, load: list[float], ceiling: float, document: float, anywhere: bool) -> DataFrame:
     """cells: (grp, shard, b). (grp, shard, start, ends) of those that give documents away: where their running bytes begin on
     their group's line, and up to where on it which shard takes them (those that their bytes meet, in order).
@@ -107,7 +115,7 @@ def propagate(shelf: Shelf, linked: DataFrame, shards: int, average: float, spar
         number += 1
         load = loads(placed, shards)
         givers = plan(placed.groupBy("grp", "shard").agg(F.sum("size").alias("b")), load, ceiling, document, anywhere=number % 2 == 1)
-        line = running_total(placed.join(givers, ["grp", "shard"]), [F.col("order"), F.col("row")], "size", "_run", ["grp", "shard"])
+        line = placed.join(givers, ["grp", "shard"]).withColumn("_run", within(["grp", "shard"]))
         middle = F.col("start") + F.col("_run") - F.col("size") / 2
         taker = F.get(F.filter("ends", lambda e: e["end"] >= middle), F.lit(0))
         willing = line.select("row", "size", "order", "shard", taker["shard"].alias("to"), taker["pull"].alias("pull")).where("to is not null")
@@ -117,7 +125,7 @@ def propagate(shelf: Shelf, linked: DataFrame, shards: int, average: float, spar
         idle += 1
         if flow:
             quota = broadcast_rows(spark, [(a, b, v) for (a, b), v in flow.items()], spark.createDataFrame([], "shard int, to int, quota double").schema)
-            run = running_total(willing.join(quota, ["shard", "to"]), [F.col("pull").desc(), F.col("order"), F.col("row")], "size", "_run", ["shard", "to"])
+            run = willing.join(quota, ["shard", "to"]).withColumn("_run", within(["shard", "to"], F.col("pull").desc()))
             moved = shelf.save(run.where(F.col("_run") - F.col("size") / 2 <= F.col("quota")).select("row", F.col("to").alias("_to")), f"moved{number}")
             if not moved.isEmpty():
                 placed = shelf.save(placed.join(moved, "row", "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to"), f"round{number}")
@@ -130,25 +138,27 @@ def propagate(shelf: Shelf, linked: DataFrame, shards: int, average: float, spar
 
 def fill(shelf: Shelf, ballast: DataFrame, load: list[float], average: float) -> DataFrame:
     """ballast (row, id, size, order) with `shard`: each size class is cut by what the shards lack for the average."""
-    out, load = None, list(load)
-    bounds = [None, *CLASSES, None]
-    for number, (below, least) in enumerate(zip(bounds, bounds[1:])):
-        some = ballast.where((F.lit(True) if below is None else F.col("size") < below) & (F.lit(True) if least is None else F.col("size") >= least))
-        total = float(some.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"])
-        if not total:
-            continue
+    load = list(load)
+    number = F.lit(len(CLASSES) + 1)
+    for i, least in reversed(list(enumerate(CLASSES, 1))):
+        number = F.when(F.col("size") >= least, F.lit(i)).otherwise(number)
+    run = running_total(ballast.withColumn("class", number), [F.col("order"), F.col("row")], "size", "_run", ["class"])
+    run = shelf.save(run.select("row", "id", "size", "class", (F.col("_run") - F.col("size") / 2).alias("middle")), "ballast")
+    totals = {r["class"]: float(r["b"]) for r in run.groupBy("class").agg(F.sum("size").alias("b")).collect()}  # one row a class
+    shard = F.lit(0)
+    for i in sorted(totals):
         lack = [max(0.0, average - x) for x in load]
-        share = [x * total / sum(lack) for x in lack] if sum(lack) else [total / len(load)] * len(load)
+        share = [x * totals[i] / sum(lack) for x in lack] if sum(lack) else [totals[i] / len(load)] * len(load)
         ends, end = [], 0.0
         for s, x in enumerate(share):
             if x > 0:
                 end += x
                 ends.append((s, end))
-        run = running_total(some, [F.col("order"), F.col("row")], "size", "_run")
-        placed = shelf.save(run.select("row", "id", "size", cut_at(F.col("_run") - F.col("size") / 2, ends).cast("int").alias("shard")), f"class{number}")
-        load = [a + b for a, b in zip(load, loads(placed, len(load)))]
-        out = placed if out is None else out.union(placed)
-    return out if out is not None else ballast.select("row", "id", "size", F.lit(0).alias("shard"))
+        cut = cut_at(F.col("middle"), ends)
+        shard = F.when(F.col("class") == i, cut).otherwise(shard)
+        if i != max(totals):
+            load = [a + b for a, b in zip(load, loads(run.where(F.col("class") == i).withColumn("shard", cut), len(load)))]
+    return run.select("row", "id", "size", shard.cast("int").alias("shard"))
 
 
 def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import random
 
-from bookdq.llm import neardup
+from bookdq.llm import neardup, sharding
 from bookdq.llm.common import Shelf, likely_among
+from bookdq.plans import sizing
 from tests.llm import brute
 
 
@@ -39,3 +40,11 @@ def test_few_rows_pass_the_filter(spark):
     keys = spark.range(0, 100_000, 50).selectExpr("id - 50000 AS key").unionByName(spark.range(1).selectExpr("cast(null AS long) AS key"))
     found = {r["k"] for r in likely_among(rows, "k", keys, "key").collect()}
     assert found >= set(range(-50_000, 50_000, 50)) and len(found) < 2_300
+
+
+def test_rounds_sort_nothing(spark):
+    """The tables sorted as a whole are those of the first cut, the ballast and the slots, however many rounds move documents."""
+    docs = [(i, f"pair {i % 90} " * 6) for i in range(180)] + [(1000 + i, "hot " * 40) for i in range(90)] + [(2000 + i, f"single {i} " * (1 + 40 * (i % 3))) for i in range(120)]
+    before = len(sizing.stored)
+    rows = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect()
+    assert len(rows) == len(docs) and len(sizing.stored) - before == 3
